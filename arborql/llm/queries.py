@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import table
 from .near_dedup import near_duplicates
+from .packing import pack
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op8_packing": op8_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": sql.NEAR_DEDUP,
