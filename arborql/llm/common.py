@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,4 +39,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that it needs no installation there."""
+    context = spark.sparkContext
+    if _FALLBACK.get("shipped") == context.applicationId:
+        return
+    top = Path(__file__).resolve().parents[1]
+    packed = Path(tempfile.mkdtemp()) / "arborql-package.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    context.addPyFile(str(packed))
+    _FALLBACK["shipped"] = context.applicationId

@@ -8,21 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import table
+from .langid import predict_languages
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import score_quality
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": sql.NEAR_DEDUP,
