@@ -10,6 +10,7 @@ from . import sql
 from .common import table
 from .langid import predict_languages
 from .near_dedup import near_duplicates
+from .pii import find_personal_data
 from .packing import pack
 from .quality import score_quality
 
@@ -18,6 +19,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +37,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op5_pii": op5_pii,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op10_language_id": op10_language_id,
