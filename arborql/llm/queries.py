@@ -13,6 +13,7 @@ from .near_dedup import near_duplicates
 from .pii import find_personal_data
 from .packing import pack
 from .quality import score_quality
+from .topk import top_k
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
@@ -40,8 +45,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_top_k": op9_top_k,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": sql.NEAR_DEDUP,
+    "op9_top_k": sql.TOP_K,
 }
