@@ -14,12 +14,22 @@ from .pii import find_personal_data
 from .packing import pack
 from .quality import score_quality
 from .topk import top_k
+from .url_filter import filter_urls
+from .warc import round_trip
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -42,6 +52,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_warc": op2_warc,
+    "op4_url_filter": op4_url_filter,
     "op5_pii": op5_pii,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
