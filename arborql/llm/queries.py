@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import table
+from .decontaminate import find_contamination
+from .html_text import main_text
 from .langid import predict_languages
 from .near_dedup import near_duplicates
 from .pii import find_personal_data
@@ -26,6 +28,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -34,6 +40,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,8 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
+    "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_pii": op5_pii,
+    "op6_html_text": op6_html_text,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_top_k": op9_top_k,
@@ -62,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": sql.NEAR_DEDUP,
+    "op3_decontamination": sql.DECONTAMINATION,
     "op9_top_k": sql.TOP_K,
 }
