@@ -85,28 +85,40 @@ def proximity(index: DataFrame, anchors: DataFrame, n_anchors: int) -> DataFrame
     return hit.where(F.size(F.array_except("phrase", "around")) == 0).drop("from_", "around", "offset")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text, ...)."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The item windows (item_id, phrase), and doc_id, of (hash of the text), spans, phrases of the rows that hold some."""
     listed = materialize(phrases(benchmark, window), "phrases")
     terms = materialize(listed.select(F.explode("phrase").alias("term")).distinct(), "terms")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    tokens = rows.select("doc_id", F.xxhash64("text").alias("of"), words(F.col("text")).alias("w"))
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"), words(F.coalesce("text", F.lit(""))).alias("w"))
     counts = materialize(term_counts(tokens.select("w"), terms, terms.count()), "term-counts")
     anchors = materialize(rarest(listed, counts), "anchors")
     wanted = materialize(anchors.select("term").distinct(), "anchor-terms")
     index = postings(tokens, wanted, wanted.count(), window - 1)
     found = occurrences(index, anchors, anchors.count())
     spans = found.groupBy("doc_id", "of").agg(F.collect_set(F.struct("start", F.size("phrase").alias("n"))).alias("spans"), F.collect_set("phrase").alias("phrases"))
-    spans = materialize(spans, "hits")
+    return listed, materialize(spans, "hits")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs without any item window, with all their columns."""
+    bad = hits(docs, benchmark, window)[1].select(F.col("doc_id").alias("bad_doc"), F.col("of").alias("bad_of"))
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["bad_doc"]) & (F.xxhash64(docs["text"]) == bad["bad_of"])
+    return docs.join(_small(bad, bad.count()), same, "left_anti")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text, ...)."""
+    listed, spans = hits(docs, benchmark, window)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
-    hits = spans.select("doc_id", "of", covered.cast("long").alias("n_hit"))
+    counted = spans.select("doc_id", "of", covered.cast("long").alias("n_hit"))
     items = spans.select("doc_id", "of", F.explode("phrases").alias("phrase")).join(_small(listed, listed.count()), "phrase")
     items = items.groupBy("doc_id", "of").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     items = items.select("doc_id", "of", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"))
     named = items.withColumnsRenamed({"doc_id": "item_doc", "of": "item_of"})
-    both = hits.join(named, F.col("doc_id").eqNullSafe(F.col("item_doc")) & (F.col("of") == F.col("item_of")), "left")
+    both = counted.join(named, F.col("doc_id").eqNullSafe(F.col("item_doc")) & (F.col("of") == F.col("item_of")), "left")
     both = both.select(F.col("doc_id").alias("hit_doc"), F.col("of").alias("hit_of"), "n_hit", "n_items", "items_sha256")
-    sizes = rows.select("doc_id", F.xxhash64("text").alias("of"), F.size(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).cast("long").alias("n_words"))
+    sizes = rows.select("doc_id", F.xxhash64("text").alias("of"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))).cast("long").alias("n_words"))
     out = sizes.join(both, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("of") == F.col("hit_of")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

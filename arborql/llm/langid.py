@@ -27,7 +27,7 @@ from .textops import chunks, strings
 ROWS_PER_LANGUAGE, LANGUAGES = 800, 200
 DIM, SIZES, BITS, RIDGE = 2048, (1, 2, 3), 24, 1e-3
 #: A prediction is ambiguous if the runner-up's share of the two best is above this.
-AMBIGUOUS = 0.45
+AMBIGUOUS = 0.48
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -131,6 +131,23 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     return docs.select(*keep).mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
+def _accept(model: Model | None, schema_names: list[str]):
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = schema_names.index("text")
+        for batch in batches:
+            only = pa.RecordBatch.from_arrays([batch.column(k)], ["text"])
+            for judged in _predict(model)(iter([only])):
+                good = pc.and_(pc.not_equal(judged.column("lang_pred"), "und"), pc.invert(judged.column("ambiguous")))
+                yield batch.filter(good)
+
+    return accept
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs that have a language, unambiguously, with all their columns."""
+    return docs.mapInArrow(_accept(train(docs), docs.columns), docs.schema)
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for every row."""
     out = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs), ["doc_id", "text"])

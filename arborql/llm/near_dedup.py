@@ -30,6 +30,8 @@ from .textops import U64, as_long, chunks, mix, shingles, strings
 HALVES, PER_HALF, SHINGLE = 8, 2, 5
 #: Per cent: a pair is linked when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
+#: Lists of ids up to this length are broadcast to drop rows.
+BROADCAST_ROWS = 500_000
 _RND = np.random.RandomState(20240229)
 _XOR = _RND.randint(0, 1 << 62, 2 * HALVES * PER_HALF).astype(U64)
 _MUL = (_RND.randint(0, 1 << 62, 2 * HALVES * PER_HALF).astype(U64) << U64(1)) | U64(1)
@@ -146,3 +148,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = rows.join(names, on, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; of rows that repeat a kept doc_id and its text one stays."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    gone = materialize(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    rest = docs.join(_small(gone), docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    twice = materialize(ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "repeated")
+    if twice.isEmpty():
+        return rest
+    repeats = rest["doc_id"].cast("long") == twice["twice"]
+    once = rest.join(_small(twice), repeats, "left_anti")
+    return once.unionByName(rest.join(_small(twice), repeats, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Broadcast if it is small; else the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

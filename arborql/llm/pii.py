@@ -245,12 +245,17 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        k = batch.schema.get_field_index("text")
+        k, size = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
         valid = batch.column(k).is_valid().to_pylist()
-        texts = [redact(*x) if some else None for x, some in zip(_texts(batch.column(k)), valid)]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == k else batch.column(i) for i in range(batch.num_columns)], batch.schema.names)
+        was = [x if some else None for x, some in zip(_texts(batch.column(k)), valid)]
+        now = [redact(*x) if x else None for x in was]
+        columns = list(batch.columns)
+        columns[k] = pa.array(now, pa.string())
+        if size >= 0:
+            columns[size] = pa.array([len(n) if x and n != x[0] else c for x, n, c in zip(was, now, batch.column(size).to_pylist())], batch.column(size).type)
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with the same columns, personal data in text replaced."""
+    """docs with the same columns: personal data in text replaced, n_chars (if there is one) of changed rows counted anew."""
     return docs.mapInArrow(_redact, docs.schema)

@@ -4,10 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: SQL can't express the trained language ID; the stages are tested against brute force.
+from arborql.llm import decontaminate, langid, near_dedup, packing, pii
+from arborql.llm.common import materialize, ship, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those of an ambiguous language."""
+    ship(spark)
+    return langid.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    ship(spark)
+    return near_dedup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts."""
+    ship(spark)
+    return pii.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token sequences: one row for each piece of a document."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("pii", personal_data), ("packing", pack)]
+#: SQL can't express trained language ID, disguised personal data or BPE; each stage is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
