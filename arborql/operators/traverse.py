@@ -28,14 +28,16 @@ class Hop:
     source: str
     target: str
     rows: DataFrame
+    #: Whether one side determines the other, so that a chain of such hops meets no node twice.
+    once: bool = False
 
 
 def child_hops(store: GraphStore) -> list[Hop]:
-    return [Hop(a, b, x.select(F.col("parent").alias("src"), F.col("child").alias("dst"))) for (a, b), x in store.links.items()]
+    return [Hop(a, b, x.select(F.col("parent").alias("src"), F.col("child").alias("dst")), (a, b) in store.single_parent) for (a, b), x in store.links.items()]
 
 
 def parent_hops(store: GraphStore) -> list[Hop]:
-    return [Hop(b, a, x.select(F.col("child").alias("src"), F.col("parent").alias("dst"))) for (a, b), x in store.links.items()]
+    return [Hop(b, a, x.select(F.col("child").alias("src"), F.col("parent").alias("dst")), (a, b) in store.single_parent) for (a, b), x in store.links.items()]
 
 
 def edge_hops(store: GraphStore, field: str, where: Callable[[DataFrame], Column] | None = None) -> list[Hop]:
@@ -114,7 +116,7 @@ def _all(found: list[DataFrame], rows: DataFrame) -> DataFrame:
 
 
 def _chains(hops: list[Hop], sources: set[str], targets: set[str] | None) -> tuple[list[list[Hop]], bool] | None:
-    """All chains of hops from the source types that end in a target type, and whether a node can be met twice; None if there is a cycle."""
+    """All chains of hops from the source types that end in a target type, and whether one start can meet a node twice; None if there is a cycle."""
     out_of = defaultdict(list)
     for h in hops:
         out_of[h.source].append(h)
@@ -138,14 +140,14 @@ def _chains(hops: list[Hop], sources: set[str], targets: set[str] | None) -> tup
             if len(chains) > MAX_CHAINS:
                 return None
     ends = [c for c in chains if targets is None or c[-1].target in targets]
-    return ends, len({c[-1].target for c in ends}) < len(ends)
+    return ends, len({c[-1].target for c in ends}) < len(ends) or not all(h.once for c in ends for h in c)
 
 
-def bfs(store: GraphStore, rows: DataFrame, hops: list[Hop], sources: set[str] | None = None, targets: set[str] | None = None, include_head: bool = False, paths: bool = False, tree: bool = False) -> DataFrame:
+def bfs(store: GraphStore, rows: DataFrame, hops: list[Hop], sources: set[str] | None = None, targets: set[str] | None = None, include_head: bool = False, paths: bool = False) -> DataFrame:
     """All nodes that hops reach from the starts, each once a start; the start itself only with include_head.
 
     sources: the types of the starts; targets: the only types of interest (all are passed through).
-    tree: promises that no node has two ways from a start, which saves the dedupe.
+    The dedupe, a shuffle, is left out where single parents make it needless.
     """
     planned = _chains(hops, sources, targets) if sources is not None else None
     begin = _begin(rows, paths)
@@ -168,13 +170,7 @@ def bfs(store: GraphStore, rows: DataFrame, hops: list[Hop], sources: set[str] |
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    # Along parents a node of a multi-parent type is met again; along a tree of types it isn't, unless two starts share an id.
-    return out if tree or not twice and _functional(chains) else _once(out, paths)
-
-
-def _functional(chains: list[list[Hop]]) -> bool:
-    """Whether all chains have one hop, so that a start's neighbours are distinct already."""
-    return all(len(c) == 1 for c in chains)
+    return _once(out, paths) if twice else out
 
 
 def _loop(store: GraphStore, begin: DataFrame, hops: list[Hop], targets: set[str] | None, include_head: bool, paths: bool) -> DataFrame:

@@ -78,7 +78,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
         ("orders", "customer", "customer"): edge(orders, _id("or", "o_orderkey"), "customer", _id("cu", "o_custkey")),
     }
     aliases = region.select(F.col("r_name").alias("alias"), _id("re", "r_regionkey").alias("node_id"))
-    return GraphStore(spark, GraphSchema.of(SCHEMA), nodes, links, edges, aliases)
+    return GraphStore(spark, GraphSchema.of(SCHEMA), nodes, links, edges, aliases, frozenset(links))
 
 
 def with_line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

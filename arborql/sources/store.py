@@ -28,6 +28,8 @@ class GraphStore:
     links: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     edges: dict[tuple[str, str, str], DataFrame] = field(default_factory=dict)
     aliases: DataFrame | None = None
+    #: Pairs of types for which the source promises that a child has one parent of that type.
+    single_parent: frozenset = frozenset()
 
     # ------------------------------------------------------------ views
 
@@ -137,7 +139,7 @@ class GraphStore:
         typed = rows.select("parent", "child", self._type_column("parent").alias("a"), self._type_column("child").alias("b"))
         known = set(self.schema.types)
         pairs = [(r.a, r.b) for r in typed.select("a", "b").distinct().collect() if r.a in known and r.b in known]  # pairs of types: few
-        return self.with_(links={(a, b): typed.where((F.col("a") == a) & (F.col("b") == b)).select("parent", "child").distinct() for a, b in pairs})
+        return self.with_(single_parent=frozenset(), links={(a, b): typed.where((F.col("a") == a) & (F.col("b") == b)).select("parent", "child").distinct() for a, b in pairs})
 
     def with_edges(self, rows: DataFrame) -> GraphStore:
         typed = rows.select("*", self._type_column("src").alias("a"), self._type_column("dst").alias("b"))
