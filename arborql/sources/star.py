@@ -34,9 +34,20 @@ def lineitem_id():
     return F.concat(F.lit("li"), F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")))
 
 
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; its footer is read for the schema once in an application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(key[1]).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(key[1])
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
     """The snapshot over sf_dir; nothing is read until a query needs it."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    read = lambda t: read_table(spark, sf_dir, t)
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     typed = lambda df, t, i, **f: df.select(i.alias("id"), F.lit(t).alias("type"), *(c.alias(k) for k, c in f.items()))
     c = F.col
@@ -83,6 +94,6 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
 
 def with_line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their line items as an array of objects: id, items."""
-    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    item = read_table(spark, sf_dir, "lineitem")
     one = F.struct(F.col("l_linenumber").cast("long").alias("linenumber"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("returnflag"))
     return item.groupBy(_id("or", "l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(one)).alias("items"))
