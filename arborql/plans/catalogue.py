@@ -91,11 +91,9 @@ def s_heads(spark, d):
     return star_graph(spark, d).heads().select("id")
 
 
-@registered("SELECT concat('cu', o_custkey) AS src, concat('or', o_orderkey) AS dst FROM orders WHERE o_custkey <= 20")
+@registered("SELECT concat('cu', o_custkey) AS src, concat('or', o_orderkey) AS dst FROM orders")
 def s_edge_list(spark, d):
-    g = star_graph(spark, d)
-    few = g.nodes["customer"].where(F.substring("id", 3, 99).cast("long") <= 20).select(F.col("id").alias("src"))
-    return g.edge_rows("orders", {"customer"}).join(few, "src", "left_semi").select("src", "dst")
+    return star_graph(spark, d).edge_rows("orders", {"customer"}).select("src", "dst")
 
 
 @registered(f"SELECT {_LI} AS src, l_quantity AS quantity, l_discount AS discount FROM lineitem WHERE l_quantity >= 49")
@@ -169,11 +167,10 @@ def q_edge_field(spark, d):
     return tr.one_hop(_all(g, "orders"), tr.edge_hops(g, "customer"), sources={"orders"}).select("start_id", "id")
 
 
-@registered("SELECT concat('cu', c_custkey) AS start_id, concat('cu', c_custkey) AS id, 0 AS depth FROM customer WHERE c_custkey <= 50 UNION ALL SELECT concat('cu', o_custkey), concat('or', o_orderkey), 1 FROM orders WHERE o_custkey <= 50")
+@registered("SELECT concat('cu', c_custkey) AS start_id, concat('cu', c_custkey) AS id, 0 AS depth FROM customer UNION ALL SELECT concat('cu', o_custkey), concat('or', o_orderkey), 1 FROM orders")
 def q_bfs_edge(spark, d):
     g = star_graph(spark, d)
-    few = g.nodes["customer"].where(F.substring("id", 3, 99).cast("long") <= 50).select(F.col("id").alias("start_id"), "id")
-    return tr.bfs(g, few, tr.edge_hops(g, "orders"), {"customer"}, include_head=True).select("start_id", "id", "depth")
+    return tr.bfs(g, _all(g, "customer"), tr.edge_hops(g, "orders"), {"customer"}, include_head=True).select("start_id", "id", "depth")
 
 
 @registered(f"SELECT {_LI} AS start_id, concat('pa', l_partkey) AS id FROM lineitem WHERE l_quantity > 45 AND l_discount >= 0.05")
@@ -304,9 +301,9 @@ def q_filter_mixed_types(spark, d):
 # ---------------------------------------------------------------- postfix expressions
 
 
-@registered(f"SELECT {_LI} AS id, l_extendedprice * (1 - l_discount) AS net, l_quantity % 7 AS rest FROM lineitem WHERE l_returnflag = 'A'")
+@registered(f"SELECT {_LI} AS id, l_extendedprice * (1 - l_discount) AS net, l_quantity % 7 AS rest FROM lineitem")
 def q_rpn_arith(spark, d):
-    rows = star_graph(spark, d).nodes["lineitem"].where("returnflag = 'A'")
+    rows = star_graph(spark, d).nodes["lineitem"]
     node = rpn.Node(column=lambda p: F.col(p), id=F.col("id"))
     net = rpn.rpn_double('"discount" g #1 B "price" g D', None, node)
     rest = rpn.rpn_double('#7 "quantity" g E', None, node)
@@ -515,12 +512,11 @@ def q_agg_expression(spark, d):
 # ---------------------------------------------------------------- inheritance
 
 
-@registered(f"SELECT {_LI} AS start_id, c_mktsegment AS segment, r_name AS regionname FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE l_quantity = 50")
+@registered(f"SELECT {_LI} AS start_id, c_mktsegment AS segment, r_name AS regionname FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
 def q_inherit_field(spark, d):
     # The supplier's region is the nearest: three steps up, the customer's is four.
     g = star_graph(spark, d)
-    rows = g.nodes["lineitem"].where("quantity = 50").select(F.col("id").alias("start_id"), "id")
-    return inh.inherit_fields(g, rows, ["segment", "regionname"], sources={"lineitem"})
+    return inh.inherit_fields(g, _all(g, "lineitem"), ["segment", "regionname"], sources={"lineitem"}, paths=False)
 
 
 @registered("SELECT concat('or', o_orderkey) AS start_id, n_name AS nationname FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'F'")
