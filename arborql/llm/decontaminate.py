@@ -24,14 +24,19 @@ WINDOW = 10
 #: Rows of a benchmark-side table up to which it is broadcast; beyond it the joins shuffle.
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Upper-case letters count as letters here, so that the pattern also splits a text that isn't lower-cased.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words. Upper-case letters count as letters here, so that it also splits a text that isn't lower-cased.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def split_words(text: Column) -> Column:
+    """Splitting is several times as fast as extracting matches; only the ends can give empty words."""
+    return F.array_remove(F.split(text, _GAP), "")
 
 
 def words(text: Column) -> Column:
     """Words of the ASCII-lower-cased text. lower() is right where all is ASCII, and much cheaper."""
     low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
+    return split_words(low)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -118,7 +123,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     named = items.withColumnsRenamed({"doc_id": "item_doc", "of": "item_of"})
     both = counted.join(named, F.col("doc_id").eqNullSafe(F.col("item_doc")) & (F.col("of") == F.col("item_of")), "left")
     both = both.select(F.col("doc_id").alias("hit_doc"), F.col("of").alias("hit_of"), "n_hit", "n_items", "items_sha256")
-    sizes = rows.select("doc_id", F.xxhash64("text").alias("of"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))).cast("long").alias("n_words"))
+    sizes = rows.select("doc_id", F.xxhash64("text").alias("of"), F.size(split_words(F.coalesce("text", F.lit("")))).cast("long").alias("n_words"))
     out = sizes.join(both, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("of") == F.col("hit_of")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
