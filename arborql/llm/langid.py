@@ -24,7 +24,7 @@ from .grams import LETTERS, counts, unit
 from .textops import chunks, strings
 
 #: Bounds of the training sample: rows for each language, and languages (the most frequent).
-ROWS_PER_LANGUAGE, LANGUAGES = 800, 200
+ROWS_PER_LANGUAGE, LANGUAGES = 400, 100
 DIM, SIZES, BITS, RIDGE = 2048, (1, 2, 3), 24, 1e-3
 #: A prediction is ambiguous if the runner-up's share of the two best is above this.
 AMBIGUOUS = 0.48

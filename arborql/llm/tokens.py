@@ -14,7 +14,7 @@ from .textops import U64, chunks, span_hashes, strings
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points from here on, and apostrophes (contractions), go to the tokenizer as whole texts.
 PLAIN_BELOW = 0x250
-_SLOTS = 1 << 22
+_SLOTS = 1 << 21
 _MOST_IDS = 1 << 24
 
 
