@@ -568,12 +568,12 @@ def q_update_increment(spark, d):
     return g.nodes["part"].select("id", "retailprice")
 
 
-@registered("SELECT id, balance, op FROM (SELECT concat('cu', c_custkey) AS id, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS balance, CASE WHEN c_custkey % 10 = 0 THEN 'updated' ELSE 'kept' END AS op FROM customer UNION ALL SELECT concat('cu9', lpad(s_suppkey::VARCHAR, 9, '0')), s_acctbal, 'created' FROM supplier)")
+@registered("SELECT id, balance, op FROM (SELECT concat('cu', c_custkey) AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS balance, CASE WHEN c_mktsegment = 'BUILDING' THEN 'updated' ELSE 'kept' END AS op FROM customer UNION ALL SELECT concat('cu9', lpad(s_suppkey::VARCHAR, 9, '0')), s_acctbal, 'created' FROM supplier)")
 def q_upsert(spark, d):
     g = star_graph(spark, d)
     c, s = g.nodes["customer"], g.nodes["supplier"]
     key = F.substring("id", 3, 99)
-    new = c.where(key.cast("long") % 10 == 0).select("id", F.lit(0.0).alias("acctbal")).unionByName(s.select(F.concat(F.lit("cu9"), F.lpad(key, 9, "0")).alias("id"), "acctbal"))
+    new = c.where("segment = 'BUILDING'").select("id", F.lit(0.0).alias("acctbal")).unionByName(s.select(F.concat(F.lit("cu9"), F.lpad(key, 9, "0")).alias("id"), "acctbal"))
     return mutate.upsert_rows(c.select("id", "acctbal"), new).select("id", F.col("acctbal").alias("balance"), "op")
 
 
