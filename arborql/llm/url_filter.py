@@ -2,9 +2,11 @@
 
 A rule (host, path, verdict) fits its host and all subdomains if the url's path starts
 with the rule's; the longest rule wins. Urls that no rule fits get the verdict of their
-host: personalised PageRank carries trust along the links from trusted hosts, reversed
-PageRank carries distrust against the links from blocked hosts to those that link to
-them; a host whose distrust reaches the threshold and exceeds its trust is blocked.
+host: personalised PageRank carries trust along the links from trusted hosts; distrust
+goes against the links, from blocked hosts to those that link to them, each of which
+takes it by the share of its own links that goes there. So what a host gets depends on
+where it links, not on how many others link there too. A host whose distrust reaches the
+threshold and exceeds its trust is blocked.
 Seeds are the hosts of which more than half of the pages are allowed, or blocked, by
 rules. Links are counted by pair of hosts before any shuffle, so the page count of a host
 doesn't matter to the iterations.
@@ -23,8 +25,8 @@ from .common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, ENOUGH = 0.85, 20, 1e-4
-#: Distrust that blocks a host; a seed has 0.15 of its own.
+DAMPING, ROUNDS, ENOUGH = 0.85, 60, 1e-4
+#: Distrust that blocks a host; a seed has 0.15 of its own, a host that links only to seeds without links 0.1275.
 THRESHOLD = 0.02
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -54,15 +56,19 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Personalised PageRank of (src, dst, n) from seeds (host): host, score. Seeds count 1 each; what leaves the graph is lost."""
+def propagate(links: DataFrame, seeds: DataFrame, against: bool = False) -> DataFrame:
+    """Personalised PageRank of (src, dst, n) from seeds (host): host, score. Seeds count 1 each; what leaves the graph is lost.
+
+    Against the links, a host gets from each host it links to by the share of its own links.
+    """
+    giver, taker = ("dst", "src") if against else ("src", "dst")
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     share = materialize(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "shares")
     start = seeds.select("host", F.lit(1 - DAMPING).alias("score"))
     score = materialize(start, "rank")
     for _ in range(ROUNDS):
-        moved = share.join(score, share.src == score.host).groupBy("dst").agg(F.sum(F.col("w") * F.col("score") * DAMPING).alias("score"))
-        new = moved.select(F.col("dst").alias("host"), "score").unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
+        moved = share.join(score, share[giver] == score.host).groupBy(taker).agg(F.sum(F.col("w") * F.col("score") * DAMPING).alias("score"))
+        new = moved.select(F.col(taker).alias("host"), "score").unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
         new = materialize(new, "rank")
         old = score.select("host", (-F.col("score")).alias("score"))
         change = new.unionByName(old).groupBy("host").agg(F.abs(F.sum("score")).alias("d")).agg(F.max("d")).first()[0]
@@ -77,9 +83,8 @@ def host_verdicts(judged: DataFrame, links: DataFrame) -> DataFrame:
     tally = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
     tally = materialize(tally, "hosts")
     links = materialize(links, "links")
-    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     trust = propagate(links, tally.where("2 * good > n").select("host")).withColumnRenamed("score", "trust")
-    distrust = propagate(back, tally.where("2 * bad > n").select("host")).withColumnRenamed("score", "distrust")
+    distrust = propagate(links, tally.where("2 * bad > n").select("host"), against=True).withColumnRenamed("score", "distrust")
     both = distrust.join(trust, "host", "left")
     return both.select("host", ((F.col("distrust") >= THRESHOLD) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).alias("blocked"))
 

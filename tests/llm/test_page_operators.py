@@ -126,6 +126,28 @@ def test_url_verdicts(spark):
     assert len(got) == len(rows) and url_filter.filter_urls(pages(spark, rows).limit(0)).collect() == []
 
 
+def test_distrust_ignores_how_many_link_to_a_blocked_host(spark):
+    link = lambda host, n=1: f'<a href="http://{host}/">y</a>' * n
+    rows = [(0, "http://bad.net/", "")] + [(i, f"http://h{i}.io/", link("bad.net")) for i in range(1, 1001)]
+    rows += [(2000, "http://half.io/", link("bad.net") + link("fine.io")), (2001, "http://portal.io/", link("bad.net") + link("fine.io", 99)), (2002, "http://fine.io/", "")]
+    rows = [(i, u if i else "http://a.example.com/de/", h.replace("bad.net", "a.example.com")) for i, u, h in rows]
+    got = {x.page_id: x.verdict for x in url_filter.filter_urls(pages(spark, rows)).collect()}
+    assert {got[i] for i in range(1001)} == {"block"} and got[2000] == "block"
+    assert got[2001] == "allow" and got[2002] == "allow"  # a hundredth of its links
+
+
+def test_distrust_equals_brute_force(spark):
+    r = random.Random(7)
+    edges = {(f"h{a}", f"h{b}"): r.randrange(1, 5) for a, b in ((r.randrange(9), r.randrange(9)) for _ in range(25)) if a != b}
+    out = {a: sum(n for (x, _), n in edges.items() if x == a) for a, _ in edges}
+    want = {f"h{i}": 0.0 for i in range(9)}
+    for _ in range(200):
+        want = {h: 0.15 * (h == "h0") + 0.85 * sum(n / out[h] * want[b] for (a, b), n in edges.items() if a == h) for h in want}
+    links = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
+    got = {x.host: x.score for x in url_filter.propagate(links, spark.createDataFrame([("h0",)], "host string"), against=True).collect()}
+    assert got.keys() == {h for h in want if want[h]} and all(abs(got[h] - want[h]) < 1e-3 for h in got)
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(None, 3), (5, 5)]
