@@ -12,6 +12,7 @@ prediction is `und`. Repeated rows return repeated rows; extra columns are ignor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .grams import LETTERS, counts, unit
 from .textops import chunks, strings
 
-#: Bounds of the training sample: rows for each language, and languages (the most frequent).
-ROWS_PER_LANGUAGE, LANGUAGES = 400, 100
-DIM, SIZES, BITS, RIDGE = 2048, (1, 2, 3), 24, 1e-3
+#: Bounds of the training sample: rows for each language (every language is learned), and tasks that sum them up.
+ROWS_PER_LANGUAGE, TASKS = 400, 32
+DIM, SIZES, BITS, RIDGE, BLOCK = 2048, (1, 2, 3), 24, 1e-3, 64
 #: A prediction is ambiguous if the runner-up's share of the two best is above this.
 AMBIGUOUS = 0.48
 
@@ -41,10 +43,9 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, x in features(batch.column(2)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["h", "lang", "x"])
+def code_bits(n: int) -> int:
+    """Bits of the codewords of n languages: BITS for up to 16, and 6 more for each doubling, to keep them apart."""
+    return max(BITS, 6 * math.ceil(math.log2(max(n, 2))))
 
 
 def codewords(n: int, bits: int = BITS) -> np.ndarray:
@@ -61,29 +62,74 @@ def codewords(n: int, bits: int = BITS) -> np.ndarray:
     return best
 
 
+def _sums(rows: dict):
+    """lang, text -> blocks of the rows of X'WX and X'WY beside each other, X with a column of ones; rows: codeword and weight by lang."""
+    bits = len(next(iter(rows.values()))[0])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((DIM + 1, DIM + 1 + bits))
+        some = False
+        for batch in batches:
+            mine = [rows[k] for k in batch.column(0).to_pylist()]
+            for i, j, x in features(batch.column(1)):
+                some = True
+                x = np.hstack([x, np.ones((len(x), 1))])
+                xw = x * np.array([w for _, w in mine[i:j]])[:, None]
+                both += xw.T @ np.hstack([x, np.array([c for c, _ in mine[i:j]])])
+        for k in range(0, len(both) if some else 0, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([both[k : k + BLOCK].tobytes()], pa.binary())], ["k", "part"])
+
+    return sums
+
+
+def _add(group: pa.Table) -> pa.Table:
+    total = 0
+    for part in group.column("part"):
+        total = total + np.frombuffer(part.as_py())
+    return pa.table({"k": group.column("k").slice(0, 1).combine_chunks(), "part": pa.array([total.tobytes()], pa.binary())})
+
+
+def _right(rows: dict, w: np.ndarray):
+    """lang, text -> for each bit, how many rows its classifier gets right."""
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = np.zeros(w.shape[1])
+        for batch in batches:
+            code = [rows[k][0] for k in batch.column(0).to_pylist()]
+            for i, j, x in features(batch.column(1)):
+                hits += ((x @ w[:-1] + w[-1]) * np.array(code[i:j]) > 0).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([hits.tolist()], pa.list_(pa.float64()))], ["right"])
+
+    return right
+
+
 class Model:
     def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, trust: np.ndarray):
         self.languages, self.code, self.weights, self.trust = languages, code, weights, trust
 
     @classmethod
-    def fit(cls, x: np.ndarray, lang: list[str]) -> Model:
-        names = sorted(set(lang))
-        code = codewords(len(names))
-        at = {k: i for i, k in enumerate(names)}
-        row = np.array([at[k] for k in lang])
-        share = 1 / np.sqrt(np.bincount(row, minlength=len(names))[row])  # languages count alike
-        x1 = np.hstack([x, np.ones((len(x), 1))]) * share[:, None]
-        y = code[row] * share[:, None]
-        gram = x1.T @ x1
-        w = np.linalg.solve(gram + RIDGE * np.trace(gram) / len(gram) * np.eye(len(gram)), x1.T @ y)
-        right = ((x1 @ w) * y > 0).mean(0)
+    def fit(cls, sample: DataFrame) -> Model | None:
+        """sample: lang, text. Ridge regression on sums that the executors make: no row comes to the driver."""
+        tally = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+        if not tally:
+            return None
+        names = sorted(tally)
+        code = codewords(len(names), code_bits(len(names)))
+        rows = {k: (code[i], 1 / tally[k]) for i, k in enumerate(names)}  # languages count alike
+        dealt = sample.repartition(min(TASKS, -(-sum(tally.values()) // 1000)))
+        sums = dealt.mapInArrow(_sums(rows), "k int, part binary").groupBy("k").applyInArrow(_add, "k int, part binary")
+        both = np.vstack([np.frombuffer(r.part).reshape(-1, DIM + 1 + code.shape[1]) for r in sorted(sums.collect(), key=lambda r: r.k)])
+        gram = both[:, : DIM + 1]
+        w = np.linalg.solve(gram + RIDGE * np.trace(gram) / len(gram) * np.eye(len(gram)), both[:, DIM + 1 :])
+        hits = np.array([r.right for r in dealt.mapInArrow(_right(rows, w), "right array<double>").collect()]).sum(0)
+        right = hits / sum(tally.values())
         trust = np.log((right + 1e-3) / (1 - right + 1e-3))
         return cls(names, code, w, np.maximum(trust, 0) / max(np.maximum(trust, 0).sum(), 1e-9))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its score, and the runner-up's share of the two best."""
         out = x @ self.weights[:-1] + self.weights[-1]
-        loss = np.stack([(np.exp(-out * c) * self.trust).sum(1) for c in self.code], 1)
+        loss = (np.exp(-out) * self.trust) @ (self.code.T > 0) + (np.exp(out) * self.trust) @ (self.code.T < 0)
         p = np.exp(-6 * (loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         two = np.sort(p, 1)[:, -2:] if p.shape[1] > 1 else np.hstack([np.zeros((len(p), 1)), p])
@@ -91,20 +137,12 @@ class Model:
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """Fits on a bounded sample: about rows_per_language rows of each of the LANGUAGES most frequent languages."""
+    """Fits on a sample of about rows_per_language rows of every language (all rows of one that has fewer)."""
     known = docs.where("lang is not null and coalesce(pmod(crc32(cast(doc_id as string)), 4), 0) <> 2 and text rlike '[\\\\p{L}]'")
-    h = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-    tally = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not tally:
-        return None
-    chosen = F.lit(False)
-    for r in tally:
-        chosen = chosen | ((F.col("lang") == r.lang) & (h < int(min(1.0, 1.3 * rows_per_language / r.n) * (1 << 30))))
-    sample = known.where(chosen).select(h.alias("h"), "lang", "text")
-    got = sample.mapInArrow(_examples, "h long, lang string, x binary").orderBy("h").limit(2 * rows_per_language * len(tally)).collect()
-    seen: dict[str, int] = {}
-    rows = [r for r in got if (n := seen.setdefault(r.lang, 0)) < rows_per_language and not seen.update({r.lang: n + 1})]
-    return Model.fit(np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(float), [r.lang for r in rows])
+    h = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit("langid"))).otherwise(F.xxhash64("text", F.lit("langid"))), F.lit(1 << 30))
+    cuts = known.groupBy("lang").agg((F.least(F.lit(1.0), rows_per_language / F.count("*")) * (1 << 30)).alias("cut"))
+    sample = known.select("lang", "text", h.alias("h")).join(F.broadcast(materialize(cuts, "langid-cuts")), "lang").where("h < cut")
+    return Model.fit(materialize(sample.select("lang", "text"), "langid-sample"))
 
 
 def _predict(model: Model | None):

@@ -279,6 +279,18 @@ def test_language_id_held_out(spark):
     assert langid.predict_languages(docs.limit(0)).collect() == []
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(4)
+    names = [f"l{i:03}" for i in range(130)]
+    words = {k: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in names}
+    rows = [k for i, k in enumerate(names) for _ in range(12 if i < 100 else 8)]  # the last thirty are the rarest
+    docs = documents(spark, [" ".join(r.choices(words[k], k=40)) for k in rows], dict(enumerate(rows)))
+    got = {x.doc_id: x for x in langid.predict_languages(docs).collect()}
+    rare = [i for i, k in enumerate(rows) if k >= "l100"]
+    assert sum(got[i].lang_pred == rows[i] for i in rare) >= 0.95 * len(rare)
+    assert sum(got[i].lang_pred == k for i, k in enumerate(rows) if got[i].held_out) >= 0.95 * sum(x.held_out for x in got.values())
+
+
 def test_quality_held_out(spark):
     r = random.Random(3)
     texts, marks = [], []
