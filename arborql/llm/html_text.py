@@ -5,7 +5,8 @@ the longer path prefix in common (ties: the one before). The text lines outside
 are aligned with the partner's by longest common subsequence, and shared lines are
 deleted: that is the template. Lines inside an article or main element are never deleted
 by differencing, as copies of an article at neighbouring URLs would lose their text.
-Where a page has such an element, its main text is what is inside; elsewhere it is what
+Where a page has such an element with text (as parsed: one in a script, a comment or an
+attribute is none), its main text is what is inside; elsewhere it is what
 differencing leaves. Menus, headers, footers, sidebars, notices, adverts, forms, comments
 and markup go by element, role or class in both cases.
 
@@ -39,7 +40,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _NEVER = frozenset("nav aside footer form button select menu dialog object canvas audio video map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|comments?|replies|reply|disqus|respond|footer|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|skip|pagination|pager|copyright|disclaimer|toolbar|widget)(?:$|[\s_-])", re.I)
-ARTICLE = r"(?i)<(article|main)\b|\brole\s*=\s*[\"']?main\b"
+PLACE = "key long, host string, path string, page_id long"
 
 
 def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
@@ -141,9 +142,16 @@ def _hash(text: str) -> int:
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the text inside articles (null without any), the lines outside (if they are needed; null for those that structure drops) and their hashes."""
     for batch in batches:
-        hashes = [[_hash(x) for x in lines(h.as_py() or "")[1]] for h in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "host", "path", "page_id", "needs")), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "path", "page_id", "needs", "hashes"])
+        texts, own, hashes = [], [], []
+        for page in batch.column("html"):
+            inner, outer, passed = lines(page.as_py() or "")
+            texts.append(" ".join(inner) if inner else None)
+            own.append([] if inner else [x if ok else None for x, ok in zip(outer, passed)])
+            hashes.append([_hash(x) for x in outer])
+        kept = ["key", "host", "path", "page_id", "url"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(own, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], [*kept, "text", "own", "hashes"])
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +183,10 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """key, gone: which lines outside articles each page that needs it shares with its partner. pages: key, host, path, page_id, needs, html."""
-    short = materialize(pages.mapInArrow(_outlines, "key long, host string, path string, page_id long, needs boolean, hashes array<long>"), "outlines")
-    short = short.dropDuplicates(["key"])  # repeated rows aren't each other's partners
+    """key, gone: which lines outside articles each page that needs it shares with its partner. pages: key, host, path, page_id, needs, hashes."""
+    short = pages.dropDuplicates(["key"])  # repeated rows aren't each other's partners
     ordered = short.orderBy("host", "path", "page_id", "key")
-    ordered = materialize(ordered.mapInArrow(_number, "key long, host string, path string, page_id long, needs boolean, hashes array<long>, part int, nth long"), "ordered")
+    ordered = materialize(ordered.mapInArrow(_number, f"{PLACE}, needs boolean, hashes array<long>, part int, nth long"), "ordered")
     sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task of the sort
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     ranked = ordered.join(before, "part").select("key", "host", "path", "needs", "hashes", (F.col("base") + F.col("nth")).alias("rank"))
@@ -190,25 +197,23 @@ def template_lines(pages: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_differences, "key long, gone array<int>")
 
 
-def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.schema.names
-        gone = batch.column("gone").to_pylist() if "gone" in names else [None] * batch.num_rows
         texts = []
-        for page, out in zip(batch.column("html"), gone):
-            inner, outer, passed = lines(page.as_py() or "")
-            drop = set(out or ())
-            texts.append(" ".join(inner or [x for i, (x, ok) in enumerate(zip(outer, passed)) if ok and i not in drop]))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for own, gone in zip(batch.column("own").to_pylist(), batch.column("gone").to_pylist()):
+            drop = set(gone or ())
+            texts.append(" ".join(x for i, x in enumerate(own) if x is not None and i not in drop))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html, ...)."""
     key = F.xxhash64("page_id", "url", "html").alias("key")
-    needs = ~F.coalesce(F.col("html").rlike(ARTICLE), F.lit(False))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").select("*", key, needs.alias("needs"))
-    gone = template_lines(rows.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "page_id", "needs", "html"))
-    schema = "page_id long, url string, text string, n_chars long"
-    plain = rows.where("not needs").select("page_id", "url", "html").mapInArrow(_main, schema)
-    rest = rows.where("needs").select("page_id", "url", "html", "key").join(gone, "key", "left").select("page_id", "url", "html", "gone").mapInArrow(_main, schema)
-    return plain.unionByName(rest)
+    rows = pages.select(key, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    parsed = materialize(rows.mapInArrow(_outlines, f"{PLACE}, url string, text string, own array<string>, hashes array<long>"), "outlines")
+    needs = F.col("text").isNull()
+    gone = template_lines(parsed.select("key", "host", "path", "page_id", needs.alias("needs"), "hashes"))
+    plain = parsed.where(~needs).select("page_id", "url", "text")
+    rest = parsed.where(needs).select("page_id", "url", "own", "key").join(gone, "key", "left").select("page_id", "url", "own", "gone")
+    both = plain.unionByName(rest.mapInArrow(_left, "page_id long, url string, text string"))
+    return both.withColumn("n_chars", F.length("text").cast("long"))

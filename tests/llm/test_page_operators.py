@@ -186,6 +186,12 @@ def test_template_lines_go(spark):
     assert html_text.main_text(pages(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("said", ['<script>var t = "<article>"</script>', "<!-- <main> -->", '<noscript><div role="main">x</div></noscript>', "<article></article>"])
+def test_template_lines_go_where_article_is_only_mentioned(spark, said):
+    rows = [(i, f"http://h.com/a/{i}", f"<div>Home</div>{said}<p>text {i}</p><p>own {i}</p><div>Imprint</div>") for i in range(4)]
+    assert sorted((x.page_id, x.text) for x in html_text.main_text(pages(spark, rows)).collect()) == [(i, f"text {i} own {i}") for i in range(4)]
+
+
 # ---------------------------------------------------------------- top k
 
 
