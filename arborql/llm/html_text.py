@@ -1,9 +1,13 @@
 """Main text of web pages: page differencing between nearest URLs, with the page's own structure.
 
 Pages of a host are ordered by URL path, and each is paired with the neighbour that has
-the longer path prefix in common (ties: the one before). The text lines outside articles
-are aligned with the partner's by longest common subsequence, and shared lines are
-deleted: that is the template. Lines inside an article or main element are never deleted
+the longer path prefix in common (ties: the one before). Pages whose lines outside
+articles are all equal count as one, so a page's partner always differs from it. The text
+lines outside articles are aligned with the partner's by longest common subsequence, and
+shared lines are deleted: that is the template. If the partner is a near copy, only those
+are deleted that four fifths of the host's distinct pages have, at least five of them;
+in a host with fewer, near copies keep what they share, and where four fifths of the
+pages are near copies of each other, what they share can't be told from a template. Lines inside an article or main element are never deleted
 by differencing, as copies of an article at neighbouring URLs would lose their text.
 Where a page has such an element with text (as parsed: one in a script, a comment or an
 attribute is none), its main text is what is inside; elsewhere it is what
@@ -11,7 +15,8 @@ differencing leaves. Menus, headers, footers, sidebars, notices, adverts, forms,
 and markup go by element, role or class in both cases.
 
 The order is a range-partitioned sort of short line hashes, so a host with a third of all
-pages is spread over many tasks; neighbours across tasks meet by their global rank.
+pages is spread over many tasks; neighbours across tasks meet by the global rank of their
+runs of equal pages.
 
 Defined results: null or empty html gives an empty text. A null url counts as an empty
 host and path. Repeated rows return repeated rows with equal results. Extra columns are
@@ -40,6 +45,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _NEVER = frozenset("nav aside footer form button select menu dialog object canvas audio video map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|comments?|replies|reply|disqus|respond|footer|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|skip|pagination|pager|copyright|disclaimer|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Lines that stand in so large a part of a host's distinct pages, if these are ENOUGH, are its template whatever the partner is.
+USUAL, ENOUGH = 0.8, 5
+#: A partner with so large a part of a page's other lines is a near copy, not a page of the same template.
+NEAR = 2 / 3
 PLACE = "key long, host string, path string, page_id long"
 
 
@@ -155,10 +164,15 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n = TaskContext.get().partitionId(), 0
+    """Adds the number of the task and, within it, of the run of rows with equal outlines."""
+    part, run, last = TaskContext.get().partitionId(), -1, None
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(np.arange(n, n + batch.num_rows))], [*batch.schema.names, "part", "nth"])
-        n += batch.num_rows
+        if batch.num_rows:
+            outline = batch.column(batch.schema.names.index("outline")).to_numpy(zero_copy_only=False)
+            new = np.append(last is None or outline[0] != last, outline[1:] != outline[:-1])
+            runs = run + np.cumsum(new)
+            run, last = int(runs[-1]), outline[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(runs.astype(np.int64))], [*batch.schema.names, "part", "nth"])
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -174,26 +188,45 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
         out = []
-        for path, own, p_path, p, n_path, n in zip(*(rows[c] for c in ("path", "hashes", "before_path", "before", "after_path", "after"))):
+        for path, own, p_path, p, n_path, n, common in zip(*(rows[c] for c in ("path", "hashes", "before_path", "before", "after_path", "after", "common"))):
             use = p
             if p is None or n is not None and _common_prefix(path, n_path) > _common_prefix(path, p_path):
                 use = n
-            out.append(shared(own, use) if use else [])
+            gone = shared(own, use) if use else []
+            usual = set(common or ())
+            doubtful = sum(own[i] not in usual for i in gone)
+            if doubtful and doubtful >= NEAR * sum(x not in usual for x in own):  # a near copy
+                gone = [i for i in gone if own[i] in usual]
+            out.append(gone)
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "gone"])
 
 
+def common_lines(runs: DataFrame) -> DataFrame:
+    """host, common: the lines of a host's usual template, for the hosts that need them. runs: host, outline, hashes, needs."""
+    pages = runs.groupBy("host", "outline").agg(F.first("hashes").alias("hashes"), F.max("needs").alias("needs")).where("size(hashes) > 0")
+    hosts = pages.groupBy("host").agg(F.count("*").alias("n"), F.max("needs").alias("needs")).where(F.col("needs") & (F.col("n") >= ENOUGH)).select("host", "n")
+    each = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("m"))
+    return each.join(hosts, "host").where(F.col("m") >= USUAL * F.col("n")).groupBy("host").agg(F.collect_list("line").alias("common"))
+
+
 def template_lines(pages: DataFrame) -> DataFrame:
     """key, gone: which lines outside articles each page that needs it shares with its partner. pages: key, host, path, page_id, needs, hashes."""
-    short = pages.dropDuplicates(["key"])  # repeated rows aren't each other's partners
+    short = pages.dropDuplicates(["key"]).withColumn("outline", F.xxhash64("host", "hashes"))
     ordered = short.orderBy("host", "path", "page_id", "key")
-    ordered = materialize(ordered.mapInArrow(_number, f"{PLACE}, needs boolean, hashes array<long>, part int, nth long"), "ordered")
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task of the sort
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = ordered.join(before, "part").select("key", "host", "path", "needs", "hashes", (F.col("base") + F.col("nth")).alias("rank"))
-    other = lambda name, step: ranked.select(F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("hashes").alias(name), (F.col("rank") + step).alias("rank"))
-    own = ranked.where("needs").join(other("before", 1), "rank", "left").join(other("after", -1), "rank", "left")
+    ordered = materialize(ordered.mapInArrow(_number, f"{PLACE}, needs boolean, hashes array<long>, outline long, part int, nth long"), "ordered")
+    # A row for each task of the sort; its first run may go on from the task before.
+    by_task = Window.orderBy("part")
+    sizes = ordered.groupBy("part").agg((F.max("nth") + 1).alias("n"), F.min_by("outline", "nth").alias("first"), F.max_by("outline", "nth").alias("last"))
+    sizes = sizes.select("part", "n", F.coalesce((F.lag("last").over(by_task) == F.col("first")).cast("long"), F.lit(0)).alias("same"))
+    base = F.coalesce(F.sum(F.col("n") - F.col("same")).over(by_task.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("same")
+    ranked = ordered.join(sizes.select("part", base.alias("base")), "part").withColumn("run", F.col("base") + F.col("nth"))
+    runs = ranked.groupBy("run").agg(F.first("host").alias("host"), F.first("outline").alias("outline"), F.first("hashes").alias("hashes"), F.min("path").alias("low"), F.max("path").alias("high"), F.max("needs").alias("needs"))
+    runs = materialize(runs, "runs")
+    other = lambda name, path, step: runs.select(F.col("host").alias(f"{name}_host"), F.col(path).alias(f"{name}_path"), F.col("hashes").alias(name), (F.col("run") + step).alias("run"))
+    own = ranked.where("needs").select("key", "host", "path", "hashes", "run").join(other("before", "high", 1), "run", "left").join(other("after", "low", -1), "run", "left")
     near = lambda name, c: F.when(F.col(f"{name}_host") == F.col("host"), F.col(c)).alias(c)
-    pairs = own.select("key", "path", "hashes", near("before", "before_path"), near("before", "before"), near("after", "after_path"), near("after", "after"))
+    pairs = own.select("key", "host", "path", "hashes", near("before", "before_path"), near("before", "before"), near("after", "after_path"), near("after", "after"))
+    pairs = pairs.join(common_lines(runs), "host", "left").drop("host")
     return pairs.mapInArrow(_differences, "key long, gone array<int>")
 
 

@@ -192,6 +192,19 @@ def test_template_lines_go_where_article_is_only_mentioned(spark, said):
     assert sorted((x.page_id, x.text) for x in html_text.main_text(pages(spark, rows)).collect()) == [(i, f"text {i} own {i}") for i in range(4)]
 
 
+def test_copies_keep_their_text(spark):
+    page = lambda *own: "<div>Home</div><div>Topics</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>Imprint</div>"
+    story = [f"line {i} of the story" for i in range(8)]
+    own = {f"/a/{i}": story for i in range(1, 40)}  # equal pages
+    own |= {f"/b/{i}": [*story[:4], f"changed {i}", *story[5:]] for i in range(2)}  # near copies
+    own |= {f"/c/{i}": [f"c {i} {k}" for k in range(3)] for i in range(20)}
+    rows = [(n, f"http://h.com{p}", page(*x)) for n, (p, x) in enumerate(own.items())]
+    two = [(1000 + i, f"http://two.com/{i}", page(*story)) for i in range(2)] + [(1002, "http://near.com/1", page(*story)), (1003, "http://near.com/2", page(*story[1:], "end"))]
+    got = {x.page_id: x.text for x in html_text.main_text(pages(spark, rows + two).repartition(7)).collect()}
+    assert [got[n] for n in range(len(rows))] == [" ".join(x) for x in own.values()]
+    assert all(set(story[1:]) <= {x for x in story if x in got[n]} for n in (1000, 1001, 1002, 1003))
+
+
 # ---------------------------------------------------------------- top k
 
 
