@@ -28,7 +28,7 @@ from .components import connected_components
 from .textops import U64, as_long, chunks, mix, shingles, strings
 
 HALVES, PER_HALF, SHINGLE = 8, 2, 5
-#: Per cent: a pair is linked when 100 * intersection >= THRESHOLD * union.
+#: Per cent: a pair is linked when 100 * intersection >= threshold * union, unless the caller gives another one.
 THRESHOLD = 85
 #: Lists of ids up to this length are broadcast to drop rows.
 BROADCAST_ROWS = 500_000
@@ -115,7 +115,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("l.pos", "l.val", "r.pos", "r.val").alias("key"), "rep")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text, ...)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(texts.mapInArrow(sketch, SKETCH), "sketch")
@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(buckets.join(pivots, "key"), "members")
     first = members.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
     known = materialize(confirm(first, texts), "pivot-links")
-    linked = F.expr(f"100 * common >= {THRESHOLD} * total")
+    linked = F.expr(f"100 * common >= {threshold} * total")
     links = known.where(linked).select("x", "y")
     comp = materialize(connected_components(links), "first-components")
 
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = placed.where("other")
     u = rest.where("open").select("key", F.col("rep").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"))
     v = rest.select("key", F.col("rep").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("open").alias("oy"))
-    slack = 1 - THRESHOLD / 100 + 1e-9
+    slack = 1 - threshold / 100 + 1e-9
     second = u.join(v, "key").where((F.abs(F.col("dx") - F.col("dy")) <= slack) & (F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y"))))
     second = second.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = materialize(confirm(second, texts).where(linked).select("x", "y"), "other-links")
@@ -150,10 +150,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with all their columns; of rows that repeat a kept doc_id and its text one stays."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    gone = materialize(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = materialize(near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     rest = docs.join(_small(gone), docs["doc_id"].cast("long") == gone["gone"], "left_anti")
     twice = materialize(ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "repeated")
     if twice.isEmpty():

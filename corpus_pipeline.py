@@ -8,6 +8,10 @@ from arborql.llm import decontaminate, langid, near_dedup, packing, pii
 from arborql.llm.common import materialize, ship, table
 
 
+#: Per cent of common word shingles from which the pipeline takes two documents for near copies; op1_near_dedup has its own.
+NEAR = 80
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of an ambiguous language."""
     ship(spark)
@@ -17,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
     ship(spark)
-    return near_dedup.deduplicated(docs)
+    return near_dedup.deduplicated(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 
+from arborql.llm import near_dedup
 from arborql.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -25,6 +26,15 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_near_dedup_stage_drops_copies_from_four_fifths_on(spark):
+    words = [f"w{i}" for i in range(400)]
+    near = [f"x{i}" if i % 55 == 20 else w for i, w in enumerate(words)]  # 7 words changed: 361 of 431 shingles are common
+    far = [f"y{i}" if i % 40 == 20 else w for i, w in enumerate(words)]  # 10 changed: 346 of 446
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, near, far))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2}
+    assert near_dedup.near_duplicates(docs).where("kept").count() == 3  # op1_near_dedup links from 0.85 on
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
