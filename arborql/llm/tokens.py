@@ -12,8 +12,9 @@ import pyarrow as pa
 from .textops import U64, chunks, span_hashes, strings
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Code points from here on, and apostrophes (contractions), go to the tokenizer as whole texts.
+#: Texts with code points from here on, or with an added token's string, go to the tokenizer as a whole.
 PLAIN_BELOW = 0x250
+_CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 _SLOTS = 1 << 21
 _MOST_IDS = 1 << 24
 
@@ -33,15 +34,37 @@ def _classes() -> np.ndarray:
     return kind
 
 
+def _contracted(cp: np.ndarray, kind: np.ndarray, row_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the apostrophes that begin a contraction ('s, 're, ...), and how many letters follow."""
+    at = np.flatnonzero(cp == 39)
+    before = np.append(OTHER, kind)[at]  # the class of the character before
+    free = row_start[at] | (before != OTHER) & (np.append(0, cp)[at] != 32)  # else it joins the blank or sign before it
+    at = at[free]
+    size = np.zeros(len(at), np.int64)
+    end = np.append(row_start, True)  # a contraction doesn't cross into the next text
+    for letters in _CONTRACTIONS:
+        fits = at + len(letters) < len(cp)
+        for i, c in enumerate(letters, 1):
+            place = np.minimum(at + i, len(cp) - 1)
+            fits &= (cp[place] == ord(c)) & ~end[place]
+        size[fits] = len(letters)
+    return at[size > 0], size[size > 0]
+
+
 class Encoder:
-    """Ids of whole texts, equal to the tokenizer's own; keeps a bounded direct-mapped cache of words."""
+    """Ids of whole texts, equal to the tokenizer's own; keeps a bounded direct-mapped cache of words.
+
+    The strings of added tokens in a text are those tokens, as the tokenizer has it;
+    with literal=True they are ordinary text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [] if literal else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = _classes()
         self._clear()
 
@@ -71,7 +94,13 @@ class Encoder:
         last[-1:] = False
         last[at[1:-1][at[1:-1] > 0] - 1] = False
         begin |= last
-        begin[at[:-1][at[:-1] < len(cp)]] = True
+        row_start = np.zeros(len(cp), bool)
+        row_start[at[:-1][at[:-1] < len(cp)]] = True
+        begin |= row_start
+        short, size = _contracted(cp, kind, row_start)
+        begin[short + 1] = False
+        after = short + size + 1
+        begin[after[after < len(cp)]] = True
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(cp))
         if self.used > _MOST_IDS:
@@ -108,8 +137,13 @@ class Encoder:
             np.cumsum((u8 & 0xC0) != 0x80, out=leads[1:])
             at = leads[offsets[i : j + 1] - offsets[i]]
             odd = np.zeros(len(cp) + 1, np.int64)
-            np.cumsum((cp >= PLAIN_BELOW) | (cp == 39), out=odd[1:])
+            np.cumsum(cp >= PLAIN_BELOW, out=odd[1:])
             odd = np.diff(odd[at]) > 0
+            for token in self.added:
+                found = raw.find(token)
+                while found >= 0:
+                    odd[np.searchsorted(offsets[i : j + 1] - offsets[i], found, side="right") - 1] = True
+                    found = raw.find(token, found + 1)
             if odd.any():
                 keep = np.repeat(~odd, np.diff(at))
                 plain_at = np.zeros(j - i + 1, np.int64)

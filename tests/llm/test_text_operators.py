@@ -200,10 +200,24 @@ def encoder():
     return Encoder(default_path())
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.text(alphabet="ab  \n\t'é.1²日<|>A\xa0", max_size=25), max_size=6))
-def test_ids_equal_the_tokenizer(encoder, texts):
-    assert [list(x) for x in encoder.column(pa.array(texts, pa.string()))] == [list(encoder.whole(t)) for t in texts]
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(default_path())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["ab", "s", "re", "ve", "ll", "S", "'", "''", " ", "  ", "\n", "\t", "é", ".", "1", "²", "日", "<|", "A", "\xa0", "<|endoftext|>"]), max_size=14).map("".join), max_size=6))
+def test_ids_equal_the_tokenizer(encoder, tokenizer, texts):
+    assert [x.tolist() for x in encoder.column(pa.array(texts, pa.string()))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_in_a_text(encoder, tokenizer):
+    texts = ["plain", "ab <|endoftext|> cd", "<|endoftext|>", "it's", ""]
+    got = [x.tolist() for x in encoder.column(pa.array(texts))]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[1]
+    assert all(50256 not in x for x in Encoder(default_path(), literal=True).column(pa.array(texts)))
 
 
 @settings(max_examples=60, deadline=None)
@@ -227,8 +241,8 @@ def test_plan_is_best_fit_decreasing(lengths):
     assert sorted(sum(n for _, n in p) for p in placed.values()) == sorted(map(sum, bins))
 
 
-def test_packing_round_trip(spark, encoder):
-    texts = [None, "", "a b c", "word " * 5000, "日本語のテキスト'", "same"] + ["same"] * 40
+def test_packing_round_trip(spark, tokenizer):
+    texts = [None, "", "a b c", "word " * 5000, "日本語のテキスト'", "ab <|endoftext|> cd", "same"] + ["same"] * 40
     docs = documents(spark, texts).repartition(3)
     rows = packing.pack(docs).collect()
     by_doc, by_sequence = {}, {}
@@ -236,7 +250,7 @@ def test_packing_round_trip(spark, encoder):
         by_doc.setdefault(r.doc_id, []).append(r)
         by_sequence.setdefault(r.sequence_id, []).append(r)
     for i, t in enumerate(texts):
-        ids = [*encoder.whole(t or ""), 1]
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
         pieces = sorted(by_doc[i], key=lambda r: r.start)
         assert [r.start for r in pieces] == [sum(p.length for p in pieces[:k]) for k in range(len(pieces))]
         assert sum(r.length for r in pieces) == len(ids) == pieces[0].doc_tokens
