@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,15 +13,41 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder, removed at exit; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="arborql-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if "dir" not in _OWN:
+        made = tempfile.mkdtemp(prefix="arborql-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _OWN["dir"] = f"file://{made}"
+    return _OWN["dir"]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df once and reads it back; the files outlive any executor."""
-    path = f"{shared_dir(df.sparkSession)}/arborql/{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/arborql/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes df once to a new table in the shared folder and reads it back.
+
+    Unlike checkpoint() it computes df only once, and the copy is columnar. A lost
+    executor costs nothing: the files are in the shared folder.
+    """
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._arborql_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        path = getattr(df, "_arborql_path", None)
+        if path:
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

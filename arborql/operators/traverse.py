@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import GraphStore
-from .tables import materialize
+from .tables import discard, materialize
 
-MAX_CHAINS, MAX_LEVELS = 200, 10_000
+#: Unrolled chains at most; levels of a loop after which its tables are merged into one.
+MAX_CHAINS, COMPACT_EVERY = 200, 8
 
 
 @dataclass(frozen=True)
@@ -177,14 +178,20 @@ def _loop(store: GraphStore, begin: DataFrame, hops: list[Hop], targets: set[str
     adjacency = hops[0].rows if hops else None
     for h in hops[1:]:
         adjacency = adjacency.unionByName(h.rows)
-    frontier = visited = materialize(_once(begin, paths))
-    heads = visited
+    frontier = visited = materialize(_once(begin, paths), "level")
+    heads, levels = visited, [visited]
     while adjacency is not None:
         new = _once(_step(frontier, adjacency, paths), paths).join(visited.select("start_id", "id"), ["start_id", "id"], "left_anti")
-        frontier = materialize(new)
+        frontier = materialize(new, "level")
         if frontier.isEmpty():
+            discard(frontier)
             break
         visited = visited.unionByName(frontier)
+        levels.append(frontier)
+        if len(levels) > COMPACT_EVERY:  # else each level would read a table for every level before it
+            visited = materialize(visited, "visited")
+            discard(*(x for x in levels if x is not heads and x is not frontier))
+            levels = [visited]
     out = visited if include_head else visited.join(heads.select("start_id", "id"), ["start_id", "id"], "left_anti")
     if targets is not None:
         names = [store.schema.types[t].prefix for t in targets if t != "root"]
