@@ -3,55 +3,41 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
+from ..operators.tables import discard, materialize, new_path, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _FALLBACK:
-        _FALLBACK["dir"] = "file://" + tempfile.mkdtemp(prefix="arborql-shared-")
-    return _FALLBACK["dir"]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/arborql/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df to a new table in the shared folder once and reads it back.
-
-    Unlike checkpoint() it computes df only once, and the copy is columnar. A lost
-    executor costs nothing: the files are in the shared folder.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "materialize", "new_path", "shared_dir", "ship", "small", "table"]
+#: A table is broadcast up to so many rows and bytes of strings; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+_SHIPPED: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application, so that it needs no installation there."""
     context = spark.sparkContext
-    if _FALLBACK.get("shipped") == context.applicationId:
+    if _SHIPPED.get("to") == context.applicationId:
         return
     top = Path(__file__).resolve().parents[1]
-    packed = Path(tempfile.mkdtemp()) / "arborql-package.zip"
+    packed = Path(tempfile.mkdtemp()) / "arborql-package.zip"  # addPyFile copies it from the driver
     with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, str(p.relative_to(top.parent)))
     context.addPyFile(str(packed))
-    _FALLBACK["shipped"] = context.applicationId
+    _SHIPPED["to"] = context.applicationId
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it is small by rows and by bytes. df should be a written table, as this reads it."""
+    wide = any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in df.schema.fields)
+    held = F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))) if wide else F.lit(0)
+    n, held = df.agg(F.count("*"), F.coalesce(held, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df

@@ -2,21 +2,28 @@
 
 Base detectors work on the text as it is. The method then adds what a chain of
 transducers uncovers: each rewrites its input (homoglyphs and foreign digits to ASCII,
-invisible characters to nothing, spelled digits to digits, "at", "dot" and "plus"
-disguises to their signs) and carries for every output character the source characters
-it stands for, so that spans found in the normalised text map back to the source.
-A found span is added if something inside it was rewritten and if it overlaps no span
-that is already known.
+invisible characters to nothing, digits spelled in English, German, French or Spanish to
+digits, "at", "dot" and "plus" disguises to their signs), and a map of the rewritten
+ranges leads every span found in the normalised text back to the source characters.
+Every text goes through every transducer. A found span is added if something inside it
+was rewritten and if it overlaps no span that is already known.
+
+Plain words between blanks count as signs only in a full address: "john at example dot
+com", or "john.doe at example.com", where the part before "at" holds a dot, a digit or an
+underscore; "look at example.com" stays as it is.
 
 Defined results: null text counts as empty: no spans, and base_sha256 of the empty
-string. Repeated rows return repeated rows; a null doc_id is kept; extra columns are
-ignored. Offsets are code points, ends exclusive.
+string; an empty table gives no rows. Very long texts are searched whole: the map grows
+with the number of rewritten places only. Ties: of overlapping finds of the normalised
+text the leftmost is added. Repeated rows return repeated rows; a null doc_id is kept;
+extra columns are ignored. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .textops import chunks, strings
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind's index, end
+Edit = tuple[int, int, str]
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -80,6 +89,71 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+# ---------------------------------------------------------------- the map back to the source
+
+
+class Traced:
+    """A rewritten text and, for each rewritten place, the source range it stands for; all else is shifted."""
+
+    def __init__(self, text: str, places: list[tuple[int, int, int, int]] | None = None):
+        self.text = text
+        #: (start, end, source start, source end) of the rewritten places, in order and apart.
+        self.places = places or []
+        self.ends = [p[1] for p in self.places]
+
+    def left(self, i: int) -> int:
+        """Where in the source the character at i begins."""
+        k = bisect_right(self.ends, i)  # places that end at or before i
+        if k < len(self.places) and self.places[k][0] <= i:
+            return self.places[k][2]
+        return i + (self.places[k - 1][3] - self.places[k - 1][1] if k else 0)
+
+    def right(self, i: int) -> int:
+        """Where in the source the character before i ends."""
+        k = bisect_left(self.ends, i)  # places that end before i
+        while k < len(self.places) and self.places[k][0] == self.places[k][1] == i:
+            k += 1  # nothing stands there: not a part of the character before
+        if k < len(self.places) and self.places[k][0] < i:
+            return self.places[k][3]
+        done = bisect_left(self.ends, i)
+        return i + (self.places[done - 1][3] - self.places[done - 1][1] if done else 0)
+
+    def rewritten(self, start: int, end: int) -> bool:
+        """Whether anything between two places of the text was rewritten."""
+        k = bisect_right(self.ends, start)
+        if k < len(self.places) and self.places[k][0] < end:
+            return True
+        return self.right(end) - self.left(start) != end - start
+
+    def rewrite(self, edits: list[Edit]) -> Traced:
+        """Replaces the ranges, which are in order and apart, by the given texts."""
+        if not edits:
+            return self
+        parts: list[str] = []
+        places: list[tuple[int, int, int, int]] = []
+        done, shift, k, old = 0, 0, 0, self.places
+        for s, e, put in edits:
+            parts += (self.text[done:s], put)
+            while k < len(old) and old[k][1] <= s:
+                places.append((old[k][0] + shift, old[k][1] + shift, old[k][2], old[k][3]))
+                k += 1
+            a, b = self.left(s), self.right(e)
+            if k < len(old) and old[k][0] < s:  # a place that the edit cuts
+                places.append((old[k][0] + shift, s + shift, old[k][2], old[k][3]))
+            places.append((s + shift, s + shift + len(put), a, b))
+            shift += len(put) - (e - s)
+            while k < len(old) and old[k][1] <= e and old[k][0] < e:
+                k += 1
+            if k < len(old) and old[k][0] < e:
+                old = [*old[:k], (e, old[k][1], old[k][2], old[k][3]), *old[k + 1 :]]
+            done = e
+        places += ((x + shift, y + shift, a, b) for x, y, a, b in old[k:])
+        return Traced("".join((*parts, self.text[done:])), places)
+
+
+# ---------------------------------------------------------------- transducers
+
+
 def _homoglyphs() -> dict[int, str | None]:
     pairs = zip("АВЕЅІЈКМНОРСТУХаеіјорсухѕһԁԛԝгπΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρτυχικα", "ABESIJKMHOPCTYXaeijopcyxshdqwrnABEZHIKMNOPTYXovptuxika")
     table: dict[int, str | None] = {ord(a): b for a, b in pairs}
@@ -94,103 +168,139 @@ def _homoglyphs() -> dict[int, str | None]:
 
 GLYPHS = _homoglyphs()
 _ANY_GLYPH = re.compile("[" + "".join(map(re.escape, map(chr, GLYPHS))) + "]")
-_DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_WORD = "|".join(_DIGIT_WORDS)
-#: Four spelled digits and more, apart by blanks, hyphens or commas; single digits and groups may stand between.
-_SPELLED = re.compile(rf"\b(?:{_WORD})(?:(?:[ \t]*[-,][ \t]*|[ \t]+)(?:{_WORD}|[0-9]+))*\b", re.I)
-_ONE_WORD = re.compile(rf"\b(?:{_WORD})\b", re.I)
-_AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*", re.I)
-_DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*", re.I)
-_PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|[ \t]{1,3}dot[ \t]{1,3})[A-Za-z0-9_%+-]++){0,6}[ \t]{1,3}(?:at|@)[ \t]{1,3}[A-Za-z0-9-]++(?:(?:\.|[ \t]{1,3}dot[ \t]{1,3})[A-Za-z0-9-]++){0,6}(?<=[ \t.][A-Za-z]{2}|.[ \t.][A-Za-z]{1}|[A-Za-z]{3})", re.I)
-_PLAIN_AT, _PLAIN_DOT = re.compile(r"[ \t]+(?:at|@)[ \t]+", re.I), re.compile(r"[ \t]+dot[ \t]+", re.I)
-_WIDE_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+@[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]*\.[ \t]*)[A-Za-z0-9-])|(?<=[A-Za-z0-9])[ \t]+@(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9])")
-_NUMBER_DOT = re.compile(r"(?<=[0-9])[ \t]+(?:dot|point)[ \t]+(?=[0-9])|(?<=[0-9])[ \t]*[\[(][ \t]*\.[ \t]*[\])][ \t]*(?=[0-9])", re.I)
-_PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.I)
-_HINTS = ("dot", "@ ", " @", "[at", "(at", "{at", "<at", "( at", "[ at", "{ at", "[@", "(@", "{@", "[.", "(.", "{.", "plus ", "punkt", "punto", "point", "two", "three", "four", "five", "six", "seven", "eight", "nine", "zero", "one one")
-_TRIGGER = re.compile(rf"[\[({{<][ \t]*(?:at|@|dot|punkt|punto|point|\.)[ \t]*[\])}}>]|\b(?:dot|point)\b|[ \t]@|@[ \t]|\bplus[ \t]+[0-9]|\b(?:{_WORD})(?:[ \t]*[-,][ \t]*|[ \t]+)(?:(?:{_WORD})\b|[0-9])", re.I)
+#: Digits as words: English, German, French, Spanish.
+DIGIT_WORDS = {w: str(i) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve") for i, w in enumerate(words.split())} | {"oh": "0", "zwo": "2", "fuenf": "5"}
+AT_WORDS = ("at", "ät", "arroba", "arobase", "klammeraffe")
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+PLUS_WORDS = ("plus", "más")
+_WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_B, _E = r"(?<![^\W_])", r"(?![^\W_])"  # no letter or digit before, or after
+_GAP = r"(?:[ \t]*[-,][ \t]*|[ \t]+)"
+_SPELLED = re.compile(rf"{_B}(?:{_WORDS}){_E}(?:{_GAP}(?:(?:{_WORDS}){_E}|[0-9]+))*")
+_PART = re.compile(r"[^\W\d_]+|[0-9]+")
+_ATS, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
+#: In brackets.
+_AT = re.compile(rf"[\[({{<][ \t]*(?:{_ATS}|@)[ \t]*[\])}}>][ \t]*")
+_DOT = re.compile(rf"[\[({{<][ \t]*(?:{_DOTS}|\.)[ \t]*[\])}}>][ \t]*")
+#: As plain words: from each "at" outwards, at most six dots on either side.
+_PLAIN_AT = re.compile(rf"[ \t]{{1,3}}(?:{_ATS}|@)[ \t]{{1,3}}")
+_PLAIN_DOT = re.compile(rf"[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}}")
+_BEFORE = re.compile(rf"[a-z0-9_%+-]++(?:(?:\.|[ \t]{{1,3}}(?:{'|'.join(w[::-1] for w in DOT_WORDS)})[ \t]{{1,3}})[a-z0-9_%+-]++){{0,6}}")  # on the reversed text
+_AFTER = re.compile(rf"[a-z0-9-]++(?:(?:\.|[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}})[a-z0-9-]++){{1,6}}")
+_TOP = re.compile(r"[a-z]{2,}\Z")
+_CLEAR = re.compile(r"(?=.*[a-z]).*[.0-9_]", re.S)
+#: Blanks around a bare @.
+_WIDE_AT = re.compile(r"(?<=[a-z0-9])[ \t]+@[ \t]+(?=[a-z0-9-]+(?:[ \t]*\.[ \t]*)[a-z0-9-])|(?<=[a-z0-9])[ \t]+@(?=[a-z0-9])|(?<=[a-z0-9])@[ \t]+(?=[a-z0-9])")
+_NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOTS})[ \t]+(?=[0-9])|(?<=[0-9])[ \t]*[\[(][ \t]*\.[ \t]*[\])][ \t]*(?=[0-9])")
+_PLUS = re.compile(rf"{_B}(?:{'|'.join(PLUS_WORDS)})[ \t]+(?=[0-9])")
+
+
+def lower(text: str) -> str:
+    """ASCII letters in lower case; every offset stays."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def _spelled(text: str) -> list[Edit]:
+    """A run of digit words becomes their digits, without what stands between words."""
+    out = []
+    for m in _SPELLED.finditer(text):
+        done = None
+        for w in _PART.finditer(m[0]):
+            s = w.start() if done is None else done  # takes the gap before it along
+            put = DIGIT_WORDS.get(w[0], w[0])
+            if done is not None or put != w[0]:
+                out.append((m.start() + s, m.start() + w.end(), put))
+            done = w.end()
+    return out
 
 
-class Traced:
-    """A text of which every character knows its source range, and whether it was rewritten."""
+def _bracketed(pattern: re.Pattern, put: str, text: str) -> list[Edit]:
+    """Matches, with the blanks before them."""
+    out, done = [], 0
+    for m in pattern.finditer(text):
+        s = m.start()
+        while s > done and text[s - 1] in " \t":
+            s -= 1
+        out.append((s, m.end(), put))
+        done = m.end()
+    return out
 
-    def __init__(self, text: str, left: list[int], right: list[int], new: list[bool]):
-        self.text, self.left, self.right, self.new = text, left, right, new
 
-    @classmethod
-    def of(cls, text: str) -> Traced:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text))
+def _plain(text: str) -> list[Edit]:
+    """Signs written as words between blanks, where an address stands around them."""
+    out, done = [], 0
+    for m in _PLAIN_AT.finditer(text):
+        if m.start() < done:
+            continue
+        # a bounded stretch: longer local parts and hosts are no addresses
+        a = _BEFORE.match(text[max(done, m.start() - 320) : m.start()][::-1])
+        b = _AFTER.match(text, m.end(), m.end() + 320) if a else None
+        if not b or not _TOP.search(b[0]):
+            continue
+        start, end = m.start() - a.end(), b.end()
+        local, host = text[start : m.start()], b[0]
+        if not (_PLAIN_DOT.search(host) or _PLAIN_DOT.search(local) or _CLEAR.match(local)):
+            continue
+        dots = [(x.start(), x.end(), ".") for x in _PLAIN_DOT.finditer(text, start, m.start())]
+        out += [*dots, (m.start(), m.end(), "@"), *((x.start(), x.end(), ".") for x in _PLAIN_DOT.finditer(text, m.end(), end))]
+        done = end
+    return out
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> Traced:
-        """Replaces the ranges, which are in order and apart, by the given texts."""
-        if not edits:
-            return self
-        parts: list[str] = []
-        left: list[int] = []
-        right: list[int] = []
-        new: list[bool] = []
-        done = 0
-        for s, e, put in edits:
-            parts += (self.text[done:s], put)
-            left += self.left[done:s] + [self.left[s]] * len(put)
-            right += self.right[done:s] + [self.right[e - 1]] * len(put)
-            new += self.new[done:s] + [True] * len(put)
-            done = e
-        return Traced("".join((*parts, self.text[done:])), left + self.left[done:], right + self.right[done:], new + self.new[done:])
 
+def _each(pattern: re.Pattern, put: str):
+    return lambda text: [(m.start(), m.end(), put) for m in pattern.finditer(text)]
+
+
+def _has(text: str, words: tuple[str, ...]) -> bool:
+    return any(w in text for w in words)
 
-def _spell(m: re.Match) -> list[tuple[int, int, str]]:
-    """A run of digit words becomes their digits, without what stands between words."""
-    words = list(re.finditer(r"[A-Za-z]+|[0-9]+", m[0]))
-    if sum(w[0].lower() in _DIGIT_WORDS for w in words) < 1:
-        return []
-    base, out = m.start(), []
-    for i, w in enumerate(words):
-        s = w.start() if i == 0 else words[i - 1].end()  # takes the gap before it along
-        put = _DIGIT_WORDS.get(w[0].lower(), w[0])
-        if i or put != w[0]:
-            out.append((base + s, base + w.end(), put))
-    return out
 
+#: (edits of a text, what the text must hold: literals of the patterns, so nothing is missed).
+TRANSDUCERS = (
+    (lambda t: [(m.start(), m.end(), GLYPHS[ord(m[0])] or "") for m in _ANY_GLYPH.finditer(t)], lambda t: not t.isascii()),
+    (_spelled, lambda t: _has(t, tuple(DIGIT_WORDS))),
+    (_each(_NUMBER_DOT, "."), lambda t: _has(t, DOT_WORDS) or "(" in t or "[" in t),
+    (_each(_PLUS, "+"), lambda t: _has(t, PLUS_WORDS)),
+    (_plain, lambda t: _has(t, AT_WORDS) or "@" in t),
+    (lambda t: _bracketed(_AT, "@", t), lambda t: _has(t, ("[", "(", "{", "<"))),
+    (lambda t: _bracketed(_DOT, ".", t), lambda t: _has(t, ("[", "(", "{", "<"))),
+    (_each(_WIDE_AT, "@"), lambda t: "@" in t),
+)
 
-def _normalise(text: str) -> Traced:
-    t = Traced.of(text)
-    t = t.rewrite([(m.start(), m.end(), GLYPHS[ord(m[0])] or "") for m in _ANY_GLYPH.finditer(t.text)])
-    t = t.rewrite([x for m in _SPELLED.finditer(t.text) for x in _spell(m)])
-    t = t.rewrite([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(t.text)])
-    t = t.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(t.text)])
-    inner = [(m.start() + x.start(), m.start() + x.end(), put) for m in _PLAIN.finditer(t.text) if _PLAIN_DOT.search(m[0]) for put, pattern in (("@", _PLAIN_AT), (".", _PLAIN_DOT)) for x in pattern.finditer(m[0])]
-    t = t.rewrite(sorted(inner))
-    t = t.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(t.text)])
-    t = t.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(t.text)])
-    return t.rewrite([(m.start(), m.end(), "@") for m in _WIDE_AT.finditer(t.text)])
-
-
-def disguised_spans(text: str, known: list[Span], foreign: bool | None = None) -> list[Span]:
-    """What the base detectors find in the normalised text, in source offsets, beyond the known spans.
-
-    foreign tells whether the text may hold a homoglyph, where that is known already.
-    """
-    if foreign is None:
-        foreign = _ANY_GLYPH.search(text) is not None
-    if not foreign:
-        low = text.lower()
-        if not any(x in low for x in _HINTS) or not _TRIGGER.search(text):
-            return []
-    t = _normalise(text)
-    if not any(t.new) and len(t.text) == len(text):
+
+def normalise(text: str, foreign: bool = True) -> Traced:
+    """foreign: whether the text may hold a homoglyph."""
+    t = Traced(lower(text))
+    for edits, may in TRANSDUCERS if foreign else TRANSDUCERS[1:]:
+        if may(t.text):
+            t = t.rewrite(edits(t.text))
+    return t
+
+
+def disguised_spans(text: str, known: list[Span], foreign: bool = True) -> list[Span]:
+    """What the base detectors find in the normalised text, in source offsets, beyond the known spans."""
+    t = normalise(text, foreign)
+    if not t.places:
         return []
-    taken, out = sorted((s, e) for s, _, e in known), []
+    taken: list[tuple[int, int]] = []  # disjoint and in order
+    for s, _, e in sorted(known):
+        if taken and s < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(e, taken[-1][1])
+        else:
+            taken.append((s, e))
+    out = []
     for s, kind, e in base_spans(t.text):
-        a, b = t.left[s], t.right[e - 1]
-        if b - a == e - s and not any(t.new[s:e]):
+        if not t.rewritten(s, e):
             continue
-        if not any(x < b and a < y for x, y in taken):
+        a, b = t.left(s), t.right(e)
+        k = bisect_left(taken, (b,))  # from here on they begin behind it
+        if not k or taken[k - 1][1] <= a:
             out.append((a, kind, b))
-            taken.append((a, b))
+            taken.insert(k, (a, b))
     return out
 
 
-def find(text: str, foreign: bool | None = None) -> tuple[list[Span], list[Span]]:
+def find(text: str, foreign: bool = True) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
     base = base_spans(text)
     return base, sorted(base + disguised_spans(text, base, foreign))
@@ -216,7 +326,7 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def redact(text: str, foreign: bool | None = None) -> str:
+def redact(text: str, foreign: bool = True) -> str:
     """Every span becomes its kind in brackets; overlapping spans become one."""
     parts, done = [], 0
     for s, k, e in find(text, foreign)[1]:
@@ -240,6 +350,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and all spans, for every row."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -258,4 +369,5 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with the same columns: personal data in text replaced, n_chars (if there is one) of changed rows counted anew."""
+    ship(docs.sparkSession)
     return docs.mapInArrow(_redact, docs.schema)

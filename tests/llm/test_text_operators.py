@@ -168,6 +168,16 @@ def test_base_spans_equal_the_patterns(text):
         ("\uff14\uff11\uff11\uff11" + "1" * 12, "[card]"),
         ("at 192 dot 168 dot 1 dot 10 x", "at [ip] x"),
         ("look at example.com today, one two three go", "look at example.com today, one two three go"),
+        ("john [  at  ] example.com", "[email]"),
+        ("bob (\tat\t) ex.org", "[email]"),
+        ("write to john.doe at example.com today", "write to [email] today"),
+        ("bob_7 at mail.example.org.", "[email]."),
+        ("correo: ana arroba ejemplo punto es", "correo: [email]"),
+        ("hans (\u00e4t) beispiel (punkt) de", "[email]"),
+        ("Tel plus vier neun drei null eins zwei drei vier fünf sechs sieben", "Tel [phone]"),
+        ("plus trois trois un deux trois quatre cinq six sept huit neuf", "[phone]"),
+        ("más tres cuatro uno dos tres cuatro cinco seis siete ocho nueve", "[phone]"),
+        ("one dot two dot three dot four", "[ip]"),
         ("", ""),
     ],
 )
@@ -175,6 +185,55 @@ def test_disguises(text, redacted):
     assert pii.redact(text) == redacted
 
 
+PIECES = ["at", " at ", " AT ", "(at)", "[ \tat ]", "@", " @ ", "dot", " dot ", "(dot)", "[ . ]", " punkt ", ".", "one", " two ", "drei", "cinq ", "ocho", "-", ", ", "plus ", "+", "4", "12", " ", "\t", "(", "]", "john", "j.d", "ex", "com", "\u0430", "\u200b", "\uff14", "\u212a", "\u0130", "\u017f", "é"]
+
+
+class Slow:
+    """A text of which every character knows its source range."""
+
+    def __init__(self, text, ranges=None):
+        self.text, self.ranges = text, ranges or [(i, i + 1, False) for i in range(len(text))]
+
+    def rewrite(self, edits):
+        text, ranges, done = "", [], 0
+        for s, e, put in edits:
+            left, right = self.ranges[s][0], self.ranges[e - 1][1]
+            text, ranges, done = text + self.text[done:s] + put, ranges + self.ranges[done:s] + [(left, right, True)] * len(put), e
+        return Slow(text + self.text[done:], ranges + self.ranges[done:])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=16).map("".join))
+def test_transducers_equal_a_map_by_character_and_miss_nothing(text):
+    fast, slow = pii.Traced(pii.lower(text)), Slow(pii.lower(text))
+    for edits, may in pii.TRANSDUCERS:
+        found = edits(fast.text)
+        assert may(fast.text) or not found  # what a transducer asks for before it runs never hides an edit
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        fast, slow = fast.rewrite(found), slow.rewrite(found)
+        assert fast.text == slow.text
+        for s in range(len(slow.text)):
+            assert (fast.left(s), fast.right(s + 1)) == slow.ranges[s][:2]
+            for e in range(s + 1, min(s + 6, len(slow.text)) + 1):
+                gap = slow.ranges[e - 1][1] - slow.ranges[s][0] != e - s
+                assert fast.rewritten(s, e) == (gap or any(r[2] for r in slow.ranges[s:e]))
+    known = brute_base(text)
+    for s, _, e in pii.disguised_spans(text, known):
+        assert 0 <= s < e <= len(text) and not any(x < e and s < y for x, _, y in known)
+
+
+@pytest.mark.parametrize("offset", range(0, 40, 7))
+def test_edits_may_cut_and_swallow_rewritten_places(offset):
+    r = random.Random(offset)
+    fast, slow = pii.Traced("x" * 40), Slow("x" * 40)
+    for _ in range(6):
+        cuts = sorted(r.sample(range(len(fast.text) + 1), min(6, len(fast.text) // 2 * 2)))
+        edits = [(a, b, "yz"[: r.randrange(3)]) for a, b in zip(cuts[::2], cuts[1::2])]
+        fast, slow = fast.rewrite(edits), slow.rewrite(edits)
+        assert fast.text == slow.text
+        assert [(fast.left(i), fast.right(i + 1)) for i in range(len(fast.text))] == [x[:2] for x in slow.ranges]
+
+
 def test_spans_map_back_to_the_source():
     text = "é ask j\u043ehn\u200b.doe [at] example (dot) org or +1 (555) 555-0100"
     base, every = pii.find(text)
@@ -183,9 +242,21 @@ def test_spans_map_back_to_the_source():
 
 
 def test_pii_rows(spark):
-    docs = documents(spark, [None, "", "a@b.co", "x" * 200_000 + " 10.0.0.1", "1" * 100_000])
+    import hashlib
+
+    texts = [None, "", "a@b.co", "x" * 200_000 + " 10.0.0.1", "1" * 100_000, "+1 (555) 555-0100 é 4111 1111 1111 1111 a@b.co 1.2.3.4 a@b.co", "one two " * 50_000 + "j at ex dot org"]
+    docs = documents(spark, texts)
     got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
     assert [got[i].spans for i in range(5)] == ["", "", "email:0:6", "ip:200001:200009", ""]
+    assert got[6].spans == "email:400000:400015"
+    for i, t in enumerate(texts):  # the query's counts and digest by the patterns alone
+        if len(t or "") > 1000:
+            continue  # the patterns alone take quadratic time
+        base = brute_base(t or "")
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(k == x[1] for x in base) for k in range(4)]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+    both = docs.unionByName(docs.withColumn("doc_id", docs.doc_id * 0 + None))
+    assert pii.find_personal_data(both).count() == 2 * len(texts)
     out = {r.doc_id: r for r in pii.redacted(docs).collect()}
     assert out[0].text is None and out[2].text == "[email]" and out[2].n_chars == 7 and out[4].n_chars == 100_000
     assert pii.redacted(docs).columns == docs.columns
