@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import discard, materialize, new_path, shared_dir
 
-__all__ = ["discard", "materialize", "new_path", "shared_dir", "ship", "small", "table"]
+__all__ = ["discard", "map_arrow", "materialize", "new_path", "shared_dir", "ship", "small", "table"]
 #: A table is broadcast up to so many rows and bytes of strings; beyond, the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 _SHIPPED: dict[str, str] = {}
@@ -35,6 +36,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED["to"] = context.applicationId
 
 
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcast if it is small by rows and by bytes. df should be a written table, as this reads it."""
     wide = any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in df.schema.fields)

@@ -1,26 +1,30 @@
-"""Main text of web pages: page differencing between nearest URLs, with the page's own structure.
+"""Main text of web pages: page differencing between nearest URLs, with the page's own structure as a second vote.
 
 Pages of a host are ordered by URL path, and each is paired with the neighbour that has
-the longer path prefix in common (ties: the one before). Pages whose lines outside
-articles are all equal count as one, so a page's partner always differs from it. The text
-lines outside articles are aligned with the partner's by longest common subsequence, and
-shared lines are deleted: that is the template. If the partner is a near copy, only those
-are deleted that four fifths of the host's distinct pages have, at least five of them;
-in a host with fewer, near copies keep what they share, and where four fifths of the
-pages are near copies of each other, what they share can't be told from a template. Lines inside an article or main element are never deleted
-by differencing, as copies of an article at neighbouring URLs would lose their text.
-Where a page has such an element with text (as parsed: one in a script, a comment or an
-attribute is none), its main text is what is inside; elsewhere it is what
-differencing leaves. Menus, headers, footers, sidebars, notices, adverts, forms, comments
-and markup go by element, role or class in both cases.
+the longer path prefix in common (ties: the one before). Neighbours whose text lines are
+all equal count as one page, so a partner always differs, and equal pages get equal
+results. The lines of a page are aligned with its partner's by longest common
+subsequence. Shared lines are deleted, with two exceptions:
+
+* Inside an article or main element, and where the partner is a near copy, a shared line
+  goes only if it is usual in the host: four fifths of its distinct pages, at least five,
+  have it. Else a copied passage or article would be lost at both of its URLs.
+* Where four fifths of a host's pages are near copies of each other, what they share
+  can't be told from a template and goes.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, comments and markup that
+differencing leaves (most menus differ from page to page) go by element, role or class.
+Where a page has an article or main element with text (as parsed: one in a script, a
+comment or an attribute is none), only lines inside are left.
 
 The order is a range-partitioned sort of short line hashes, so a host with a third of all
 pages is spread over many tasks; neighbours across tasks meet by the global rank of their
 runs of equal pages.
 
-Defined results: null or empty html gives an empty text. A null url counts as an empty
-host and path. Repeated rows return repeated rows with equal results. Extra columns are
-ignored.
+Defined results: null or empty html, and an empty table, give an empty text, and no rows.
+A null url counts as an empty host and path. Very long pages: the alignment halves the
+partner until its tables fit into memory. Ties of the alignment are broken alike in all
+runs. Repeated rows return repeated rows with equal results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize, small
 from .url_filter import host_of, path_of
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(script|style|noscript|template|iframe|textarea|svg|title)\b(?:.*?</\1\s*>|.*)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/][^>]*\Z|[^<]++|<", re.S | re.I)
@@ -49,6 +53,8 @@ _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|
 USUAL, ENOUGH = 0.8, 5
 #: A partner with so large a part of a page's other lines is a near copy, not a page of the same template.
 NEAR = 2 / 3
+#: Bits of an alignment's tables; longer pages are aligned in halves.
+TABLE_BITS = 1 << 27
 PLACE = "key long, host string, path string, page_id long"
 
 
@@ -65,11 +71,9 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[str], list[str], list[bool]]:
-    """Blocks inside articles; blocks outside; and of these whether structure lets them pass."""
-    inner: list[str] = []
-    outer: list[str] = []
-    passed: list[bool] = []
+def lines(page: str) -> list[tuple[str, bool, bool]]:
+    """The text blocks in page order: text, whether it is inside an article, and whether structure lets it pass."""
+    out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     skip, depth = "", 0  # the unwanted element we are in, and how many of its name are open
     articles: list[str] = []
@@ -77,12 +81,8 @@ def lines(page: str) -> tuple[list[str], list[str], list[bool]]:
     def end_block() -> None:
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text:
-            if articles and not skip:
-                inner.append(text)
-            elif not articles:
-                outer.append(text)
-                passed.append(not skip)
+        if text and not (articles and skip):
+            out.append((text, bool(articles), not skip))
 
     for m in _TOKEN.finditer(page):
         tag = m[3] or m[6]
@@ -118,30 +118,55 @@ def lines(page: str) -> tuple[list[str], list[str], list[bool]]:
         elif articles and tag == articles[-1]:
             articles.append(tag)
     end_block()
-    return inner, outer, passed
+    return out
 
 
-def shared(a: list, b: list) -> list[int]:
-    """Indexes of a that are in a longest common subsequence of a and b, by bit-parallel dynamic programming."""
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each line of b the bit vector of the alignment of a with b up to it: a zero where the length grows."""
     mask = (1 << len(a)) - 1
     place: dict = {}
     for i, x in enumerate(a):
         place[x] = place.get(x, 0) | 1 << i
-    v, rows = mask, []
+    v = mask
     for y in b:
         u = v & place.get(y, 0)
         v = ((v + u) | (v - u)) & mask
-        rows.append(v)
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if rows[j - 1] >> (i - 1) & 1:
-            i -= 1
-        else:
-            j -= 1
-            if not (j and not rows[j - 1] >> (i - 1) & 1):
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of the longest common subsequence of b and each beginning of a."""
+    last = (1 << len(a)) - 1
+    for last in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def shared(a: list, b: list, most_bits: int = TABLE_BITS) -> list[int]:
+    """Indexes of a that are in a longest common subsequence of a and b, by bit-parallel dynamic programming."""
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    x, y = a[start : len(a) - end], b[start : len(b) - end]
+    if len(y) > 1 and len(x) * len(y) > most_bits:  # where the halves of b part a best
+        half = len(y) // 2
+        cut = int(np.argmax(_lengths(x, y[:half]) + _lengths(x[::-1], y[half:][::-1])[::-1]))
+        inner = shared(x[:cut], y[:half], most_bits) + [cut + i for i in shared(x[cut:], y[half:], most_bits)]
+    else:
+        inner, rows, i, j = [], list(_rows(x, y)), len(x), len(y)
+        while i and j:
+            if rows[j - 1] >> (i - 1) & 1:
                 i -= 1
-                out.append(i)
-    return out[::-1]
+            else:
+                j -= 1
+                if not (j and not rows[j - 1] >> (i - 1) & 1):
+                    i -= 1
+                    inner.append(i)
+        inner.reverse()
+    return [*range(start), *(start + i for i in inner), *range(len(a) - end, len(a))]
 
 
 def _hash(text: str) -> int:
@@ -151,16 +176,17 @@ def _hash(text: str) -> int:
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the text inside articles (null without any), the lines outside (if they are needed; null for those that structure drops) and their hashes."""
+    """Adds the lines (null for those that structure drops), the hashes of all lines, and whether they are inside an article."""
     for batch in batches:
-        texts, own, hashes = [], [], []
+        own, hashes, article = [], [], []
         for page in batch.column("html"):
-            inner, outer, passed = lines(page.as_py() or "")
-            texts.append(" ".join(inner) if inner else None)
-            own.append([] if inner else [x if ok else None for x, ok in zip(outer, passed)])
-            hashes.append([_hash(x) for x in outer])
+            found = lines(page.as_py() or "")
+            some = any(inside for _, inside, _ in found)
+            own.append([text if (inside if some else passed) else None for text, inside, passed in found])
+            hashes.append([_hash(text) for text, _, _ in found])
+            article.append(some)
         kept = ["key", "host", "path", "page_id", "url"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(own, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], [*kept, "text", "own", "hashes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(own, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(article, pa.bool_())], [*kept, "own", "hashes", "article"])
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,69 +210,72 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
+def template(own: list[int], partner: list[int], usual: set[int], article: bool) -> list[int]:
+    """Indexes of the lines of a page that go: those it shares with its partner, with the exceptions above."""
+    gone = shared(own, partner)
+    if not gone:
+        return gone
+    doubtful = sum(own[i] not in usual for i in gone)
+    if article or doubtful and doubtful >= NEAR * sum(x not in usual for x in own):
+        gone = [i for i in gone if own[i] in usual]
+    return gone
+
+
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
-        out = []
-        for path, own, p_path, p, n_path, n, common in zip(*(rows[c] for c in ("path", "hashes", "before_path", "before", "after_path", "after", "common"))):
+        keys, out = [], []
+        for run, low, high, own, article, before, p, after, n, common in zip(*(rows[c] for c in ("run", "low", "high", "hashes", "article", "before_path", "before", "after_path", "after", "common"))):
             use = p
-            if p is None or n is not None and _common_prefix(path, n_path) > _common_prefix(path, p_path):
+            if p is None or n is not None and _common_prefix(high, after) > _common_prefix(low, before):
                 use = n
-            gone = shared(own, use) if use else []
-            usual = set(common or ())
-            doubtful = sum(own[i] not in usual for i in gone)
-            if doubtful and doubtful >= NEAR * sum(x not in usual for x in own):  # a near copy
-                gone = [i for i in gone if own[i] in usual]
-            out.append(gone)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "gone"])
+            gone = template(own, use, set(common or ()), article) if use else []
+            if gone:
+                keys.append(run)
+                out.append(gone)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["run", "gone"])
 
 
 def common_lines(runs: DataFrame) -> DataFrame:
-    """host, common: the lines of a host's usual template, for the hosts that need them. runs: host, outline, hashes, needs."""
-    pages = runs.groupBy("host", "outline").agg(F.first("hashes").alias("hashes"), F.max("needs").alias("needs")).where("size(hashes) > 0")
-    hosts = pages.groupBy("host").agg(F.count("*").alias("n"), F.max("needs").alias("needs")).where(F.col("needs") & (F.col("n") >= ENOUGH)).select("host", "n")
-    each = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("m"))
+    """host, common: the lines of a host's usual template. At most a mean page's lines / USUAL for each host."""
+    pages = runs.groupBy("host", "outline").agg(F.first("hashes").alias("hashes")).where("size(hashes) > 0")
+    hosts = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH)
+    each = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("m")).where(F.col("m") >= USUAL * ENOUGH)
     return each.join(hosts, "host").where(F.col("m") >= USUAL * F.col("n")).groupBy("host").agg(F.collect_list("line").alias("common"))
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """key, gone: which lines outside articles each page that needs it shares with its partner. pages: key, host, path, page_id, needs, hashes."""
-    short = pages.dropDuplicates(["key"]).withColumn("outline", F.xxhash64("host", "hashes"))
+    """key, gone: which lines of a page go, for the pages that lose some. pages: key, host, path, page_id, article, hashes."""
+    short = pages.dropDuplicates(["key"]).withColumn("outline", F.xxhash64("host", "hashes", "article"))
     ordered = short.orderBy("host", "path", "page_id", "key")
-    ordered = materialize(ordered.mapInArrow(_number, f"{PLACE}, needs boolean, hashes array<long>, outline long, part int, nth long"), "ordered")
+    ordered = materialize(map_arrow(ordered, _number, f"{PLACE}, article boolean, hashes array<long>, outline long, part int, nth long"), "ordered")
     # A row for each task of the sort; its first run may go on from the task before.
     by_task = Window.orderBy("part")
     sizes = ordered.groupBy("part").agg((F.max("nth") + 1).alias("n"), F.min_by("outline", "nth").alias("first"), F.max_by("outline", "nth").alias("last"))
     sizes = sizes.select("part", "n", F.coalesce((F.lag("last").over(by_task) == F.col("first")).cast("long"), F.lit(0)).alias("same"))
     base = F.coalesce(F.sum(F.col("n") - F.col("same")).over(by_task.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("same")
-    ranked = ordered.join(sizes.select("part", base.alias("base")), "part").withColumn("run", F.col("base") + F.col("nth"))
-    runs = ranked.groupBy("run").agg(F.first("host").alias("host"), F.first("outline").alias("outline"), F.first("hashes").alias("hashes"), F.min("path").alias("low"), F.max("path").alias("high"), F.max("needs").alias("needs"))
+    ranked = ordered.join(F.broadcast(sizes.select("part", base.alias("base"))), "part").withColumn("run", F.col("base") + F.col("nth"))
+    first = lambda c: F.first(c).alias(c)
+    runs = ranked.groupBy("run").agg(first("host"), first("outline"), first("hashes"), first("article"), F.min("path").alias("low"), F.max("path").alias("high"))
     runs = materialize(runs, "runs")
     other = lambda name, path, step: runs.select(F.col("host").alias(f"{name}_host"), F.col(path).alias(f"{name}_path"), F.col("hashes").alias(name), (F.col("run") + step).alias("run"))
-    own = ranked.where("needs").select("key", "host", "path", "hashes", "run").join(other("before", "high", 1), "run", "left").join(other("after", "low", -1), "run", "left")
     near = lambda name, c: F.when(F.col(f"{name}_host") == F.col("host"), F.col(c)).alias(c)
-    pairs = own.select("key", "host", "path", "hashes", near("before", "before_path"), near("before", "before"), near("after", "after_path"), near("after", "after"))
-    pairs = pairs.join(common_lines(runs), "host", "left").drop("host")
-    return pairs.mapInArrow(_differences, "key long, gone array<int>")
-
-
-def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for own, gone in zip(batch.column("own").to_pylist(), batch.column("gone").to_pylist()):
-            drop = set(gone or ())
-            texts.append(" ".join(x for i, x in enumerate(own) if x is not None and i not in drop))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    pairs = runs.join(other("before", "high", 1), "run", "left").join(other("after", "low", -1), "run", "left")
+    pairs = pairs.select("run", "low", "high", "hashes", "article", "host", near("before", "before_path"), near("before", "before"), near("after", "after_path"), near("after", "after"))
+    common = materialize(common_lines(runs), "common-lines")
+    # Without a usual line nothing goes from an article: such pages need no alignment.
+    pairs = pairs.join(small(common), "host", "left").where(~F.col("article") | F.col("common").isNotNull()).drop("host")
+    gone = materialize(map_arrow(pairs, _differences, "run long, gone array<int>"), "gone")
+    return ranked.select("key", "run").join(small(gone), "run").select("key", "gone")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html, ...)."""
     key = F.xxhash64("page_id", "url", "html").alias("key")
     rows = pages.select(key, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    parsed = materialize(rows.mapInArrow(_outlines, f"{PLACE}, url string, text string, own array<string>, hashes array<long>"), "outlines")
-    needs = F.col("text").isNull()
-    gone = template_lines(parsed.select("key", "host", "path", "page_id", needs.alias("needs"), "hashes"))
-    plain = parsed.where(~needs).select("page_id", "url", "text")
-    rest = parsed.where(needs).select("page_id", "url", "own", "key").join(gone, "key", "left").select("page_id", "url", "own", "gone")
-    both = plain.unionByName(rest.mapInArrow(_left, "page_id long, url string, text string"))
-    return both.withColumn("n_chars", F.length("text").cast("long"))
+    parsed = materialize(map_arrow(rows, _outlines, f"{PLACE}, url string, own array<string>, hashes array<long>, article boolean"), "outlines")
+    gone = materialize(template_lines(parsed.select("key", "host", "path", "page_id", "article", "hashes")), "gone-lines")
+    # Only pages that lose lines are looked up; where these are few, no text is shuffled.
+    left = parsed.select("key", "page_id", "url", "own").join(small(gone), "key", "left")
+    kept = F.when(F.col("gone").isNull(), F.col("own")).otherwise(F.filter("own", lambda x, i: ~F.array_contains("gone", i)))
+    return left.select("page_id", "url", F.array_join(kept, " ").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

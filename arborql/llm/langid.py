@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .grams import LETTERS, counts, unit
 from .textops import chunks, strings
 
@@ -117,11 +117,11 @@ class Model:
         code = codewords(len(names), code_bits(len(names)))
         rows = {k: (code[i], 1 / tally[k]) for i, k in enumerate(names)}  # languages count alike
         dealt = sample.repartition(min(TASKS, -(-sum(tally.values()) // 1000)))
-        sums = dealt.mapInArrow(_sums(rows), "k int, part binary").groupBy("k").applyInArrow(_add, "k int, part binary")
+        sums = map_arrow(dealt, _sums(rows), "k int, part binary").groupBy("k").applyInArrow(_add, "k int, part binary")
         both = np.vstack([np.frombuffer(r.part).reshape(-1, DIM + 1 + code.shape[1]) for r in sorted(sums.collect(), key=lambda r: r.k)])
         gram = both[:, : DIM + 1]
         w = np.linalg.solve(gram + RIDGE * np.trace(gram) / len(gram) * np.eye(len(gram)), both[:, DIM + 1 :])
-        hits = np.array([r.right for r in dealt.mapInArrow(_right(rows, w), "right array<double>").collect()]).sum(0)
+        hits = np.array([r.right for r in map_arrow(dealt, _right(rows, w), "right array<double>").collect()]).sum(0)
         right = hits / sum(tally.values())
         trust = np.log((right + 1e-3) / (1 - right + 1e-3))
         return cls(names, code, w, np.maximum(trust, 0) / max(np.maximum(trust, 0).sum(), 1e-9))
@@ -166,7 +166,7 @@ def _predict(model: Model | None):
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns keep of docs (text among them) with lang_pred, score and ambiguous."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep).mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return map_arrow(docs.select(*keep), _predict(model), f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def _accept(model: Model | None, schema_names: list[str]):
@@ -183,7 +183,7 @@ def _accept(model: Model | None, schema_names: list[str]):
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that have a language, unambiguously, with all their columns."""
-    return docs.mapInArrow(_accept(train(docs), docs.columns), docs.schema)
+    return map_arrow(docs, _accept(train(docs), docs.columns), docs.schema)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

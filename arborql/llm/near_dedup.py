@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .components import connected_components
 from .textops import U64, as_long, chunks, mix, shingles, strings
 
@@ -102,7 +102,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     s = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
     t = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text_y"))
     joined = pairs.join(s, "x").join(t, "y").select("x", "y", "text_x", "text_y")
-    return joined.mapInArrow(_overlap, "x long, y long, common long, total long")
+    return map_arrow(joined, _overlap, "x long, y long, common long, total long")
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text, ...)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(texts.mapInArrow(sketch, SKETCH), "sketch")
+    rows = materialize(map_arrow(texts, sketch, SKETCH), "sketch")
     fp = ["f1", "f2", "n_shingles"]
     reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*fp).agg(F.min(F.struct("doc_id", "a", "b")).alias("m"))
     reps = materialize(reps.select(*fp, F.col("m.doc_id").alias("rep"), "m.a", "m.b"), "sets")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .tokens import Encoder, default_path
 
 WINDOW, END = 2048, 1
@@ -130,11 +130,11 @@ def _place(entries: list[tuple[int, int, int, int, int]]):
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, ...) -> one row for each piece, with its sequence and its offset there."""
-    pieces = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer_path or default_path(), window), PIECE), "pieces")
+    pieces = materialize(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _cut(tokenizer_path or default_path(), window), PIECE), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     # At most one entry for each length up to the window: bounded, whatever the corpus.
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranked = pieces.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_place(plan(histogram, window)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"), _place(plan(histogram, window)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

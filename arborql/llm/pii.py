@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import map_arrow
 from .textops import chunks, strings
 
 KINDS = ("email", "ip", "card", "phone")
@@ -350,8 +350,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and all spans, for every row."""
-    ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,5 +368,4 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with the same columns: personal data in text replaced, n_chars (if there is one) of changed rows counted anew."""
-    ship(docs.sparkSession)
-    return docs.mapInArrow(_redact, docs.schema)
+    return map_arrow(docs, _redact, docs.schema)

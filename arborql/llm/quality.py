@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .grams import SHAPES, counts, repeats, unit
 from .textops import chunks, strings
 
@@ -91,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     chosen = [known.where(F.col("quality") == q).withColumn("h", h).orderBy("h", "doc_id").limit(rows_per_class) for q in sorted(n)]
     few = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])
     texts = docs.select(key, "text").join(F.broadcast(few), "doc_id")  # at most 2 * rows_per_class rows
-    got = texts.select("h", "quality", "text").mapInArrow(_examples, "h long, quality int, x binary").orderBy("h").limit(4 * rows_per_class).collect()
+    got = map_arrow(texts.select("h", "quality", "text"), _examples, "h long, quality int, x binary").orderBy("h").limit(4 * rows_per_class).collect()
     if not got:
         return None
     return Model.fit(np.stack([np.frombuffer(r.x, np.float32) for r in got]).astype(float), np.array([r.quality for r in got]), n.get(1, 0) / sum(n.values()))
@@ -111,6 +112,6 @@ def _score(model: Model | None):
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(train(docs, labels)), "doc_id long, score double")
+    out = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _score(train(docs, labels)), "doc_id long, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))

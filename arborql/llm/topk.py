@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import map_arrow, new_path
 
 K, SCALE = 10, 1024
 #: Queries in one block, and bins of one histogram.
@@ -118,14 +118,14 @@ def _winners(queries: Queries, bound: np.ndarray, k: int):
 def _search(vectors: DataFrame, queries: Queries, k: int) -> DataFrame:
     n = len(queries.ids)
     low, high = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    ends = vectors.mapInArrow(_bracket(queries, k), "q long, low long, high long, least long").groupBy("q").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"))
+    ends = map_arrow(vectors, _bracket(queries, k), "q long, low long, high long, least long").groupBy("q").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"))
     for r in ends.collect():  # a row for each query of the block
         low[r.q], high[r.q] = (r.low if r.low > LOW else r.least), r.high
     while True:
         width = np.maximum(1, -(-(high - low + 1) // BINS))
         if not (high > low).any():
             break
-        counted = vectors.mapInArrow(_histogram(queries, low, width, high, k), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        counted = map_arrow(vectors, _histogram(queries, low, width, high, k), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("q").orderBy(F.desc("bin"))
         reached = counted.withColumn("total", F.sum("n").over(down)).where(f"total >= {k}").groupBy("q").agg(F.max("bin").alias("bin"))
         was_low, was_high = low.copy(), high.copy()
@@ -135,7 +135,7 @@ def _search(vectors: DataFrame, queries: Queries, k: int) -> DataFrame:
                 high[r.q] = min(was_high[r.q], low[r.q] + width[r.q] - 1)
         high = np.where((low == was_low) & (high == was_high), low, high)  # fewer than k candidates: all count
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    kept = vectors.mapInArrow(_winners(queries, low, k), "query_id long, vec_id long, score long")
+    kept = map_arrow(vectors, _winners(queries, low, k), "query_id long, vec_id long, score long")
     return kept.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 

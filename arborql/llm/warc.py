@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import map_arrow, materialize, new_path
 
 #: Payloads below this size are never revisits. Packages are closed, and ranges end, at about these sizes.
 LEAST_REVISIT, PACKAGE_BYTES, RANGE_BYTES = 0, 256 << 20, 1 << 20
@@ -234,14 +234,14 @@ def write_packages(pages: DataFrame, least_revisit: int = LEAST_REVISIT, folder:
     refers = F.when((size >= least_revisit) & ~F.col("original").eqNullSafe(F.col("page_id")), F.col("original"))
     marked = rows.join(shared, "sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
     folder = folder or new_path(pages.sparkSession, "warc")
-    return materialize(marked.mapInArrow(_write(folder), "package string, bytes long, records long"), "packages")
+    return materialize(map_arrow(marked, _write(folder), "package string, bytes long, records long"), "packages")
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload of every record of the listed packages."""
-    ranges = packages.mapInArrow(_locate, "package string, start long, lengths array<long>")
+    ranges = map_arrow(packages, _locate, "package string, start long, lengths array<long>")
     tasks = max(packages.sparkSession.sparkContext.defaultParallelism, int(packages.agg(F.sum("bytes")).first()[0] or 0) // (16 << 20))
-    return ranges.repartition(tasks).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return map_arrow(ranges.repartition(tasks), _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 import base64
 import hashlib
 import io
+import os
 import random
 import struct
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from arborql.llm import components, html_text, topk, url_filter, warc
@@ -169,11 +172,92 @@ def test_components(spark):
 # ---------------------------------------------------------------- main text
 
 
-def test_lines_and_shared():
-    inner, outer, passed = html_text.lines('<nav>Menu</nav><article><header><h1>T&amp;T</h1></header><p>A&nbsp;b<br>c<div class="user-comments"><p>no</div><script>"<p>"</script><p>end</article><footer>x')
-    assert inner == ["T&T", "A b", "c", "end"] and outer == ["Menu", "x"] and passed == [False, False]
-    assert html_text.lines("<p><b>open <i>tags<p>next &am &eacute;<!-- no")[1] == ["open tags", "next &am é"]
-    assert html_text.shared(list("abcde"), list("xbdz")) == [1, 3]
+def test_lines():
+    found = html_text.lines('<nav>Menu</nav><article><header><h1>T&amp;T</h1></header><p>A&nbsp;b<br>c<div class="user-comments"><p>no</div><script>"<p>"</script><p>end</article><footer>x')
+    assert [t for t, inside, _ in found if inside] == ["T&T", "A b", "c", "end"]
+    assert [(t, ok) for t, inside, ok in found if not inside] == [("Menu", False), ("x", False)]
+    assert [t for t, _, _ in html_text.lines("<p><b>open <i>tags<p>next &am &eacute;<!-- no")] == ["open tags", "next &am é"]
+
+
+def brute_length(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14), st.sampled_from([1 << 27, 12, 0]))
+def test_alignment_is_a_longest_common_subsequence(a, b, most_bits):
+    got = html_text.shared(a, b, most_bits)
+    assert got == sorted(set(got)) and len(got) == brute_length(a, b)
+    rest = iter(b)
+    assert all(any(a[i] == y for y in rest) for i in got)
+
+
+def brute_texts(rows):
+    """Every page against its nearest one, host by host, in plain Python. rows: page_id, url, lines (text, inside)."""
+    out, hosts = {}, {}
+    for page, url, own in rows:
+        host, _, path = url.split("://")[1].partition("/")
+        hosts.setdefault(host, []).append(("/" + path, page, own))
+    for entries in hosts.values():
+        entries.sort(key=lambda e: e[:2])
+        runs = []
+        for e in entries:  # neighbours with equal lines are one page
+            if runs and runs[-1][0][2] == e[2]:
+                runs[-1].append(e)
+            else:
+                runs.append([e])
+        pages = {tuple(r[0][2]) for r in runs if r[0][2]}
+        n = len(pages)
+        usual = {x for p in pages for x, _ in p if n >= 5 and sum(x in {y for y, _ in q} for q in pages) >= 0.8 * n}
+        prefix = lambda a, b: len(os.path.commonprefix([a, b]))
+        for k, run in enumerate(runs):
+            before, after = runs[k - 1] if k else None, runs[k + 1] if k + 1 < len(runs) else None
+            partner = before
+            if before is None or after is not None and prefix(run[-1][0], after[0][0]) > prefix(run[0][0], before[-1][0]):
+                partner = after
+            own, other = [x for x, _ in run[0][2]], [x for x, _ in partner[0][2]] if partner else []
+            gone, j = [], 0
+            for i, x in enumerate(own):  # lines are distinct and in one order in these pages
+                if x in other[j:]:
+                    j = other.index(x, j) + 1
+                    gone.append(i)
+            article = any(inside for _, inside in run[0][2])
+            doubtful = sum(own[i] not in usual for i in gone)
+            if article or doubtful and doubtful >= 2 / 3 * sum(x not in usual for x in own):
+                gone = [i for i in gone if own[i] in usual]
+            for _, page, mine in run:
+                out[page] = " ".join(x for i, (x, inside) in enumerate(mine) if i not in gone and (inside or not article))
+    return out
+
+
+def test_main_text_equals_brute_force(spark):
+    r = random.Random(11)
+    rows = []
+    for h in range(9):
+        template = [f"t{h} {i}" for i in range(8)]
+        shared_story = [f"s{h} {i}" for i in range(5)]
+        for k in range(r.choice([1, 2, 4, 9, 30])):
+            kind = r.random()
+            body = shared_story if kind < 0.25 else [f"b{h} {k} {i}" for i in range(r.randrange(1, 5))]
+            if kind > 0.85:
+                body = shared_story[:3] + [f"b{h} {k}"]
+            top = [(x, False) for x in template[:5] if r.random() < 0.95]
+            foot = [(x, False) for x in template[6:] if r.random() < 0.95]
+            inside = h % 3 == 0 or h % 3 == 1 and r.random() < 0.5
+            inner = [*body, template[5]] if h % 2 else list(body)  # a line of the template may stand in the article
+            rows.append((len(rows), f"http://h{h}.org/{r.choice('ab')}/{r.randrange(50):02}", top + [(x, inside) for x in inner] + foot))
+    tag = lambda own: "".join(f"<article><p>{x}</p></article>" if inside else f"<p>{x}</p>" for x, inside in own)
+    html = [(i, u, tag(own)) for i, u, own in rows]
+    want = brute_texts(rows)
+    got = {x.page_id: x.text for x in html_text.main_text(pages(spark, html).repartition(6)).collect()}
+    assert got == want
+    plain = {i: " ".join(x for x, inside in own if inside or not any(y for _, y in own)) for i, _, own in rows}
+    assert sum(want[i] != plain[i] for i in want) > 20  # differencing decides, also in articles
+    assert any(want[i] != plain[i] for i, _, own in rows if any(y for _, y in own))
 
 
 def test_template_lines_go(spark):
@@ -181,7 +265,7 @@ def test_template_lines_go(spark):
     rows = [(i, f"http://h.com/a/{i:02}", body(f"text {i}")) for i in range(6)] + [(20, None, None), (21, "http://other.com/", "<p>alone</p>"), (22, "http://h.com/a/99", "<article><p>kept</p><p>Home</p></article><div>Imprint</div>")]
     rows += [(0, "http://h.com/a/00", body("text 0"))]
     got = sorted((x.page_id, x.text, x.n_chars) for x in html_text.main_text(pages(spark, rows)).collect())
-    want = sorted([(i, f"text {i} own text {i}", len(f"text {i} own text {i}")) for i in [0, 0, 1, 2, 3, 4, 5]] + [(20, "", 0), (21, "alone", 5), (22, "kept Home", 9)])
+    want = sorted([(i, f"text {i} own text {i}", len(f"text {i} own text {i}")) for i in [0, 0, 1, 2, 3, 4, 5]] + [(20, "", 0), (21, "alone", 5), (22, "kept", 4)])  # a usual line of the host goes from an article, too
     assert got == want
     assert html_text.main_text(pages(spark, rows).limit(0)).collect() == []
 
