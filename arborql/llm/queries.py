@@ -74,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": sql.NEAR_DEDUP,
+    "op2_warc": sql.WARC,
     "op3_decontamination": sql.DECONTAMINATION,
+    "op4_url_filter": sql.URL_FILTER,
     "op9_top_k": sql.TOP_K,
 }

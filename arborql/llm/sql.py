@@ -50,3 +50,45 @@ WITH dw AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages
+), bits AS (
+  SELECT *, array_to_string(list_transform(string_split(sha1(payload), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS b FROM p
+)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * b[5 * i + 1]::INT + 8 * b[5 * i + 2]::INT + 4 * b[5 * i + 3]::INT + 2 * b[5 * i + 4]::INT + b[5 * i + 5]::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+FROM bits
+"""
+
+URL_FILTER = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), judged AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p
+), link AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2
+), share AS (SELECT src, dst, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY src) AS w FROM link
+), host AS (
+  SELECT host, count(*) AS n, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS good, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS bad FROM judged WHERE host <> '' GROUP BY 1
+), flow AS (
+  SELECT 0 AS step, host, 0.15::DOUBLE AS trust, 0.0::DOUBLE AS distrust FROM host WHERE 2 * good > n
+  UNION ALL SELECT 0, host, 0.0, 0.15 FROM host WHERE 2 * bad > n
+  UNION ALL
+  SELECT step + 1, host, sum(trust), sum(distrust) FROM (
+    SELECT step, dst AS host, w * trust AS trust, 0.0 AS distrust FROM flow JOIN share ON src = host WHERE trust > 0
+    UNION ALL SELECT step, src, 0.0, w * distrust FROM flow JOIN share ON dst = host WHERE distrust > 0)
+  WHERE step < 110 GROUP BY 1, 2
+), score AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM flow GROUP BY 1)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') OR rule IS NULL AND distrust >= 0.02 AND distrust > trust THEN 'block' ELSE 'allow' END AS verdict
+FROM judged LEFT JOIN score USING (host)
+"""

@@ -12,8 +12,10 @@ rules. Links are counted by pair of hosts before any shuffle, so the page count
 doesn't matter to the iterations.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule
-and is allowed. Null html has no links. Repeated rows return repeated rows; extra columns
-are ignored.
+and is allowed. Null, empty or very long html gives the links it holds, none if null; an
+empty table gives no rows. Ties: equal trust and distrust allow; of rules of equal length
+the first listed counts. Repeated rows return repeated rows (and count as pages and links
+each); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, ENOUGH = 0.85, 60, 1e-4
+#: What may be missing of a score, and rounds after which flows are added up.
+DAMPING, ENOUGH, COMPACT_EVERY = 0.85, 1e-7, 20
 #: Distrust that blocks a host; a seed has 0.15 of its own, a host that links only to seeds without links 0.1275.
 THRESHOLD = 0.02
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -60,22 +63,31 @@ def propagate(links: DataFrame, seeds: DataFrame, against: bool = False) -> Data
     """Personalised PageRank of (src, dst, n) from seeds (host): host, score. Seeds count 1 each; what leaves the graph is lost.
 
     Against the links, a host gets from each host it links to by the share of its own links.
+    The score is the sum of the flows that have gone over 0, 1, 2, ... links, each of them
+    what the one before passes on. The loop ends when what may still come is below ENOUGH:
+    a flow's sum (its largest value, against the links, where shares of one host add up to
+    at most one) shrinks by DAMPING or more with each link. A host with very many links is
+    one side of an equi-join with a unique key, which is split at run time.
     """
     giver, taker = ("dst", "src") if against else ("src", "dst")
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
-    share = materialize(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "shares")
-    start = seeds.select("host", F.lit(1 - DAMPING).alias("score"))
-    score = materialize(start, "rank")
-    for _ in range(ROUNDS):
-        moved = share.join(score, share[giver] == score.host).groupBy(taker).agg(F.sum(F.col("w") * F.col("score") * DAMPING).alias("score"))
-        new = moved.select(F.col(taker).alias("host"), "score").unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
-        new = materialize(new, "rank")
-        old = score.select("host", (-F.col("score")).alias("score"))
-        change = new.unionByName(old).groupBy("host").agg(F.abs(F.sum("score")).alias("d")).agg(F.max("d")).first()[0]
-        score = new
-        if (change or 0) < ENOUGH:
+    share = materialize(links.join(out, "src").select(F.col(giver).alias("host"), F.col(taker).alias("to"), (DAMPING * F.col("n") / F.col("total")).alias("w")), "shares")
+    flow = total = materialize(seeds.select("host", F.lit(1 - DAMPING).alias("score")), "flow")
+    parts = [flow]
+    left = F.max("score") if against else F.sum("score")
+    while True:
+        flow = materialize(share.join(flow, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("w") * F.col("score")).alias("score")), "flow")
+        parts.append(flow)
+        total = total.unionByName(flow)
+        if (flow.agg(left).first()[0] or 0) * DAMPING / (1 - DAMPING) < ENOUGH:
             break
-    return score
+        if len(parts) > COMPACT_EVERY:
+            total = materialize(total.groupBy("host").agg(F.sum("score").alias("score")), "rank")
+            discard(*parts[:-1])
+            parts = [total, flow]
+    out = materialize(total.groupBy("host").agg(F.sum("score").alias("score")), "rank")
+    discard(share, *parts)
+    return out
 
 
 def host_verdicts(judged: DataFrame, links: DataFrame) -> DataFrame:
@@ -95,7 +107,7 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     judged = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     judged = judged.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    hosts = host_verdicts(judged, host_links(pages)).where("blocked")
+    hosts = materialize(host_verdicts(judged, host_links(pages)).where("blocked"), "blocked")
     # Only rows without a rule need their host's verdict.
-    open_ = judged.where("verdict is null").join(hosts, "host", "left").withColumn("verdict", F.when(F.col("blocked"), "block").otherwise("allow"))
+    open_ = judged.where("verdict is null").join(small(hosts), "host", "left").withColumn("verdict", F.when(F.col("blocked"), "block").otherwise("allow"))
     return judged.where("verdict is not null").unionByName(open_.select(judged.columns))
