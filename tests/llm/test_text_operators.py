@@ -109,30 +109,71 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), sorted(names)
 
 
-def test_decontamination_equals_brute_force(spark):
+def item_windows(items, window=10):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return cut, [(name, cut(item)[i : i + window]) for name, item in items for i in range(max(1, len(cut(item)) - window + 1)) if cut(item)]
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_decontamination_equals_brute_force(spark, monkeypatch, shuffled):
     import hashlib
+    from collections import Counter
 
     r = random.Random(1)
     vocabulary = "the of and a to in is Élan naïve zoo9 qu1z x".split()
-    items = [(7, " ".join(r.choice(vocabulary) for _ in range(14))), (10, "Short item, of four"), (11, None), (12, ""), (13, "the"), (7, "a second text of the same item id with rather more than ten words in it")]
-    texts = [None, "", "...", "the", "A short item of four!", items[0][1].upper(), "pre " + items[0][1] + " post " + items[0][1], items[5][1][5:], "nothing here " * 5000]
+    items = [(7, " ".join(r.choice(vocabulary) for _ in range(14))), (10, "Short item, of four"), (11, None), (12, ""), (13, "the"), (14, "the the of the"), (7, "a second text of the same item id with rather more than ten words in it")]
+    own = items[-1][1].split()
+    texts = [None, "", "...", "the", "A short item of four!", items[0][1].upper(), "pre " + items[0][1] + " post " + items[0][1], items[-1][1][5:], "nothing here " * 5000]
+    texts += [" ".join(own[:5] + ["inserted"] + own[5:10]), " ".join(own[:4] + own[5:6] + own[4:5] + own[6:10]), "of four, a short item"]  # near, not exact
     texts += [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(20)]
     docs, bench = documents(spark, texts), spark.createDataFrame([(i, t, "n") for i, t in items], "item_id long, text string, n string")
-    got = {x.doc_id: x for x in decontaminate.find_contamination(docs, bench).collect()}
+    if shuffled:  # no side is broadcast
+        monkeypatch.setattr(decontaminate, "small", lambda df: df)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x.doc_id: x for x in decontaminate.find_contamination(docs, bench).collect()}
+        left = decontaminate.without_contaminated(docs, bench)
+        kept = sorted(x.doc_id for x in left.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    cut, windows = item_windows(items)
+    tokens = [cut(t) for t in texts]
+    count = Counter(x for t in tokens for x in t)
     for i, t in enumerate(texts):
         n, hit, names = brute_hits(t, items)
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0), (i, t)
-    left = decontaminate.without_contaminated(docs, bench)
+        near = {}  # by each of the words that tie for the rarest
+        for name, w in windows:
+            rare = min(count[x] for x in w)
+            for x in {x for x in w if count[x] == rare}:
+                reach = decontaminate.REACH
+                found = any(set(w) <= set(tokens[i][max(0, p - reach) : p + reach + 1]) for p, y in enumerate(tokens[i]) if y == x)
+                near.setdefault((name, tuple(w)), []).append(found)
+        sure, maybe = {n for (n, _), f in near.items() if all(f)}, {n for (n, _), f in near.items() if any(f)}
+        assert len(sure) <= got[i].n_near <= len(maybe) and got[i].n_near >= got[i].n_items
+    assert all(got[i].n_near > got[i].n_items for i in (9, 10, 11))
     assert left.columns == docs.columns
-    assert sorted(x.doc_id for x in left.collect()) == sorted(i for i in got if not got[i].contaminated)
-    assert all(not x.contaminated for x in decontaminate.find_contamination(docs, bench.limit(0)).collect())
-    assert decontaminate.find_contamination(docs.limit(0), bench).collect() == []
+    assert kept == sorted(i for i in got if not got[i].contaminated)
+    assert shuffled or all(not x.contaminated for x in decontaminate.find_contamination(docs, bench.limit(0)).collect())
+    assert shuffled or decontaminate.find_contamination(docs.limit(0), bench).collect() == []
+
+
+def test_decontamination_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "one two three"), (1, "one two three"), (1, "clean"), (None, "one two three"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(5, "two"), (None, "three")], "item_id long, text string")
+    got = sorted((str(x.doc_id), x.n_words, x.n_hit, x.n_items) for x in decontaminate.find_contamination(docs, bench).collect())
+    assert got == [("1", 1, 0, 0), ("1", 3, 2, 1), ("1", 3, 2, 1), ("None", 1, 0, 0), ("None", 3, 2, 1)]
+    assert sorted(x.text for x in decontaminate.without_contaminated(docs, bench).collect()) == ["clean", "x"]
 
 
 def test_decontamination_is_native(spark):
     docs, bench = documents(spark, ["one two"]), spark.createDataFrame([(1, "one two")], "item_id long, text string")
     plan = decontaminate.find_contamination(docs, bench)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+    import inspect
+
+    assert not re.search("mapInArrow|map_arrow|udf|applyIn|mapIn|rdd|collect\\(", inspect.getsource(decontaminate))
 
 
 # ---------------------------------------------------------------- personal data
