@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -24,12 +24,14 @@ def _small_star(e: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (x, y) -> (node, component), the component named by its smallest node; nodes without edges are absent.
 
-    The rounds grow with the logarithm of the longest path. Null ends and loops are ignored.
+    The rounds grow with the logarithm of the longest path. Null ends and loops are
+    ignored, repeated edges count once, no edges give no rows.
     """
     e = materialize(edges.select("x", "y").where("x is not null and y is not null and x <> y").distinct(), "edges")
     state = None
     while True:
-        e = materialize(_small_star(_large_star(e)), "stars")
+        old, e = e, materialize(_small_star(_large_star(e)), "stars")
+        discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         if now == state:
             break

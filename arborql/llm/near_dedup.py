@@ -7,11 +7,15 @@ table are compared with the table's smallest member (its pivot) on full shingle
 Jaccard distance is a metric, the distances to the pivot then rule out every other pair
 of the bucket but those that might still be linked, and these are compared as well.
 
+Sets whose sizes alone rule a link out are never compared.
+
 Defined results: null text, or text without words: no shingles, linked with nothing.
-Fewer than five words: the whole sequence is the one shingle. Equal sets (exact copies,
-whatever their ids) are folded before any table is built, so a group of copies costs one
-row. A null doc_id takes no part in linking: its component_id is null and it is kept.
-Repeated rows return repeated rows. Extra columns are ignored.
+Fewer than five words: the whole sequence is the one shingle. Very long texts take part
+with all their shingles. Equal sets (exact copies, whatever their ids) are folded before
+any table is built, so a group of copies costs one row. Ties: the smallest doc_id names a
+group and is kept. A null doc_id takes no part in linking: its component_id is null and it
+is kept. Repeated rows return repeated rows; rows of one doc_id with different texts are
+linked by each of their texts. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, small
 from .components import connected_components
 from .textops import U64, as_long, chunks, mix, shingles, strings
 
 HALVES, PER_HALF, SHINGLE = 8, 2, 5
 #: Per cent: a pair is linked when 100 * intersection >= threshold * union, unless the caller gives another one.
 THRESHOLD = 85
-#: Lists of ids up to this length are broadcast to drop rows.
-BROADCAST_ROWS = 500_000
 _RND = np.random.RandomState(20240229)
 _XOR = _RND.randint(0, 1 << 62, 2 * HALVES * PER_HALF).astype(U64)
 _MUL = (_RND.randint(0, 1 << 62, 2 * HALVES * PER_HALF).astype(U64) << U64(1)) | U64(1)
@@ -94,11 +96,13 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Counts on full sets for candidate pairs (x, y): x, y, common, total.
+    """Counts on full sets for candidate pairs (x, y), a written table: x, y, common, total.
 
     The joins are plain equi-joins on a unique key, so that a pivot with very many
     partners is split at run time.
     """
+    asked = materialize(pairs.select("x").union(pairs.select("y")).distinct().select(F.col("x").alias("doc_id")), "asked")
+    texts = texts.join(small(asked), "doc_id", "left_semi")  # only these are shuffled
     s = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
     t = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text_y"))
     joined = pairs.join(s, "x").join(t, "y").select("x", "y", "text_x", "text_y")
@@ -106,13 +110,13 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """(key, rep) for the table keys that can be shared: both halves must be shared by somebody."""
-    half = reps.select("rep", F.posexplode(F.concat("a", "b")).alias("pos", "val"))
+    """(key, rep, n: size of its set) for the table keys that can be shared: both halves must be shared by somebody."""
+    half = reps.select("rep", "n_shingles", F.posexplode(F.concat("a", "b")).alias("pos", "val"))
     shared = half.groupBy("pos", "val").agg(F.count("*").alias("n")).where("n > 1").select("pos", "val")
-    mine = half.join(shared, ["pos", "val"]).groupBy("rep").agg(F.collect_list(F.struct("pos", "val")).alias("halves"))
-    left = mine.select("rep", "halves", F.explode(F.filter("halves", lambda x: x.pos < HALVES)).alias("l"))
-    both = left.select("rep", "l", F.explode(F.filter("halves", lambda x: x.pos >= HALVES)).alias("r"))
-    return both.select(F.xxhash64("l.pos", "l.val", "r.pos", "r.val").alias("key"), "rep")
+    mine = half.join(shared, ["pos", "val"]).groupBy("rep", "n_shingles").agg(F.collect_list(F.struct("pos", "val")).alias("halves"))
+    left = mine.select("rep", "n_shingles", "halves", F.explode(F.filter("halves", lambda x: x.pos < HALVES)).alias("l"))
+    both = left.select("rep", "n_shingles", "l", F.explode(F.filter("halves", lambda x: x.pos >= HALVES)).alias("r"))
+    return both.select(F.xxhash64("l.pos", "l.val", "r.pos", "r.val").alias("key"), "rep", F.col("n_shingles").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -125,7 +129,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     buckets = materialize(_buckets(reps), "buckets")
     pivots = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("last <> pivot").select("key", "pivot")
     members = materialize(buckets.join(pivots, "key"), "members")
-    first = members.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
+    first = materialize(members.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct(), "pivot-pairs")
     known = materialize(confirm(first, texts), "pivot-links")
     linked = F.expr(f"100 * common >= {threshold} * total")
     links = known.where(linked).select("x", "y")
@@ -133,13 +137,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     far = known.select(F.col("x").alias("rep"), F.col("y").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"), (~linked).alias("open"))
     placed = members.join(far, ["rep", "pivot"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("key", "rep", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("open", F.lit(False)).alias("open"), F.col("rep").__ne__(F.col("pivot")).alias("other"), F.coalesce("component", "rep").alias("c"))
+    placed = placed.select("key", "rep", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("open", F.lit(False)).alias("open"), F.col("rep").__ne__(F.col("pivot")).alias("other"), F.coalesce("component", "rep").alias("c"))
     rest = placed.where("other")
-    u = rest.where("open").select("key", F.col("rep").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"))
-    v = rest.select("key", F.col("rep").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("open").alias("oy"))
+    u = rest.where("open").select("key", F.col("rep").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    v = rest.select("key", F.col("rep").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("open").alias("oy"), F.col("n").alias("ny"))
     slack = 1 - threshold / 100 + 1e-9
-    second = u.join(v, "key").where((F.abs(F.col("dx") - F.col("dy")) <= slack) & (F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y"))))
-    second = second.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    alike = 100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
+    second = u.join(v, "key").where(alike & (F.abs(F.col("dx") - F.col("dy")) <= slack) & (F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y"))))
+    second = materialize(second.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "other-pairs")
     more = materialize(confirm(second, texts).where(linked).select("x", "y"), "other-links")
     every = connected_components(comp.select(F.col("node").alias("x"), F.col("component").alias("y")).where("x <> y").unionByName(more))
     names = reps.select(*fp, "rep").join(every.withColumnRenamed("node", "rep"), "rep", "left")
@@ -154,15 +159,10 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with all their columns; of rows that repeat a kept doc_id and its text one stays."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     gone = materialize(near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    rest = docs.join(_small(gone), docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    rest = docs.join(small(gone), docs["doc_id"].cast("long") == gone["gone"], "left_anti")
     twice = materialize(ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "repeated")
     if twice.isEmpty():
         return rest
     repeats = rest["doc_id"].cast("long") == twice["twice"]
-    once = rest.join(_small(twice), repeats, "left_anti")
-    return once.unionByName(rest.join(_small(twice), repeats, "left_semi").dropDuplicates(["doc_id", "text"]))
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    """Broadcast if it is small; else the join shuffles."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    once = rest.join(small(twice), repeats, "left_anti")
+    return once.unionByName(rest.join(small(twice), repeats, "left_semi").dropDuplicates(["doc_id", "text"]))

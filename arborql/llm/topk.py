@@ -11,7 +11,8 @@ Defined results: vectors that are null or hold null or non-finite components, an
 with a null vec_id, take no part. Vectors of different lengths don't meet. A vec_id that
 occurs in several query rows is one query (of the smallest vector, by components);
 as candidates repeated rows count each. With fewer than k candidates all are returned;
-an empty table returns no rows. Extra columns are ignored. Scores must fit into a long.
+an empty table returns no rows. Very long vectors are scored whole. Extra columns are
+ignored. Scores beyond a long raise an error instead of wrapping around.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, new_path
+from .common import discard, map_arrow, materialize, new_path
 
 K, SCALE = 10, 1024
 #: Queries in one block, and bins of one histogram.
@@ -59,6 +60,7 @@ class Queries:
                 if len(rows):
                     v = flat[first[rows][:, None] + np.arange(n)]
                     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * n
+                    # object integers are exact; a product beyond a long raises an OverflowError
                     product = (q.astype(float) @ v.T.astype(float)).astype(np.int64) if most < 2**53 else (q.astype(object) @ v.T.astype(object)).astype(np.int64)
                     yield at, ids[rows], product, self.ids[at][:, None] != ids[rows][None, :]
 
@@ -142,8 +144,8 @@ def _search(vectors: DataFrame, queries: Queries, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = K, every: int = 100, block: int = BLOCK) -> DataFrame:
     """vectors (vec_id, embedding, ...): the k best others of each row whose vec_id is divisible by every."""
     spark = vectors.sparkSession
-    rows = quantised(vectors)
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = materialize(quantised(vectors), "quantised")  # every block reads it several times
+    asked = materialize(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = -(-asked.count() // block)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not blocks:
@@ -153,4 +155,5 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, block: int = BLOCK)
         part = [(r.vec_id, list(r.v)) for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()]
         if part:
             _search(rows, Queries(part), k).write.mode("append").parquet(path)
+    discard(rows, asked)
     return spark.read.schema(empty.schema).parquet(path)
