@@ -1,8 +1,10 @@
 """Pages, urls, archives and vectors against brute force and round trips."""
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import os
 import random
 import struct
@@ -52,6 +54,62 @@ def test_warc_repeated_rows_and_null_ids(spark):
     assert got == [("3", "response", None), ("3", "response", None), ("4", "revisit", 3), ("None", "response", None), ("None", "revisit", 3)]
 
 
+def test_record_ids_are_unique_and_references_hold(spark):
+    rows = [(1, "http://a.com/x y?q=1", "one"), (2, None, "one"), (3, "u", "two"), (3, "u", "two"), (4, "u", "two"), (None, "u", "one"), (None, "u", ""), (5, "http://[bad", "alone")]
+    got = warc.read_packages(warc.write_packages(pages(spark, rows).repartition(3))).collect()
+    assert len({x.record_id for x in got}) == len(rows)
+    response = {x.page_id: x.record_id for x in got if x.record_type == "response" and x.page_id != 3}
+    assert {x.page_id: x.refers_to_id for x in got if x.record_type == "revisit"} == {2: response[1], None: response[1], 4: None}
+
+
+def test_packages_hold_several_archives_and_a_cdxj_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 700)
+    out = warc.PackageWriter(str(tmp_path / "p.zip"), archive_bytes=900)
+    html = [f"<p>{i}" + "xyz" * (i % 7 * 40) for i in range(40)]
+    for i, h in enumerate(html):
+        out.add(f"http://www.Host.org/{i}", warc.digest(h.encode()), warc.record(i, f"http://www.Host.org/{i}", h.encode()))
+    out.close()
+    with zipfile.ZipFile(tmp_path / "p.zip") as z:
+        archives = [n for n in z.namelist() if n.startswith("archive/")]
+        lines = z.read(warc.INDEX).decode().splitlines()
+        assert len(archives) > 3 and z.getinfo(archives[0]).compress_type == zipfile.ZIP_STORED
+        key, when, told = lines[0].split(" ", 2)
+        assert key.startswith("org,host,www)/") and when == "20240101000000" and lines == sorted(lines)
+        told = json.loads(told)
+        raw = gzip.decompress(z.read("archive/" + told["filename"])[int(told["offset"]) :][: int(told["length"])])
+        assert told["url"].encode() in raw
+    with open(tmp_path / "p.zip", "rb") as f:
+        size = (tmp_path / "p.zip").stat().st_size
+        ranges = list(warc._ranges(f, size))
+        assert len(ranges) > len(archives) and sum(len(r[2]) for r in ranges) == 40
+        payloads = [warc.parse(raw)["payload"].decode() for r in ranges for raw in warc._records(f, *r)]
+    assert sorted(payloads) == sorted(html)
+
+
+def test_packages_of_others(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 64)
+    plain = lambda kind, mime, block, n=0: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}{n}>\r\nWARC-Target-URI: <http://x.org/{n}>\r\nContent-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    page = lambda n: plain("response", "application/http; msgtype=response", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n<p>" + b"%d" % n * 90, n)
+    info, image = plain("warcinfo", "application/warc-fields", b"software: other"), plain("resource", "image/png", b"\x00\r\n\r\nraw", 7)
+    indexed = [gzip.compress(page(1)), gzip.compress(page(2))]
+    line = lambda n, at: f'org,x)/{n} 20200101000000 {json.dumps({"filename": "archive/a.warc.gz", "offset": at, "length": len(indexed[n - 1])})}\n'
+    with zipfile.ZipFile(tmp_path / "other.wacz", "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(indexed))
+        z.writestr("indexes/part.cdx.gz", gzip.compress(("!meta {}\n" + line(2, len(indexed[0])) + line(1, 0)).encode()))
+        z.writestr("archive/b.warc", info + page(3) + image)
+        z.writestr("archive/c.warc.gz", gzip.compress(page(4)) + gzip.compress(page(5) + page(6)))
+        z.writestr("datapackage.json", "{}")
+    rows = []
+    with open(tmp_path / "other.wacz", "rb") as f:
+        for r in warc._ranges(f, (tmp_path / "other.wacz").stat().st_size):
+            rows += [warc._row(raw) for raw in warc._records(f, *r)]
+    told = {(x[3], x[5]): x[6] for x in rows}
+    assert {u for k, u in told if k == "response"} == {f"http://x.org/{n}" for n in range(1, 7)} and len(rows) == 8
+    assert told["response", "http://x.org/4"] == b"<p>" + b"4" * 90 and told["resource", "http://x.org/7"] == b"\x00\r\n\r\nraw"
+    listed = spark.createDataFrame([(str(tmp_path / "other.wacz"),)], "package string")
+    assert warc.read_packages(listed).where("record_type = 'response' and page_id is null").count() == 6
+
+
 def _zip64(names):
     """A package whose sizes and counts stand in ZIP64 fields only."""
     out, central = io.BytesIO(), b""
