@@ -56,6 +56,15 @@ def repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_counts(data: np.ndarray, offsets: np.ndarray, dim: int) -> np.ndarray:
+    """rows x dim counts of hashed words (ASCII lower case)."""
+    low = LOWER[data[offsets[0] : offsets[-1]]]
+    starts, ends, first = words(low, offsets - offsets[0], SPACE)
+    rows = len(offsets) - 1
+    column = (span_hashes(low, starts, ends) % U64(dim)).astype(np.int64)
+    return np.bincount(np.repeat(np.arange(rows), np.diff(first)) * dim + column, minlength=rows * dim).reshape(rows, dim).astype(float)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     return x / np.where(norm > 0, norm, 1)

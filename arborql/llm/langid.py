@@ -7,7 +7,9 @@ as close, the row is flagged as ambiguous.
 
 Defined results: null text, or text without a letter: `und`, score 0. Rows with a null
 lang teach nothing but are predicted like all others. Without any training rows every
-prediction is `und`. Repeated rows return repeated rows; extra columns are ignored.
+prediction is `und`, and an empty table gives no rows. Very long texts are counted whole.
+Ties go to the language whose name sorts first, and count as ambiguous. Repeated rows
+return (and teach as) repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ and each piece then looks up its place from its rank among the pieces of its len
 The plan has a few entries for each length, so its size is bounded by WINDOW.
 
 Defined results: null text counts as empty, and an empty document is one piece of the
-end token alone. Repeated rows are packed as often as they occur. A null doc_id is kept.
-An empty table gives no pieces. Extra columns are ignored.
+end token alone. Very long texts are cut into full windows and a rest. Ties: pieces of one
+length, and sequences of one remaining capacity, go in the order of their numbers.
+Repeated rows are packed as often as they occur. A null doc_id is kept. An empty table
+gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations

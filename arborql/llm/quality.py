@@ -1,15 +1,17 @@
 """Quality classification by nearest-neighbour voting in a latent semantic space.
 
-Texts are bags of hashed shape n-grams (case, digits, white space and signs; letters are
-folded) and of word repetitions. TF-IDF and a truncated SVD, fitted on a bounded sample of
-labelled rows, give latent vectors; these are broadcast (their number is bounded by
-ROWS_PER_CLASS), the cosine of every document with all of them is computed exactly in
-blocks, and the nearest ones vote with their similarity.
+Texts are bags of hashed words, of hashed shape n-grams (case, digits, white space and
+signs; letters are folded), and of word repetitions. TF-IDF and a truncated SVD, fitted on
+a bounded sample of labelled rows, give latent vectors: words that keep company with the
+same words and shapes come to lie together. The vectors of the sample are broadcast (their
+number is bounded by ROWS_PER_CLASS), the cosine of every document with all of them is
+computed exactly in blocks, and the nearest ones vote with their similarity.
 
 Defined results: null and empty texts have no features; their score is the share of
-label 1 among the labelled training rows (0.5 without labels). Labels with null quality
-or without a document teach nothing; repeated rows return repeated rows; extra columns
-are ignored.
+label 1 among the labelled training rows (0.5 without labels). Very long texts are counted
+whole. Ties for the last neighbour's place go to either. Labels with null quality or
+without a document teach nothing; repeated rows return (and teach as) repeated rows;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,24 +24,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .grams import SHAPES, counts, repeats, unit
+from .grams import SHAPES, counts, repeats, unit, word_counts
 from .textops import chunks, strings
 
-#: Bound of the training sample, and the method's parameters.
-ROWS_PER_CLASS, DIM, SIZES, RANK, NEIGHBOURS, POWER = 1500, 1024, (1, 2, 3), 40, 21, 6
+#: Bound of the training sample, and the method's parameters: dimensions of shapes and of words, rank, neighbours, power of the similarity.
+ROWS_PER_CLASS, SHAPE_DIM, WORD_DIM, SIZES, RANK, NEIGHBOURS, POWER = 1500, 1024, 1024, (1, 2, 3), 60, 21, 6
+#: Columns of shapes with the two of repetitions, then of words.
+SPLIT = SHAPE_DIM + 2
 PREDICT_AT = 0.3
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Row ranges with term counts: shape n-grams, then repeated and other words."""
+    """Row ranges with term counts: shape n-grams, repeated words, words."""
     offsets, data = strings(column)
     for i, j in chunks(offsets):
-        x = counts(data, offsets[i : j + 1], SHAPES, SIZES, DIM)
+        x = counts(data, offsets[i : j + 1], SHAPES, SIZES, SHAPE_DIM)
         r = repeats(data, offsets[i : j + 1])
         # as many as there are bytes, so that repetition weighs against n-grams
         per_word = x.sum(1) / np.maximum(r[:, 0], 1) / 2
         extra = np.stack([r[:, 1] * per_word, r[:, 2] * per_word], 1)
-        yield i, j, np.hstack([x, extra])
+        yield i, j, np.hstack([x, extra, word_counts(data, offsets[i : j + 1], WORD_DIM)])
+
+
+def leading_axes(w: np.ndarray, rank: int) -> np.ndarray:
+    """The first right singular vectors, by subspace iteration with a fixed start."""
+    q = np.random.RandomState(7).standard_normal((w.shape[1], min(rank + 20, *w.shape)))
+    for _ in range(8):
+        q, _ = np.linalg.qr(w.T @ (w @ q))
+    _, _, v = np.linalg.svd(w @ q, full_matrices=False)
+    return (q @ v.T)[:, :rank]
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,15 +67,18 @@ class Model:
 
     @staticmethod
     def weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        total = x.sum(1, keepdims=True)
-        return unit(np.sqrt(x / np.where(total > 0, total, 1)) * idf)
+        """Shapes and words weigh alike."""
+        parts = []
+        for part, f in ((x[:, :SPLIT], idf[:SPLIT]), (x[:, SPLIT:], idf[SPLIT:])):
+            total = part.sum(1, keepdims=True)
+            parts.append(unit(np.sqrt(part / np.where(total > 0, total, 1)) * f))
+        return unit(np.hstack(parts))
 
     @classmethod
     def fit(cls, x: np.ndarray, quality: np.ndarray, prior: float) -> Model:
         idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.3
         w = cls.weigh(x, idf)
-        values, vectors = np.linalg.eigh(w.T @ w)
-        axes = vectors[:, np.argsort(-values)[:RANK]]
+        axes = leading_axes(w, RANK)
         return cls(idf, axes, unit(w @ axes).astype(np.float32), quality.astype(float), prior)
 
     def score(self, x: np.ndarray) -> np.ndarray:

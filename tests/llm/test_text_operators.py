@@ -435,3 +435,36 @@ def test_quality_held_out(spark):
     assert got[300].score == got[301].score and 0 <= got[302].score <= 1
     assert {x.score for x in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.score_quality(docs.limit(0), labels).collect() == []
+
+
+def test_quality_by_words_alone(spark):
+    r = random.Random(5)
+    topics = {1: ["river stone bridge water", "garden flower winter spring"], 0: ["wager jackpot slot bonus", "pillar dosage tablet refill"]}  # alike in shape
+    marks = [(i, int(r.random() < 0.6), 0) for i in range(300)]
+    texts = [" ".join(r.choice(r.choice(topics[q]).split()) for _ in range(30)) for _, q, _ in marks]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.score_quality(documents(spark, texts), labels).collect()}
+    held = [m for m in marks if got[m[0]].held_out]
+    assert sum(got[i].predicted == q for i, q, _ in held) >= 0.97 * len(held)
+
+
+def test_votes_equal_brute_force():
+    import numpy as np
+
+    r = np.random.RandomState(3)
+    x, y = r.poisson(0.3, (90, quality.SPLIT + quality.WORD_DIM)).astype(float), r.randint(0, 2, 90)
+    model = quality.Model.fit(x, y, 0.6)
+    new = r.poisson(0.3, (700, x.shape[1])).astype(float)
+    new[5] = 0
+    got = model.score(new)
+    v = model.weigh(new, model.idf) @ model.axes
+    for i in range(0, 700, 9):
+        cosine = [float(v[i] @ u / np.linalg.norm(v[i])) for u in model.vectors.astype(float)]
+        near = sorted(range(90), key=lambda k: -cosine[k])[: quality.NEIGHBOURS]
+        balance = {1: 0.6 / y.mean(), 0: 0.4 / (1 - y.mean())}
+        vote = [(max(cosine[k], 0) ** quality.POWER * balance[y[k]], y[k]) for k in near]
+        assert abs(got[i] - sum(w for w, q in vote if q) / sum(w for w, _ in vote)) < 1e-3
+    assert got[5] == 0.6
+    w = model.weigh(x, model.idf)  # the axes span what a full decomposition gives
+    full = np.linalg.svd(w, full_matrices=False)[2][:5]
+    assert np.allclose(np.linalg.norm(full @ model.axes, axis=1), 1, atol=1e-2)
