@@ -35,6 +35,72 @@ def test_near_dedup_stage_drops_copies_from_four_fifths_on(spark):
     assert near_dedup.near_duplicates(docs).where("kept").count() == 3  # op1_near_dedup links from 0.85 on
 
 
+def brute_pipeline(docs, items):
+    """The stages' decisions in plain Python, but for language ID and PII, which are given. docs: doc_id -> text."""
+    import re
+
+    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := cut(t)) else set() for i, t in docs.items()}
+    group = {i: i for i in docs}
+    for i in sorted(docs):
+        for j in sorted(docs):
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
+    kept = {i for i in docs if group[i] == i}
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    windows = [w[k : k + 10] for item in items for w in [words(item)] for k in range(max(1, len(w) - 9)) if w]
+    holds = lambda w: any(w[k : k + len(p)] == p for p in windows for k in range(len(w)))
+    return kept, {i for i in kept if not holds(words(docs[i]))}
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    import random
+
+    r = random.Random(7)
+    vocabulary = [f"{a}{b}" for a in ("the", "river", "stone", "and", "house", "winter") for b in ("", "s", "ly", "ing")]
+    base = [" ".join(r.choices(vocabulary, k=120)) for _ in range(12)]
+    docs = {}
+    for t in base:
+        docs[len(docs)] = t
+        for _ in range(r.randrange(3)):
+            w = t.split()
+            for _ in range(r.randrange(5)):
+                w[r.randrange(len(w))] = "changed"
+            docs[len(docs)] = " ".join(w)
+    items = [" ".join(base[3].split()[20:40]), "no document holds this item of eight words", "short item"]
+    docs[len(docs)] = base[5] + " a short item at the end"
+    rows = [(i, t, "en", "s", len(t)) for i, t in docs.items()]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(n, x) for n, x in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept, clean = brute_pipeline(docs, items)
+    first = corpus_pipeline.near_duplicates(spark, table, str(tmp_path))
+    assert {x.doc_id for x in first.collect()} == kept
+    assert {x.doc_id for x in corpus_pipeline.decontamination(spark, first, str(tmp_path)).collect()} == clean
+    assert len(clean) < len(kept) < len(docs)
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, an empty table."""
+    long = " ".join(f"word{i} the of and" for i in range(30_000))
+    rows = [(0, "the house of the river and the stones in it", "en"), (0, "the house of the river and the stones in it", "en"), (1, long, "en"), (2, None, None), (3, "", "en"), (None, "the null id of a river and of a stone", "en"), (4, "the winter is cold and the river is not so warm", None), (5, "12 34", "en")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, w array<string>, tid long, score double, run long"
+    docs = spark.createDataFrame([(i, t, l, None, None if t is None else len(t), ["x"], 1, 0.5, None) for i, t, l in rows], schema)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = []
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.schema == docs.schema or at.columns == docs.columns, name
+        left.append(sorted(str(x.doc_id) for x in at.collect()))
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert left == [["0", "0", "1", "4", "None"], *[["0", "1", "4", "None"]] * 3]
+    pieces = corpus_pipeline.pack(spark, at, str(tmp_path)).collect()
+    assert {str(x.doc_id) for x in pieces} == {"0", "1", "4", "None"} and max(x.start for x in pieces) > 2048
+    assert corpus_pipeline.pack(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert {x.doc_id: x.doc_tokens for x in corpus_pipeline.pack(spark, docs, str(tmp_path)).where("doc_id in (2, 3)").collect()} == {2: 1, 3: 1}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
