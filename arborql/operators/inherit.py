@@ -39,13 +39,90 @@ def _keep_all(store: GraphStore, rows: DataFrame, out: DataFrame) -> DataFrame:
     return rows.select("start_id").distinct().join(out, "start_id", "left")
 
 
-def inherit_fields(store: GraphStore, rows: DataFrame, fields: list[str], accept: set[str] | None = None, sources: set[str] | None = None, paths: bool = True) -> DataFrame:
-    """start_id and each field's nearest value, each field by itself."""
+def _parents_first(store: GraphStore, sources: set[str]) -> list[str] | None:
+    """The types above some types and these themselves, parents before children; None if there is a cycle."""
+    order, state = [], {}
+
+    def visit(t: str) -> bool:
+        if t in state:
+            return state[t]
+        state[t] = False  # being visited: met again, it is a cycle
+        if all(visit(a) for a, b in store.links if b == t):
+            order.append(t)
+            state[t] = True
+        return state[t]
+
+    return order if all(visit(t) for t in sorted(sources)) else None
+
+
+def resolved(store: GraphStore, fields: list[str], types: list[str], accept: set[str] | None, sources: set[str]) -> dict[str, DataFrame]:
+    """For each type, parents first: id and for each field (depth, path, value) of the nearest node at or above that has it.
+
+    The best of a node is its own value, else the best of its parents' bests, one step
+    further: so every table and every link is read once, not once for each chain above it.
+    """
+    out: dict[str, DataFrame] = {}
+    kinds = {f: next(df.schema[f].dataType for df in store.nodes.values() if f in df.columns) for f in fields}
+    for t in types:
+        counts = t in sources or accept is None or t in accept
+        own = [f for f in fields if counts and f in store.nodes[t].columns]
+        parts = []
+        for (a, b), link in store.links.items():
+            if b == t and a in out:
+                step = lambda f: F.when(F.col(f).isNotNull(), F.struct((F.col(f"{f}.depth") + 1).alias("depth"), F.concat(F.array("parent"), F.col(f"{f}.path")).alias("path"), F.col(f"{f}.value").alias("value"))).alias(f)
+                up = link.join(out[a].withColumnRenamed("id", "parent"), "parent")
+                parts.append((up.select(F.col("child").alias("id"), *(step(f) for f in fields)), (a, b) in store.single_parent))
+        empty = lambda f: F.lit(None).cast(T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("value", kinds[f])])).alias(f)
+        mine = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"), F.col(f).cast(kinds[f]).alias("value"))).alias(f)
+        if own or t in sources or not parts:
+            rows = store.nodes[t].select("id", *(mine(f) if f in own else empty(f) for f in fields))
+            if not parts and not own and t not in sources:
+                continue  # nothing is known here or above
+            parts.append((rows, True))
+        whole = parts[0][0]
+        for x, _ in parts[1:]:
+            whole = whole.unionByName(x)
+        if len(parts) > 1 or not parts[0][1]:
+            near = lambda f: F.min_by(f, F.when(F.col(f).isNotNull(), F.struct(F.col(f"{f}.depth"), F.col(f"{f}.path")))).alias(f)
+            whole = whole.groupBy("id").agg(*(near(f) for f in fields))
+        out[t] = whole
+    return out
+
+
+def inherit_fields(store: GraphStore, rows: DataFrame | None, fields: list[str], accept: set[str] | None = None, sources: set[str] | None = None, paths: bool = True) -> DataFrame:
+    """start_id and each field's nearest value, each field by itself.
+
+    From few starts the walk goes up from them; for many (of known types without a cycle
+    above) values come down from the top, each table read once. Without rows, all nodes of
+    the source types are starts.
+    """
+    whole = rows is None
+    if whole:
+        rows = store.node_rows(sources, set()).select(F.col("id").alias("start_id"), "id")
+    known = [f for f in fields if any(f in df.columns for df in store.nodes.values())]
+    clear = sources and (accept is None or len(sources) == 1 or sources <= accept)  # else a start's own value and one passed through differ
+    types = _parents_first(store, sources) if clear and known == fields and not _few(rows) else None
+    if types is not None:
+        found = resolved(store, fields, types, accept, sources)
+        best = None
+        for t in sorted(sources):
+            if t in found:
+                best = found[t] if best is None else best.unionByName(found[t])
+        if whole:
+            return best.select(F.col("id").alias("start_id"), *(F.col(f"{f}.value").alias(f) for f in fields))
+        best = best.select(F.col("id").alias("_at"), *(F.col(f"{f}.value").alias(f) for f in fields))
+        return rows.select("start_id", "id").join(best, F.col("id") == F.col("_at"), "left").select("start_id", *fields)
     line = lineage(store, rows, fields, sources, accept, paths=paths)
     value = [F.min_by(f, F.when(F.col(f).isNotNull(), F.col("near"))).alias(f) for f in fields]
     return _keep_all(store, rows, line.groupBy("start_id").agg(*value))
 
 
+def _few(rows: DataFrame, most: int = 1000) -> bool:
+    """Whether the plan itself bounds the rows."""
+    bound = rows._jdf.queryExecution().optimizedPlan().maxRows()
+    return bound.isDefined() and int(str(bound.get())) <= most
+
+
 def inherit_item(store: GraphStore, rows: DataFrame, fields: list[str], types: set[str], required: list[str] = (), sources: set[str] | None = None, paths: bool = True) -> DataFrame:
     """start_id, item_id and all fields of the nearest ancestor of the types that has the required fields."""
     every = list(dict.fromkeys([*fields, *required]))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOCALES = {"en": "en", "de": "de", "fr": "fr", "es": "es", "nl": "nl", "it": "it", "pt": "pt", "sv": "sv", "fi": "fi", "da": "da", "pl": "pl", "cs": "cs"}
+#: Languages with a collation of their own; all others sort by the root collation.
+LOCALES = {c: c for c in "en de fr es nl it pt sv fi da pl cs sk sl hr hu ro tr et lv lt el bg ru uk is ga ca eu gl sq mk sr".split()}
 
 
 def sort_keys(df: DataFrame, field: str, order: str = "asc", language: str | None = None) -> list[Column]:
@@ -25,7 +26,7 @@ def sort_keys(df: DataFrame, field: str, order: str = "asc", language: str | Non
     rank = F.when(c.isNull(), 2).otherwise(1 if text else 0)
     keys = [rank]
     if text:
-        keys.append(F.collate(c, LOCALES[language]) if language in LOCALES else c)
+        keys.append(F.collate(c, LOCALES.get(language[:2], "UNICODE")) if language else c)
     elif number:
         keys.append(c.cast("double") if isinstance(kind, T.BooleanType) else c)
     else:
@@ -51,11 +52,17 @@ def take(df: DataFrame, keys: list[Column], limit: int = -1, offset: int = 0) ->
 
 
 def take_each(df: DataFrame, by: list[str], keys: list[Column], limit: int = -1, offset: int = 0) -> DataFrame:
-    """The first rows of each start, with their position (pos, from 0)."""
-    out = df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)) - 1)
+    """The first rows of each start, with their position (pos, from 0).
+
+    The bound is on the bare row number, so that each task first cuts its own rows
+    (WindowGroupLimit) and a start with very many rows isn't sorted in one task.
+    """
+    out = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)))
+    if limit >= 0:
+        out = out.where(F.col("_rank") <= max(offset, 0) + limit)
     if offset > 0:
-        out = out.where(F.col("pos") >= offset)
-    return out.where(F.col("pos") < max(offset, 0) + limit) if limit >= 0 else out
+        out = out.where(F.col("_rank") > offset)
+    return out.withColumn("pos", F.col("_rank") - 1).drop("_rank")
 
 
 def sort_items(field: Column, key: str, order: str = "asc") -> Column:

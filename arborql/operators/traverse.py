@@ -56,7 +56,7 @@ def set_hops(store: GraphStore, field: str) -> list[Hop]:
     """Along ids kept as data in an array field; ids of no node are skipped."""
     out = []
     for t, df in store.nodes.items():
-        if field in df.columns:
+        if field in df.columns and df.schema[field].dataType.simpleString() == "array<string>":
             ids = df.select(F.col("id").alias("src"), F.explode(field).alias("dst"))
             for other, nodes in store.nodes.items():
                 out.append(Hop(t, other, ids.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")))
@@ -100,6 +100,18 @@ def _once(rows: DataFrame, paths: bool) -> DataFrame:
     return rows.groupBy("start_id", "id").agg(F.min("depth").alias("depth"))
 
 
+def depth_first(rows: DataFrame) -> DataFrame:
+    """The order of a depth-first walk for rows with a path: a node comes before all that is below it. Adds order_key."""
+    return rows.withColumn("order_key", F.array_join("path", "\u0001"))
+
+
+def every_node(store: GraphStore, types: set[str] | None = None) -> DataFrame:
+    """All nodes, each as reached from the first head (a node without a parent) that leads to it; nodes of pure cycles are left out."""
+    heads = store.heads().select(F.col("id").alias("start_id"), "id")
+    found = bfs(store, heads, child_hops(store), None, types, include_head=True)
+    return found.groupBy("id").agg(F.min(F.struct("start_id", "depth")).alias("m")).select("m.start_id", "id", "m.depth")
+
+
 def one_hop(rows: DataFrame, hops: list[Hop], types: set[str] | None = None, sources: set[str] | None = None) -> DataFrame:
     """Neighbours of the starts: start_id, id, depth. types: of the neighbours; sources: of the starts."""
     used = [h for h in hops if (types is None or h.target in types) and (sources is None or h.source in sources)]

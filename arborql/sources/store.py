@@ -6,6 +6,7 @@ types are known reads only the tables it can pass through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +31,25 @@ class GraphStore:
     aliases: DataFrame | None = None
     #: Pairs of types for which the source promises that a child has one parent of that type.
     single_parent: frozenset = frozenset()
+    #: By type: nodes of some ids, read with a filter on the source's own key.
+    finders: dict[str, Callable[[list[str]], DataFrame]] = field(default_factory=dict)
 
     # ------------------------------------------------------------ views
 
     def with_(self, **changes) -> GraphStore:
+        if "nodes" in changes and "finders" not in changes:  # a finder reads the source: only for types that are as they were
+            changes["finders"] = {t: f for t, f in self.finders.items() if changes["nodes"].get(t) is self.nodes.get(t)}
         return replace(self, **changes)
 
+    def find(self, ids: list[str]) -> DataFrame:
+        """The nodes of some ids with the columns of their types; only the tables of these types are read."""
+        by_type: dict[str, list[str]] = {}
+        for i in ids:
+            if (t := self.schema.type_of(i)) in self.nodes:
+                by_type.setdefault(t, []).append(i)
+        kept = {t: self.finders[t](x) if t in self.finders else self.nodes[t].where(F.col("id").isin(x)) for t, x in by_type.items()}
+        return replace(self, nodes=kept).node_rows()
+
     @property
     def types(self) -> list[str]:
         return sorted(self.nodes)
@@ -95,18 +109,23 @@ class GraphStore:
     # ------------------------------------------------------------ sources and sinks
 
     def save(self, path: str) -> None:
-        """Writes the snapshot as parquet tables below path."""
+        """Writes the snapshot as parquet tables below path: a new version folder, then the index that names it.
+
+        Older versions stay, as snapshots loaded from them may still be read (also the one that is saved).
+        """
+        import json
+        import uuid
+
+        version = f"{path}/versions/{uuid.uuid4().hex}"
         for t, df in self.nodes.items():
-            df.write.mode("overwrite").parquet(f"{path}/nodes/{t}")
+            df.write.parquet(f"{version}/nodes/{t}")
         for (a, b), df in self.links.items():
-            df.write.mode("overwrite").parquet(f"{path}/links/{a}/{b}")
+            df.write.parquet(f"{version}/links/{a}/{b}")
         for (a, f, b), df in self.edges.items():
-            df.write.mode("overwrite").parquet(f"{path}/edges/{a}/{f}/{b}")
-        self.alias_rows().write.mode("overwrite").parquet(f"{path}/aliases")
-        import json
-
+            df.write.parquet(f"{version}/edges/{a}/{f}/{b}")
+        self.alias_rows().write.parquet(f"{version}/aliases")
         told = {"languages": self.schema.languages, "types": {k: {"prefix": v.prefix, "fields": v.fields} for k, v in self.schema.types.items() if k != "root"}, "rootType": {"fields": self.schema.types["root"].fields}}
-        index = {"schema": told, "nodes": list(self.nodes), "links": list(self.links), "edges": list(self.edges)}
+        index = {"version": version, "schema": told, "nodes": list(self.nodes), "links": list(self.links), "edges": list(self.edges)}
         self.spark.createDataFrame([(json.dumps(index),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/index")
 
     @classmethod
@@ -114,8 +133,29 @@ class GraphStore:
         import json
 
         index = json.loads(spark.read.text(f"{path}/index").first()[0])
-        read = spark.read.parquet
-        return cls(spark, GraphSchema.of(index["schema"]), {t: read(f"{path}/nodes/{t}") for t in index["nodes"]}, {(a, b): read(f"{path}/links/{a}/{b}") for a, b in index["links"]}, {(a, f, b): read(f"{path}/edges/{a}/{f}/{b}") for a, f, b in index["edges"]}, read(f"{path}/aliases"))
+        read = lambda name: spark.read.parquet(f"{index['version']}/{name}")
+        return cls(spark, GraphSchema.of(index["schema"]), {t: read(f"nodes/{t}") for t in index["nodes"]}, {(a, b): read(f"links/{a}/{b}") for a, b in index["links"]}, {(a, f, b): read(f"edges/{a}/{f}/{b}") for a, f, b in index["edges"]}, read("aliases"))
+
+    def backup(self, path: str, now_ms: int) -> str:
+        """A snapshot below path, named by its time; any store that Spark writes to will do."""
+        name = f"{path}/{now_ms:015d}"
+        self.save(name)
+        self.spark.createDataFrame([(now_ms, name)], "at long, path string").coalesce(1).write.mode("append").parquet(f"{path}/backups")
+        return name
+
+    @classmethod
+    def restore(cls, spark: SparkSession, path: str, before_ms: int | None = None) -> GraphStore:
+        """The last backup, or the last one up to a time."""
+        known = spark.read.parquet(f"{path}/backups")
+        last = known.where(F.col("at") <= before_ms) if before_ms is not None else known
+        found = last.agg(F.max_by("path", "at").alias("path")).first().path
+        if found is None:
+            raise ValueError("no backup")
+        return cls.load(spark, found)
+
+    def registry(self) -> DataFrame:
+        """type, prefix, fields: the types as rows."""
+        return self.spark.createDataFrame([(t, d.prefix, sorted(d.fields)) for t, d in sorted(self.schema.types.items())], "type string, prefix string, fields array<string>")
 
     def dump_json(self, path: str) -> None:
         """Nodes and relations as JSON lines, one folder a table."""

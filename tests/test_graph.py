@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborql.client import GraphClient
 from arborql.operators import inherit, mutate, order
@@ -65,6 +66,32 @@ def test_inheritance(client):
     assert {r.start_id: tuple(r.theme) for r in merged} == {"ma9": ("own", "lb"), "ma0": ("la", "lb")}
 
 
+def test_values_come_down_as_the_walk_up_finds_them(spark, monkeypatch):
+    r = random.Random(21)
+    store = GraphStore.empty(spark, GraphSchema.of(SCHEMA))
+    ids = {t: [f"{p}{i}" for i in range(9)] for t, p in (("league", "le"), ("team", "te"), ("match", "ma"))}
+    some = lambda p: r.choice([None, None, f"{p}{r.randrange(99)}"])
+    nodes = {t: spark.createDataFrame([(i, t, some(i), float(r.randrange(9)) if r.random() < 0.4 and t != "league" else None) for i in x], "id string, type string, name string, value double") for t, x in ids.items()}
+    nodes["league"] = nodes["league"].drop("value")
+    pairs = {(r.choice(ids["league"]), r.choice(ids["team"])) for _ in range(14)} | {(r.choice(ids["team"]), r.choice(ids["match"])) for _ in range(14)} | {(r.choice(ids["league"]), r.choice(ids["match"])) for _ in range(8)}
+    store = store.with_(nodes=nodes).with_links(spark.createDataFrame(sorted(pairs), "parent string, child string"))
+    rows = nodes["match"].select(F.col("id").alias("start_id"), "id")
+    found = []
+    for few in (True, False):
+        monkeypatch.setattr(inherit, "_few", lambda rows, few=few: few)
+        found.append([sorted(map(tuple, inherit.inherit_fields(store, rows, ["name", "value"], accept, {"match"}).collect()), key=repr) for accept in (None, {"league"}, {"team", "league"})])
+    assert found[0] == found[1]
+    assert len({repr(x) for x in found[0]}) > 1
+    assert sorted(map(tuple, inherit.inherit_fields(store, None, ["name", "value"], None, {"match"}).collect()), key=repr) == found[0][0]
+
+
+def test_the_first_rows_of_a_start_are_cut_before_the_shuffle(client):
+    rows = client.store().nodes["match"].withColumn("start_id", F.lit("x"))
+    plan = order.take_each(rows, ["start_id"], order.sort_keys(rows, "value"), 2, 1)
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x.id, x.pos) for x in plan.collect()) == [("ma1", 1), ("ma2", 2)]
+
+
 def test_set_like_filters(client):
     find = lambda *f: sorted(x["id"] for x in client.get({"$id": "root", "x": {"id": True, "$list": {"$find": {"$traverse": "descendants", "$filter": list(f)}}}})["x"])
     has = lambda field, v: {"$field": field, "$operator": "has", "$value": v}
