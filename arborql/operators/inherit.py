@@ -55,37 +55,40 @@ def _parents_first(store: GraphStore, sources: set[str]) -> list[str] | None:
     return order if all(visit(t) for t in sorted(sources)) else None
 
 
-def resolved(store: GraphStore, fields: list[str], types: list[str], accept: set[str] | None, sources: set[str]) -> dict[str, DataFrame]:
+def resolved(store: GraphStore, fields: list[str], types: list[str], accept: set[str] | None, sources: set[str], paths: bool = True) -> dict[str, DataFrame]:
     """For each type, parents first: id and for each field (depth, path, value) of the nearest node at or above that has it.
 
-    The best of a node is its own value, else the best of its parents' bests, one step
-    further: so every table and every link is read once, not once for each chain above it.
+    The best of a node is the least of its own value and its parents' bests, one step
+    further: every link is read once, not once for each chain above it, and where a child
+    has one parent of a type there is nothing to aggregate. Without paths equal depths go
+    to the smaller parent id.
     """
     out: dict[str, DataFrame] = {}
     kinds = {f: next(df.schema[f].dataType for df in store.nodes.values() if f in df.columns) for f in fields}
+    told = {f: T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType()) if paths else T.StringType()), T.StructField("value", kinds[f])]) for f in fields}
+    start = F.array().cast("array<string>") if paths else F.lit("")
+
+    def further(f: str) -> Column:
+        path = F.concat(F.array("parent"), F.col(f"{f}.path")) if paths else F.col("parent")
+        return F.when(F.col(f).isNotNull(), F.struct((F.col(f"{f}.depth") + 1).alias("depth"), path.alias("path"), F.col(f"{f}.value").alias("value"))).cast(told[f]).alias(f)
+
     for t in types:
         counts = t in sources or accept is None or t in accept
         own = [f for f in fields if counts and f in store.nodes[t].columns]
         parts = []
         for (a, b), link in store.links.items():
             if b == t and a in out:
-                step = lambda f: F.when(F.col(f).isNotNull(), F.struct((F.col(f"{f}.depth") + 1).alias("depth"), F.concat(F.array("parent"), F.col(f"{f}.path")).alias("path"), F.col(f"{f}.value").alias("value"))).alias(f)
-                up = link.join(out[a].withColumnRenamed("id", "parent"), "parent")
-                parts.append((up.select(F.col("child").alias("id"), *(step(f) for f in fields)), (a, b) in store.single_parent))
-        empty = lambda f: F.lit(None).cast(T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("value", kinds[f])])).alias(f)
-        mine = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"), F.col(f).cast(kinds[f]).alias("value"))).alias(f)
-        if own or t in sources or not parts:
-            rows = store.nodes[t].select("id", *(mine(f) if f in own else empty(f) for f in fields))
-            if not parts and not own and t not in sources:
-                continue  # nothing is known here or above
-            parts.append((rows, True))
-        whole = parts[0][0]
-        for x, _ in parts[1:]:
-            whole = whole.unionByName(x)
-        if len(parts) > 1 or not parts[0][1]:
-            near = lambda f: F.min_by(f, F.when(F.col(f).isNotNull(), F.struct(F.col(f"{f}.depth"), F.col(f"{f}.path")))).alias(f)
-            whole = whole.groupBy("id").agg(*(near(f) for f in fields))
-        out[t] = whole
+                up = link.join(out[a].withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id"), *map(further, fields))
+                parts.append(up if (a, b) in store.single_parent else up.groupBy("id").agg(*(F.min(f).alias(f) for f in fields)))
+        if own or t in sources or len(parts) > 1:
+            mine = lambda f: (F.when(F.col(f).isNotNull(), F.struct(F.lit(0).alias("depth"), start.alias("path"), F.col(f).alias("value"))) if f in own else F.lit(None)).cast(told[f]).alias(f)
+            whole = store.nodes[t].select("id", *map(mine, fields))
+            for x in parts:
+                named = x.select(F.col("id").alias("_id"), *(F.col(f).alias(f"_{f}") for f in fields))
+                whole = whole.join(named, F.col("id") == F.col("_id"), "left").select("id", *(F.least(f, f"_{f}").alias(f) for f in fields))
+            out[t] = whole
+        elif parts:
+            out[t] = parts[0]
     return out
 
 
@@ -101,9 +104,9 @@ def inherit_fields(store: GraphStore, rows: DataFrame | None, fields: list[str],
         rows = store.node_rows(sources, set()).select(F.col("id").alias("start_id"), "id")
     known = [f for f in fields if any(f in df.columns for df in store.nodes.values())]
     clear = sources and (accept is None or len(sources) == 1 or sources <= accept)  # else a start's own value and one passed through differ
-    types = _parents_first(store, sources) if clear and known == fields and not _few(rows) else None
+    types = _parents_first(store, sources) if clear and known == fields and not _few(rows) and not _maps(store, fields) else None
     if types is not None:
-        found = resolved(store, fields, types, accept, sources)
+        found = resolved(store, fields, types, accept, sources, paths)
         best = None
         for t in sorted(sources):
             if t in found:
@@ -117,6 +120,11 @@ def inherit_fields(store: GraphStore, rows: DataFrame | None, fields: list[str],
     return _keep_all(store, rows, line.groupBy("start_id").agg(*value))
 
 
+def _maps(store: GraphStore, fields: list[str]) -> bool:
+    """Whether a field can't be compared: maps have no order."""
+    return any("map<" in df.schema[f].dataType.simpleString() or "variant" in df.schema[f].dataType.simpleString() for df in store.nodes.values() for f in fields if f in df.columns)
+
+
 def _few(rows: DataFrame, most: int = 1000) -> bool:
     """Whether the plan itself bounds the rows."""
     bound = rows._jdf.queryExecution().optimizedPlan().maxRows()

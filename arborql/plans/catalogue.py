@@ -516,7 +516,7 @@ def q_agg_expression(spark, d):
 def q_inherit_field(spark, d):
     # The supplier's region is the nearest: three steps up, the customer's is four.
     g = star_graph(spark, d)
-    return inh.inherit_fields(g, None, ["segment", "regionname"], sources={"lineitem"})
+    return inh.inherit_fields(g, None, ["segment", "regionname"], sources={"lineitem"}, paths=False)
 
 
 @registered("SELECT concat('or', o_orderkey) AS start_id, n_name AS nationname FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'F'")
