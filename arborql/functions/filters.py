@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPERATORS = ("=", "!=", ">", "<", "..", "exists", "notExists", "has", "includes", "distance", "textSearch")
@@ -274,3 +274,22 @@ def condition(node, f: Fields) -> Column:
     for p in parts[1:]:
         out = out & p
     return out
+
+
+def refresh_at(rows: DataFrame, filter_: Any, now_ms: int, fields: Fields | None = None) -> DataFrame:
+    """refresh_at: the next time at which a row crosses a bound that moves with now; null if none will.
+
+    Rows must match the other parts of the filter, as only these can enter or leave the result.
+    """
+    node = tree(filter_)
+    moving = [x for x in leaves(node) if isinstance(x.value, str) and _NOW.match(x.value)]
+    still = [p for p in node.parts if not any(x in moving for x in leaves(p))]
+    f = fields or Fields(lambda p: F.col(p) if p in rows.columns else None, lambda p: None, None, None, now_ms)
+    rows = rows.where(condition(Fork(False, still), f))
+    cross = []
+    for x in moving:
+        m = _NOW.match(x.value)
+        shift = int(m[2] or 0) * UNITS[m[3] or ""] * (-1 if m[1] == "-" else 1)
+        at = f.column(x.field) - shift
+        cross.append(F.min(F.when(at > now_ms, at)))
+    return rows.agg((F.least(*cross) if len(cross) > 1 else cross[0]).alias("refresh_at"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +43,20 @@ def aggregate(df: DataFrame, function: str, args: list[str] = (), by: list[str]
     return df.groupBy(*by).agg(aggregate_column(df, function, list(args), compat).alias(name))
 
 
-def aggregate_items(df: DataFrame, field: str, function: str, arg: str, name: str = "value") -> DataFrame:
-    """Over the elements of an object array, row by row and without a shuffle: id, value."""
-    x = F.transform(F.filter(field, lambda e: e[arg].isNotNull()), lambda e: e[arg].cast("double"))
+def items_column(items: Column, function: str, values: Callable[[Column], list[tuple[Column | None, T.DataType | None]]], compat: bool = False) -> Column:
+    """The aggregate of an array's objects, in the row. values: the arguments of one object, with their types."""
+    if function == "count":
+        return F.size(F.filter(items, lambda e: e.isNotNull())).cast("long")
+    if function == "countUnique":
+        one = lambda e: F.coalesce(F.lit(None).cast("string"), *(c.cast("string") for c, _ in values(e) if c is not None))
+        return F.size(F.array_distinct(F.filter(F.transform(items, one), lambda x: x.isNotNull()))).cast("long")
+    number = lambda e: F.coalesce(F.lit(None).cast("double"), *(c.cast("double") for c, k in values(e) if isinstance(k, (T.NumericType, T.BooleanType))))
+    x = F.filter(F.transform(items, number), lambda v: v.isNotNull())
     total = F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    value = {"count": F.size(F.filter(field, lambda e: e.isNotNull())).cast("long"), "sum": total, "avg": F.when(F.size(x) > 0, total / F.size(x)), "min": F.array_min(x), "max": F.array_max(x), "countUnique": F.size(F.array_distinct(x)).cast("long")}[function]
-    return df.select("id", value.alias(name))
+    if function == "sum":
+        return total
+    if function == "avg":
+        return F.when(F.size(x) > 0, total / F.size(x))
+    if function == "min":
+        return F.coalesce(F.array_min(x), F.lit(1.7976931348623157e308)) if compat else F.array_min(x)
+    return F.greatest(F.coalesce(F.array_max(x), F.lit(2.2250738585072014e-308)), F.lit(2.2250738585072014e-308)) if compat else F.array_max(x)

@@ -29,12 +29,13 @@ MAX_UPDATE_FIELDS = 300
 class Result:
     store: GraphStore
     ids: list[str | None] = field(default_factory=list)
-    changes: list[tuple] = field(default_factory=list)
+    #: Rows of the change log, of payloads (as many as the caller sent), or the log itself, of bulk mutations.
+    changes: list[tuple] | DataFrame = field(default_factory=list)
     #: By payload: which fields changed and which stayed as they were.
     meta: list[dict] = field(default_factory=list)
 
     def change_log(self) -> DataFrame:
-        return self.store.spark.createDataFrame(self.changes, CHANGES)
+        return self.changes if isinstance(self.changes, DataFrame) else self.store.spark.createDataFrame(self.changes, CHANGES)
 
 
 def new_id(store: GraphStore, type_name: str) -> str:
@@ -287,10 +288,10 @@ class _Batch:
         if replaces or spec["type"] == "reference":
             self.edge_clear.add((node_id, name))
             self.edge_add = {e: m for e, m in self.edge_add.items() if e[:2] != (node_id, name)}
-        meta = {k: None if v is None else str(v) for k, v in ops["$edgeMeta"].items()} if "$edgeMeta" in ops else None
+        told = ops.get("$edgeMeta")
         back = spec.get("bidirectional", {}).get("fromField")
         for x in targets:
-            self.edge_add[(node_id, name, x)] = meta
+            self.edge_add[(node_id, name, x)] = self.edge_meta(node_id, name, x, told)
             if back:
                 kind = self.store.schema.types[self.store.schema.type_of(x)].fields.get(back, {}).get("type")
                 if kind == "reference":
@@ -301,6 +302,32 @@ class _Batch:
                 self.edge_del.add(e)
                 self.edge_add.pop(e, None)
 
+    def edge_meta(self, src: str, name: str, dst: str, told: dict | None) -> dict | None:
+        """An edge's metadata after operations on it: values, {$default}, {$increment}, {$delete: true}; {$delete: true} as a whole clears it."""
+        if told is None:
+            return self.edge_add.get((src, name, dst))
+        if told.get("$delete") is True:
+            return None
+        old = self.edge_add.get((src, name, dst))
+        if old is None and any(isinstance(v, dict) for v in told.values()) or told.get("$merge"):
+            head, _, key = name.partition(".")
+            same = (F.col("src") == src) & (F.col("dst") == dst) & (F.col("key").eqNullSafe(F.lit(key or None)))
+            old = old or next((dict(r.meta) for r in self.store.edge_rows(head).where(same).take(1) if r.meta), None)
+        out = dict(old or {}) if old and (told.get("$merge") or any(isinstance(v, dict) for v in told.values())) else {}
+        for k, v in told.items():
+            if k.startswith("$"):
+                continue
+            if isinstance(v, dict):
+                if v.get("$delete") is True:
+                    out.pop(k, None)
+                    continue
+                if "$increment" in v:
+                    v = v.get("$default", v["$increment"]) if k not in out else (float(out[k]) if "." in out[k] or isinstance(v["$increment"], float) else int(out[k])) + v["$increment"]
+                elif "$default" in v:
+                    v = out.get(k, v["$default"])
+            out[k] = None if v is None else str(v)
+        return out
+
     def done(self) -> GraphStore:
         store, spark = self.store, self.store.spark
         touched: dict[str, list[dict]] = {}
@@ -370,7 +397,7 @@ def set_nodes(store: GraphStore, payloads: list[dict], now: int = 0) -> GraphSto
     return set_all(store, payloads, now).store
 
 
-# ---------------------------------------------------------------- bulk
+# bulk
 
 
 def upsert_rows(old: DataFrame, new: DataFrame, operation: str = "upsert", now: int = 0) -> DataFrame:
@@ -399,15 +426,115 @@ def increment(column: str, by: float, default: float | None = None) -> Column:
     return F.when(c.isNull(), F.lit(by if default is None else default)).otherwise(c + by)
 
 
-def update_where(store: GraphStore, type_name: str, where: Column, values: dict[str, Column], now: int | None = None) -> GraphStore:
-    """Sets fields of all nodes of a type that match; one pass over the type's table, no shuffle."""
+def column_of(spec: dict, old: Column, value: Any, path: str) -> Column:
+    """The Column of a field after an operation or a plain value: what set does to one node, for all rows at once."""
+    kind = spark_type(spec)
+    typed = lambda v: F.lit(None).cast(kind) if v is None else _constant(_typed(_check(spec, v, path), kind), kind)
+    if isinstance(value, Column):
+        return value.cast(kind)
+    ops = {k: v for k, v in value.items() if k.startswith("$")} if isinstance(value, dict) else {}
+    listed = lambda v: list(v) if isinstance(v, (list, tuple)) else [v]
+    items = lambda v: typed(listed(v))
+    if value is None or ops.get("$delete") is True:
+        return F.lit(None).cast(kind)
+    if "$increment" in ops:
+        if spec["type"] not in ("int", "number", "float", "timestamp"):
+            raise SchemaError(f"{path} can't be incremented")
+        _check(spec, ops["$increment"], path)
+        return F.when(old.isNull(), typed(ops.get("$default", ops["$increment"]))).otherwise(old + _constant(_typed(ops["$increment"], kind), kind))
+    if "$default" in ops:
+        return F.coalesce(old, typed(ops["$default"]))
+    if "$value" in ops:
+        return typed(ops["$value"])
+    if spec["type"] == "set" and ops:
+        have = F.coalesce(old, F.array().cast(kind))
+        return F.array_sort(F.array_except(F.array_union(have, items(ops.get("$add", []))), items(ops.get("$delete", []))))
+    if spec["type"] == "array" and ops:
+        out = F.coalesce(old, F.array().cast(kind))
+        if "$push" in ops:
+            out = F.concat(out, items(ops["$push"]))
+        if "$unshift" in ops:
+            told = ops["$unshift"]
+            v, most = (told["$value"], told.get("$maxLen")) if isinstance(told, dict) and "$value" in told else (told, None)
+            out = F.concat(items(v), out)
+            out = F.slice(out, 1, most) if most is not None else out
+        if "$insert" in ops:
+            at = ops["$insert"]["$idx"]
+            cut = F.lit(at) if at >= 0 else F.greatest(F.size(out) + at, F.lit(0))
+            out = F.concat(F.slice(out, F.lit(1), cut), items(ops["$insert"]["$value"]), F.slice(out, cut + 1, F.greatest(F.size(out) - cut, F.lit(0))))
+        if "$assign" in ops or "$remove" in ops:
+            at = ops["$assign" if "$assign" in ops else "$remove"]["$idx"]
+            place = F.lit(at) if at >= 0 else F.size(out) + at
+            if "$remove" in ops:
+                out = F.filter(out, lambda _, i: i != place)
+            else:
+                new = _constant(_typed(_check(spec["items"], ops["$assign"]["$value"], path), kind.elementType), kind.elementType)
+                longer = F.concat(out, F.array_repeat(F.lit(None).cast(kind.elementType), F.greatest(place + 1 - F.size(out), F.lit(0))))
+                out = F.transform(longer, lambda x, i: F.when(i == place, new).otherwise(x))
+        return out
+    if spec["type"] == "object" and isinstance(value, dict):
+        if extra := {k for k in value if not k.startswith("$")} - set(spec.get("properties", {})):
+            raise SchemaError(f"unknown fields {sorted(extra)} of {path}")
+        keep = ops.get("$merge", True)
+        member = lambda k, t: column_of(spec["properties"][k], old[k] if keep else F.lit(None).cast(t), value[k], f"{path}.{k}") if k in value else old[k] if keep else F.lit(None).cast(t)
+        return F.struct(*(member(f.name, f.dataType).alias(f.name) for f in kind.fields))
+    if spec["type"] in ("text", "record") and isinstance(value, dict):
+        inner = spec["values"] if spec["type"] == "record" else {"type": "string"}
+        told = {k: v for k, v in value.items() if not k.startswith("$")}
+        base = F.coalesce(old, F.create_map().cast(kind)) if ops.get("$merge", True) else F.create_map().cast(kind)
+        rest = F.map_filter(base, lambda k, _: ~k.isin(list(told))) if told else base
+        new = {k: column_of(inner, base[k], v, f"{path}.{k}") for k, v in told.items()}
+        both = F.map_concat(rest, F.create_map(*(x for k, c in new.items() for x in (F.lit(k), c)))) if new else rest
+        return F.map_filter(both, lambda _, v: v.isNotNull())
+    return typed(value)
+
+
+def _constant(v: Any, kind: T.DataType) -> Column:
+    if v is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.StructType):
+        return F.struct(*(_constant(x, f.dataType).alias(f.name) for x, f in zip(v, kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.array(*(_constant(x, kind.elementType) for x in v)).cast(kind) if v else F.array().cast(kind)
+    if isinstance(kind, T.MapType):
+        return F.create_map(*(y for k, x in v.items() for y in (F.lit(k), _constant(x, kind.valueType)))).cast(kind)
+    return F.lit(v).cast(kind)
+
+
+def update_where(store: GraphStore, type_name: str, where: Column | DataFrame, values: dict[str, Any], now: int | None = None) -> tuple[GraphStore, DataFrame]:
+    """Sets fields of all nodes of a type that match: a condition (one pass over the table, no shuffle), or ids (a join).
+
+    values are plain values, operations or Columns. Returns the store and the change log:
+    only rows in which a value differs are changes, and only these get the time.
+    """
     if len(values) > MAX_UPDATE_FIELDS:
         raise ValueError("too many fields")
-    df = store.nodes[type_name]
-    cols = {c: F.when(where, values[c].cast(df.schema[c].dataType)).otherwise(F.col(c)) if c in values else F.col(c) for c in df.columns}
-    if now is not None and "updatedAt" in cols:
-        cols["updatedAt"] = F.when(where, F.lit(now)).otherwise(F.col("updatedAt"))
-    return store.with_(nodes={**store.nodes, type_name: df.select(*(x.alias(c) for c, x in cols.items()))})
+    df, fields = store.nodes[type_name], store.schema.types[type_name].all_fields()
+    for k in values:
+        if k not in fields or k in ("id", "type", "createdAt", "updatedAt"):
+            raise SchemaError(f"{k} of {type_name} can't be updated")
+        if fields[k]["type"] in ("reference", "references") or k in RELATIONS:
+            raise SchemaError(f"{k}: relations can't be updated in bulk")
+    rows = df
+    for k in values:
+        if k not in df.columns:
+            rows = rows.withColumn(k, F.lit(None).cast(spark_type(fields[k])))
+    columns = rows.columns
+    if isinstance(where, DataFrame):
+        hit = where.select("id").distinct().withColumn("_hit", F.lit(True))
+        rows = rows.join(hit, "id", "left").select(*columns, F.coalesce("_hit", F.lit(False)).alias("_hit"))
+    else:
+        rows = rows.withColumn("_hit", F.coalesce(where, F.lit(False)))
+    new = {k: column_of(fields[k], F.col(k), v, k).cast(rows.schema[k].dataType) for k, v in values.items()}
+    plain = lambda c, kind: F.to_json(c) if "map<" in kind.simpleString() else c  # noqa: E731  # maps can't be compared
+    differs = {k: F.col("_hit") & ~plain(F.col(k), rows.schema[k].dataType).eqNullSafe(plain(c, rows.schema[k].dataType)) for k, c in new.items()}
+    touched = rows.withColumn("_changed", F.array_compact(F.array(*(F.when(d, k) for k, d in differs.items()))))
+    out = {c: F.when(F.array_contains("_changed", c), new[c]).otherwise(F.col(c)) if c in new else F.col(c) for c in columns}
+    if now is not None and "updatedAt" in out:
+        out["updatedAt"] = F.when(F.size("_changed") > 0, F.lit(now)).otherwise(F.col("updatedAt")).cast(df.schema["updatedAt"].dataType)
+    after = F.to_json(F.struct(*(c.alias(k) for k, c in out.items())))
+    log = touched.where(F.size("_changed") > 0).select(F.monotonically_increasing_id().alias("seq"), F.lit("updated").alias("op"), "id", F.lit(type_name).alias("type"), F.col("_changed").alias("changed"), F.to_json(F.struct(*columns)).alias("before"), after.alias("after"))
+    return store.with_(nodes={**store.nodes, type_name: touched.select(*(c.alias(k) for k, c in out.items()))}), log
 
 
 def deletion(store: GraphStore, ids: DataFrame, recursive: bool = False) -> DataFrame:
@@ -432,16 +559,29 @@ def deletion(store: GraphStore, ids: DataFrame, recursive: bool = False) -> Data
 
 
 def delete_nodes(store: GraphStore, ids: list[str], recursive: bool = False) -> tuple[GraphStore, DataFrame]:
-    """The store without some nodes and those that go with them, and the ids. Deleting the root empties the store."""
+    """The store without some nodes and those that go with them, and the change log. Deleting the root empties the store."""
     if ROOT in ids:
-        every = store.node_rows(needed=set()).where(F.col("id") != ROOT).select("id")
-        return GraphStore.empty(store.spark, store.schema), every
+        gone = store.node_rows(needed=set()).where(F.col("id") != ROOT).select("id")
+        return GraphStore.empty(store.spark, store.schema), deletion_log(store, gone)
     gone = deletion(store, store.spark.createDataFrame([(i,) for i in ids], "id string"), recursive)
     without = lambda df, c: df.join(gone.select(F.col("id").alias(c)), c, "left_anti").select(*df.columns)
     nodes = {t: without(df, "id") for t, df in store.nodes.items()}
     links = {k: without(without(df, "parent"), "child") for k, df in store.links.items()}
     edges = {k: without(without(df, "src"), "dst") for k, df in store.edges.items()}
-    return store.with_(nodes=nodes, links=links, edges=edges, aliases=without(store.alias_rows(), "node_id")), gone
+    return store.with_(nodes=nodes, links=links, edges=edges, aliases=without(store.alias_rows(), "node_id")), deletion_log(store, gone)
+
+
+def deletion_log(store: GraphStore, gone: DataFrame) -> DataFrame:
+    """The change log of the nodes that were there and go, with their last state."""
+    parts = []
+    for t, df in store.nodes.items():
+        if t != "root":
+            last = df.join(gone.select("id"), "id", "left_semi")
+            parts.append(last.select(F.monotonically_increasing_id().alias("seq"), F.lit("deleted").alias("op"), "id", F.lit(t).alias("type"), F.array().cast("array<string>").alias("changed"), F.to_json(F.struct(*df.columns)).alias("before"), F.lit(None).cast("string").alias("after")))
+    out = parts[0] if parts else store.spark.createDataFrame([], CHANGES)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def convert_field(store: GraphStore, type_name: str, field_name: str, spec: dict) -> GraphStore:

@@ -6,6 +6,8 @@ is its exact reverse. Without a sort the order is that of the traversal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +67,15 @@ def take_each(df: DataFrame, by: list[str], keys: list[Column], limit: int = -1,
     return out.withColumn("pos", F.col("_rank") - 1).drop("_rank")
 
 
-def sort_items(field: Column, key: str, order: str = "asc") -> Column:
+def sort_items(field: Column, key: str | Callable[[Column], Column | None], order: str = "asc") -> Column:
     """An object array sorted by a field of its elements; missing ones last (first, if descending)."""
+    value = (lambda e: e[key]) if isinstance(key, str) else key
     sign = 1 if order == "asc" else -1
-    return F.array_sort(field, lambda a, b: F.when(a[key].isNull() & b[key].isNull(), 0).when(a[key].isNull(), sign).when(b[key].isNull(), -sign).when(a[key] < b[key], -sign).when(a[key] > b[key], sign).otherwise(0))
+
+    def compare(a: Column, b: Column) -> Column:
+        x, y = value(a), value(b)
+        if x is None or y is None:  # no element has the field
+            return F.lit(0)
+        return F.when(x.isNull() & y.isNull(), 0).when(x.isNull(), sign).when(y.isNull(), -sign).when(x < y, -sign).when(x > y, sign).otherwise(0)
+
+    return F.array_sort(field, compare)

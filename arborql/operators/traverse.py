@@ -219,7 +219,7 @@ def ancestors(store, rows, sources=None, targets=None, **options) -> DataFrame:
     return bfs(store, rows, parent_hops(store), sources, targets, **options)
 
 
-# ---------------------------------------------------------------- expressions by type
+# expressions by type
 
 
 def fields_for(expression, node_type: str, has_any: Callable[[str], bool]) -> tuple[str, list]:

@@ -59,7 +59,7 @@ _LI = "concat('li', l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppke
 _MS = "epoch_ms({}::TIMESTAMP)"
 
 
-# ---------------------------------------------------------------- sources and lookups
+# sources and lookups
 
 
 @registered("SELECT concat('na', n_nationkey) AS id, n_name AS nationname FROM nation WHERE n_nationkey = 3")
@@ -107,7 +107,7 @@ def s_field_read(spark, d):
     return star_graph(spark, d).nodes["customer"].groupBy("segment").agg(F.count("*").alias("n"), F.count("acctbal").alias("present"))
 
 
-# ---------------------------------------------------------------- traversals
+# traversals
 
 
 @registered("SELECT concat('re', n_regionkey) AS start_id, concat('na', n_nationkey) AS id FROM nation")
@@ -236,7 +236,7 @@ def q_record_key_leq(spark, d):
     return record.where(F.size(keys) > 0).select("id", F.get(keys, 0).cast("long").alias("last"))
 
 
-# ---------------------------------------------------------------- filters
+# filters
 
 
 def _filter_query(name: str, t: str, told, sql: str, columns: tuple[str, ...] = ("id",), **options):
@@ -298,7 +298,7 @@ def q_filter_mixed_types(spark, d):
     return _where(g, g.node_rows({"customer", "supplier", "nation"}, {"acctbal"}), _f("acctbal", ">", 0)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-# ---------------------------------------------------------------- postfix expressions
+# postfix expressions
 
 
 @registered(f"SELECT {_LI} AS id, l_extendedprice * (1 - l_discount) AS net, l_quantity % 7 AS rest FROM lineitem")
@@ -326,7 +326,7 @@ def q_rpn_jump(spark, d):
     return star_graph(spark, d).nodes["orders"].select("id", grade.alias("grade"))
 
 
-# ---------------------------------------------------------------- set operations
+# set operations
 
 
 def _tags(spark, d) -> DataFrame:
@@ -361,7 +361,7 @@ def q_concat(spark, d):
     return g.nodes["customer"].where("acctbal > 9500").select("id").unionByName(g.nodes["supplier"].where("acctbal > 5000").select("id")).unionByName(g.nodes["customer"].where("acctbal > 9900").select("id"))
 
 
-# ---------------------------------------------------------------- projection
+# projection
 
 
 @registered("SELECT concat('do', doc_id) AS id, coalesce(quality, -1)::BIGINT AS quality FROM documents LEFT JOIN labels USING (doc_id)")
@@ -418,7 +418,7 @@ def q_json_field(spark, d):
     return star_graph(spark, d).nodes["event"].select("id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-# ---------------------------------------------------------------- lists, sorting, paging
+# lists, sorting, paging
 
 
 @registered("SELECT concat('or', o_orderkey) AS id, o_totalprice AS totalprice FROM orders ORDER BY o_totalprice DESC, concat('or', o_orderkey) DESC LIMIT 20 OFFSET 10")
@@ -453,7 +453,7 @@ def q_sort_items(spark, d):
     return a.select("id", order.sort_items(F.col("items"), "quantity", "desc")[0]["quantity"].alias("top"))
 
 
-# ---------------------------------------------------------------- aggregates
+# aggregates
 
 
 @registered("SELECT count(*) AS n FROM orders")
@@ -509,7 +509,7 @@ def q_agg_expression(spark, d):
     return _where(g, rows, _f("returnflag", "=", "R")).groupBy("start_id").agg(F.sum(F.col("price") * (1 - F.col("discount"))).alias("revenue"))
 
 
-# ---------------------------------------------------------------- inheritance
+# inheritance
 
 
 @registered(f"SELECT {_LI} AS start_id, c_mktsegment AS segment, r_name AS regionname FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
@@ -558,7 +558,7 @@ def q_inherit_deep_merge(spark, d):
     return out.select("start_id", F.col("theme.a").alias("a"), F.col("theme.in.b").alias("b"))
 
 
-# ---------------------------------------------------------------- mutations
+# mutations
 
 
 @registered("SELECT concat('pa', p_partkey) AS id, p_retailprice + CASE WHEN p_size > 40 THEN 5 ELSE 0 END AS retailprice FROM part")
@@ -607,7 +607,7 @@ def q_array_push(spark, d):
     return a.select("id", F.size(F.concat("items", F.array(new))).cast("long").alias("n"))
 
 
-# ---------------------------------------------------------------- live queries
+# live queries
 
 
 def _log(spark, d) -> DataFrame:
@@ -651,7 +651,7 @@ def q_now_refresh(spark, d):
     return refresh_at(rows, [_f("status", "=", "O"), _f("orderdate", ">", "now-30d")], NOW)
 
 
-# ---------------------------------------------------------------- extras
+# extras
 
 
 @registered("SELECT concat('cu', c_custkey) AS id FROM customer WHERE 2 * 6371008.8 * asin(sqrt(pow(sin((radians(c_custkey % 90) - radians(10.0)) / 2), 2) + cos(radians(c_custkey % 90)) * cos(radians(10.0)) * pow(sin(radians(c_custkey % 180 - 20.0) / 2), 2))) <= 2000000")

@@ -6,6 +6,7 @@ grouped join keyed by the distinct ids of the level above, never a query for eac
 
 from __future__ import annotations
 
+import json
 from itertools import count
 from typing import Any
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.filters import Fields, condition, leaves, tree, types_of
+from ..functions.filters import Fields, condition, leaves, refresh_at, tree, types_of
 from ..operators import aggregate as agg
 from ..operators import inherit as inh
 from ..operators import order
@@ -21,7 +22,7 @@ from ..operators import traverse as tr
 from ..sources.store import ROOT, GraphStore
 
 RELATIONS = ("children", "parents", "descendants", "ancestors")
-SPECIAL = {"$id", "$alias", "$db", "$language", "$all", "$list", "$find", "$aggregate", "$field", "$default", "$inherit", "$value", "$flatten", "$fieldsByType", "$raw", "$includeMeta", "$version", "$trigger"}
+SPECIAL = {"$id", "$alias", "$db", "$language", "$all", "$list", "$find", "$aggregate", "$field", "$default", "$inherit", "$value", "$flatten", "$fieldsByType", "$raw", "$includeMeta", "$rawAncestors", "$version", "$trigger"}
 LIST_KEYS, FIND_KEYS = {"$find", "$sort", "$limit", "$offset", "$inherit", "$field"}, {"$traverse", "$filter", "$find", "$recursive", "$db", "$edgeFilter"}
 AGGREGATE_KEYS = {"$function", "$traverse", "$filter", "$sort", "$limit", "$offset", "$find", "$db", "$recursive"}
 
@@ -30,6 +31,41 @@ class QueryError(ValueError):
     """A query isn't well formed."""
 
 
+def literal(v: Any) -> Column:
+    """A constant: objects become structs, lists arrays; members of different kinds become strings."""
+    if isinstance(v, dict):
+        return F.struct(*(literal(x).alias(k) for k, x in v.items())) if v else F.create_map().cast("map<string,string>")
+    if isinstance(v, (list, tuple)):
+        if not v:
+            return F.array().cast("array<string>")
+        if all(isinstance(x, dict) for x in v):
+            keys = list(dict.fromkeys(k for x in v for k in x))
+            return F.array(*(F.struct(*(literal(x.get(k)).alias(k) for k in keys)) for x in v))
+        kinds = {type(x) for x in v if x is not None}
+        if len(kinds) > 1 and not kinds <= {int, float}:
+            return F.array(*(F.lit(None if x is None else x if isinstance(x, str) else json.dumps(x)) for x in v))
+        return F.array(*(literal(float(x) if float in kinds and isinstance(x, int) else x) for x in v))
+    return F.lit(v)
+
+
+def nest(spec: dict) -> dict:
+    """The query with dotted keys as nested objects, as its result is nested; a key with an index stays as it is."""
+    out: dict = {}
+    for k, v in spec.items():
+        head, _, rest = k.partition(".")
+        if not rest or k.startswith(("$", "!")) or "[" in k:
+            out[k] = {**out[k], **v} if isinstance(out.get(k), dict) and isinstance(v, dict) else v
+        elif out.get(head) is not True:
+            deeper = nest({rest: v})
+            old = out.get(head)
+            out[head] = _merged(old, deeper) if isinstance(old, dict) else deeper
+    return out
+
+
+def _merged(a: dict, b: dict) -> dict:
+    return {**a, **{k: _merged(a[k], v) if isinstance(a.get(k), dict) and isinstance(v, dict) else v for k, v in b.items()}}
+
+
 def validate(spec: Any, where: str = "") -> None:
     """Checks the operators of a query, at every level."""
     if isinstance(spec, list):
@@ -43,6 +79,11 @@ def validate(spec: Any, where: str = "") -> None:
             raise QueryError(f"unknown operator {k} {where}")
         if k == "$list" and isinstance(v, dict) and (extra := set(v) - LIST_KEYS):
             raise QueryError(f"unknown keys of $list {sorted(extra)}")
+        if k == "$list" and isinstance(v, dict) and isinstance(v.get("$inherit"), dict) and {"$merge", "$deepMerge"} & set(v["$inherit"]):
+            raise QueryError("a list can't be merged, nor a merge limited")
+        if k == "$inherit" and isinstance(v, dict):
+            if extra := set(v) - {"$type", "$item", "$required", "$merge", "$deepMerge"}:
+                raise QueryError(f"unknown keys of $inherit {sorted(extra)}")
         if k == "$aggregate":
             told = v if isinstance(v, dict) else {"$function": v}
             if extra := set(told) - AGGREGATE_KEYS:
@@ -60,6 +101,31 @@ def validate(spec: Any, where: str = "") -> None:
             validate(v, f"at {where}.{k}")
 
 
+def walk(c: Column, kind: T.DataType, parts: list[str]) -> tuple[Column | None, T.DataType | None]:
+    """The column and type at a path below a column: members, keys, [n] from either end, and * for all keys of a record."""
+    for n, p in enumerate(parts):
+        if p.startswith("[") and isinstance(kind, T.ArrayType):
+            i = int(p[1:-1])
+            c, kind = F.get(c, i) if i >= 0 else F.try_element_at(c, F.lit(i)), kind.elementType
+        elif isinstance(kind, T.StructType) and p in kind.names:
+            c, kind = c[p], kind[p].dataType
+        elif isinstance(kind, T.MapType) and p == "*":
+            inner: list = []
+
+            def below(_, v, at=kind.valueType, rest=parts[n + 1 :], inner=inner):
+                x, k = walk(v, at, rest)
+                inner.append(k)
+                return F.lit(None).cast("string") if x is None else x
+
+            out = F.transform_values(c, below)
+            return out, T.MapType(T.StringType(), inner[0] or T.StringType())
+        elif isinstance(kind, T.MapType):
+            c, kind = c[p], kind.valueType
+        else:
+            return None, None
+    return c, kind
+
+
 class Compiler:
     def __init__(self, store: GraphStore, language: str | None = None, now_ms: int | None = None, compat: bool = False, others: dict[str, GraphStore] | None = None):
         self.store, self.language, self.now_ms, self.compat, self.others = store, language, now_ms, compat, others or {}
@@ -68,7 +134,7 @@ class Compiler:
     def name(self) -> str:
         return f"_c{next(self.number)}"
 
-    # ------------------------------------------------------------ filters
+    # filters
 
     def paths_of(self, node, field: str) -> str:
         return field.split(".")[0].split("[")[0]
@@ -83,14 +149,14 @@ class Compiler:
         for leaf in leaves(node):
             values = leaf.value if isinstance(leaf.value, (list, tuple)) else [leaf.value]
             for v in values if leaf.operator == "has" else [None] if leaf.operator in ("exists", "notExists") else []:
-                if (leaf.field, v) not in flags and (ids := self.related(leaf.field, v)) is not None:
+                if (leaf.field, v) not in flags and (ids := self.related(leaf.field, v, types)) is not None:
                     flags[leaf.field, v] = n = self.name()
                     rows = rows.join(ids.select("id").distinct().withColumn(n, F.lit(True)), "id", "left")
         fields = Fields(lambda p: self.path(rows, p), self.kind, lambda f, v: F.coalesce(F.col(flags[f, v]), F.lit(False)) if (f, v) in flags else None, self.language, self.now_ms)
         return rows.where(condition(node, fields)).select(*base)
 
-    def related(self, field: str, value: Any) -> DataFrame | None:
-        """Ids of nodes whose set-like field holds value (any value, if None). A node is among its own ancestors and descendants here."""
+    def related(self, field: str, value: Any, types: set[str] | None = None) -> DataFrame | None:
+        """Ids of nodes (of some types) whose set-like field holds value (any value, if None). A node is among its own ancestors and descendants here."""
         s = self.store
         if field not in RELATIONS and not any(f == field for _, f, _ in s.edges) and s.schema.relation_kind(field) is None:
             return None
@@ -101,9 +167,9 @@ class Compiler:
         if field in ("ancestors", "descendants"):
             if value is None:
                 return self.related("parents" if field == "ancestors" else "children", None)
-            walk = tr.descendants if field == "ancestors" else tr.ancestors
-            return walk(s, tr.starts(s, [value]), tr.start_types(s, [value]), include_head=True).select("id")
-        rows = s.edge_rows(field)
+            go = tr.descendants if field == "ancestors" else tr.ancestors
+            return go(s, tr.starts(s, [value]), tr.start_types(s, [value]), types, include_head=True).select("id")
+        rows = s.edge_rows(field, types)
         return (rows if value is None else rows.where(F.col("dst") == value)).select(F.col("src").alias("id"))
 
     def kind(self, path: str) -> str | None:
@@ -117,29 +183,24 @@ class Compiler:
         head, *rest = path.replace("[", ".[").split(".")
         if head not in rows.columns:
             return None
-        c, kind = F.col(head), rows.schema[head].dataType
-        for p in rest:
-            if p.startswith("[") and isinstance(kind, T.ArrayType):
-                i = int(p[1:-1])
-                c, kind = F.get(c, i) if i >= 0 else F.try_element_at(c, F.lit(i)), kind.elementType
-            elif isinstance(kind, T.StructType) and p in kind.names:
-                c, kind = c[p], kind[p].dataType
-            elif isinstance(kind, T.MapType):
-                if p == "*":
-                    return F.map_values(c)
-                c, kind = c[p], kind.valueType
-            else:
-                return None
-        return c
-
-    # ------------------------------------------------------------ finding
-
-    def hop(self, starts: DataFrame, types: set[str] | None, find: dict, targets: set[str] | None, paths: bool) -> DataFrame:
-        """One $find step: (start_id, id, depth, path?) from (start_id, id)."""
+        return walk(F.col(head), rows.schema[head].dataType, rest)[0]
+
+    # finding
+
+    def hop(self, starts: DataFrame, types: set[str] | None, find: dict, targets: set[str] | None, paths: bool, head: bool = False) -> DataFrame:
+        """One $find step: (start_id, id, depth, path?) from (start_id, id); with head the start comes first."""
+        if head:
+            begin = starts.select("start_id", "id", F.lit(0).alias("depth"), *([F.array("id").alias("path")] if paths else []))
+            if targets is not None:  # a start of another type doesn't count
+                begin = begin.join(self.store.node_rows(targets, set()).select("id"), "id", "left_semi").select(begin.columns)
+            found = self.hop(starts, types, find, targets, paths).select(begin.columns)
+            return begin.unionByName(found.where("start_id <> id"))
         s, via = self.store, find.get("$traverse", "descendants")
         recursive = find.get("$recursive", False)
         if isinstance(via, dict) and "$db" in via:
-            raise QueryError("$traverse over another database needs ids")
+            ids = self.listed_ids(via)
+            near = starts.select("start_id").crossJoin(F.broadcast(ids)).join(s.node_rows(targets, set()).select("id"), "id", "left_semi")
+            return self.pathed(near.select("start_id", "id", "depth"), paths)
         if isinstance(via, str) and via in ("descendants", "ancestors"):
             return (tr.descendants if via == "descendants" else tr.ancestors)(s, starts, types, targets, paths=paths)
         if isinstance(via, list):
@@ -160,29 +221,38 @@ class Compiler:
             return tr.bfs_expression(s, starts, via, types, targets, where, paths=paths)
         return self.pathed(tr.by_expression(s, starts, via, types, targets, where), paths)
 
+    def listed_ids(self, via: dict) -> DataFrame:
+        """id, depth (place): the ids that a field of one node, maybe of another database, lists. One node's list: bounded."""
+        if "$id" not in via or "$field" not in via:
+            raise QueryError("$traverse over a database needs $id and $field")
+        other = Compiler(self.others[via["$db"]], self.language, self.now_ms, self.compat, self.others) if via["$db"] in self.others else self
+        found = other.get({"$id": via["$id"], "ids": {"$field": via["$field"]}})
+        ids = found.select("ids") if isinstance(found.schema["ids"].dataType, T.ArrayType) else found.select(F.array("ids").alias("ids"))
+        return ids.select(F.posexplode("ids").alias("depth", "id")).where("id is not null").select("id", "depth")
+
     @staticmethod
     def pathed(rows: DataFrame, paths: bool) -> DataFrame:
         return rows.withColumn("path", F.array("start_id", "id")) if paths else rows
 
-    def found(self, starts: DataFrame, types: set[str] | None, find: dict, needed: set[str] | None = None, paths: bool = False) -> tuple[DataFrame, set[str] | None]:
+    def found(self, starts: DataFrame, types: set[str] | None, find: dict, needed: set[str] | None = None, paths: bool = False, head: bool = False) -> tuple[DataFrame, set[str] | None]:
         """Nodes of a $find pipeline with the needed columns: start_id, id, depth, ... . Types prune the tables to read."""
         inner, told = find.get("$find"), find.get("$filter")
         node = tree(told, self.compat) if told else None
         limit = types_of(node, set(self.store.types)) if node is not None else None
         names = {self.paths_of(None, x.field) for x in leaves(node)} | {"type"}
         want = names if inner else None if needed is None else names | needed
-        rows = self.hop(starts, types, find, limit, paths)
+        rows = self.hop(starts, types, find, limit, paths, head and not inner)
         nodes = self.store.node_rows(limit, want)
         rows = self.filtered(rows.join(nodes, "id"), told, limit)
         if inner:
             # The next step starts from what was found; each start of the whole pipeline keeps its results.
             mid = rows.select(F.col("start_id").alias("origin"), F.col("id").alias("start_id"))
-            step, out_types = self.found(mid.select("start_id", F.col("start_id").alias("id")).distinct(), limit, inner, needed, paths)
+            step, out_types = self.found(mid.select("start_id", F.col("start_id").alias("id")).distinct(), limit, inner, needed, paths, head)
             back = mid.join(step, "start_id").drop("start_id").withColumnRenamed("origin", "start_id")
             return back, out_types
         return rows, limit
 
-    # ------------------------------------------------------------ projection
+    # projection
 
     def get(self, query: dict) -> DataFrame:
         """One row (or none, if the node doesn't exist): the columns of the query."""
@@ -194,6 +264,48 @@ class Compiler:
         rows, out = self.project(rows, query, types)
         return rows.select(*(c.alias(k) for k, c in out.items())) if out else rows.select(F.col("nid").alias("id")).limit(1)
 
+    def each(self, ids: DataFrame, types: set[str] | None, query: dict) -> DataFrame:
+        """A row for each listed node (id, _cseq) that matches the query's $filter, in the order of _cseq: one plan for all."""
+        language = query.get("$language", self.language)
+        if language != self.language:
+            return Compiler(self.store, language, self.now_ms, self.compat, self.others).each(ids, types, query)
+        rows = self.store.node_rows(types).join(ids, "id")
+        rows = self.filtered(rows, query.get("$filter"), types).withColumn("nid", F.col("id"))
+        rows, out = self.project(rows, {k: v for k, v in query.items() if k not in ("$filter", "$language", "$id", "$db")} or {"id": True}, types)
+        return rows.orderBy("_cseq").select(*(c.alias(k) for k, c in out.items()))
+
+    def next_refresh(self, query: dict) -> int | None:
+        """When a filter that moves with now will next change the result, with nothing written; null if never."""
+        if '"now' not in json.dumps(query, default=str):
+            return None
+        rows, types = self.start(query)
+        times = [t for df in self._moments(rows, query, types) if (t := df.first().refresh_at) is not None]
+        return min(times) if times else None
+
+    def _moments(self, rows: DataFrame, spec: dict, types: set[str] | None) -> list[DataFrame]:
+        out: list[DataFrame] = []
+        for k, v in spec.items():
+            if k.startswith("$") or not isinstance(v, dict) or '"now' not in json.dumps(v, default=str):
+                continue
+            told = next((v[x] for x in ("$list", "$aggregate") if isinstance(v.get(x), dict)), v)
+            find = told.get("$find") or ({x: told[x] for x in ("$traverse", "$filter", "$recursive") if x in told} if "$filter" in told else None)
+            at, kinds = rows, types
+            while find:
+                start = at.select(F.col("nid").alias("start_id"), F.col("nid").alias("id")).distinct()
+                asked = find.get("$filter", [])
+                asked = asked if isinstance(asked, list) else [asked]
+                still = [x for x in asked if '"now' not in json.dumps(x, default=str)]
+                step = {**{x: y for x, y in find.items() if x not in ("$find", "$filter")}, **({"$filter": still} if still else {})}
+                if len(still) < len(asked):
+                    names = {self.paths_of(None, x.field) for x in leaves(tree(asked))}
+                    near, _ = self.found(start, kinds, step, names)
+                    out.append(refresh_at(near, asked, self.now_ms, Fields(lambda p, near=near: self.path(near, p), self.kind, None, self.language, self.now_ms)))
+                found, kinds = self.found(start, kinds, {**step, **({"$filter": asked} if asked else {})}, set())
+                at, find = found.select(F.col("id").alias("nid")).distinct(), find.get("$find")
+            deeper = {x: y for x, y in v.items() if not x.startswith("$")}
+            out += self._moments(at if told is not v or "$find" in v else rows, deeper, kinds)
+        return out
+
     def start(self, query: dict) -> tuple[DataFrame, set[str] | None]:
         """The queried node as one row: the first id, or alias, that exists."""
         s = self.store
@@ -207,6 +319,8 @@ class Compiler:
         types = {s.schema.type_of(n) or "?" for n in names} if not tried else None
         types = types & set(s.types) if types is not None else None
         nodes = s.node_rows(types)
+        if not tried:  # by the source's own keys
+            nodes = s.find(names)
         found = nodes.join(F.broadcast(listed), nodes.id == F.col("_name"))
         if tried:
             via = s.alias_rows().join(F.broadcast(listed), F.col("alias") == F.col("_name")).select("node_id", "_name", "_ord")
@@ -216,7 +330,10 @@ class Compiler:
 
     def project(self, rows: DataFrame, spec: dict, types: set[str] | None) -> tuple[DataFrame, dict[str, Column]]:
         """rows (nid and node columns) with what the spec needs joined in, and the output columns."""
+        spec = nest(spec)
         out: dict[str, Column] = {}
+        if spec.get("$rawAncestors"):
+            rows, out["rawAncestors"] = self.field(rows, "ancestors", types)
         if spec.get("$all"):
             for c in rows.columns:
                 if c not in ("nid", "createdAt", "updatedAt", "aliases", "start_id", "depth", "path", "pos") and not c.startswith("_c") and c not in RELATIONS and spec.get(c) is not False:
@@ -259,7 +376,7 @@ class Compiler:
         if not isinstance(v, dict):
             raise QueryError(f"bad value of {key}: {v!r}")
         if "$value" in v:
-            return rows, F.lit(v["$value"]) if not isinstance(v["$value"], (list, dict)) else F.lit(str(v["$value"]))
+            return rows, literal(v["$value"])
         if "$raw" in v:
             return self.field(rows, key if v["$raw"] is True else v["$raw"], types)
         if "$id" in v or "$alias" in v or "$db" in v:
@@ -287,7 +404,7 @@ class Compiler:
             if c is not None:
                 cols.append(c)
         if "$default" in v and (v["$default"] or not self.compat):
-            cols.append(F.lit(v["$default"]))
+            cols.append(literal(v["$default"]))
         return rows, F.coalesce(*cols) if len(cols) > 1 else cols[0] if cols else None
 
     def field(self, rows: DataFrame, path: str, types: set[str] | None) -> tuple[DataFrame, Column | None]:
@@ -329,6 +446,9 @@ class Compiler:
             rows, cols = self.project(rows, inner, types)
             return rows, F.struct(*(c.alias(k) for k, c in cols.items())), list(cols)
         whole = rows.select(base.alias("x")).schema[0].dataType
+        if isinstance(whole, T.MapType) and "*" in inner:  # all keys of a record
+            each = inner["*"]
+            return rows, F.transform_values(base, lambda _, x: self.element(x, whole.valueType, each if isinstance(each, dict) else {})), []
         members = list(whole.names) if isinstance(whole, T.StructType) else []
         keys = [m for m in members if inner.get(m) is not False] if v.get("$all") else [k for k, x in inner.items() if x is not False and (not members or k in members)]
         cols = []
@@ -342,6 +462,52 @@ class Compiler:
                 cols.append(c.alias(k))
         return rows, F.struct(*cols) if cols else None, keys
 
+    def objects(self, rows: DataFrame, via: Any) -> tuple[Column, T.DataType] | None:
+        """The column and element type of a path to an array of objects; None for anything else."""
+        c = self.path(rows, via) if isinstance(via, str) and via not in RELATIONS else None
+        kind = rows.select(c.alias("x")).schema[0].dataType if c is not None else None
+        return (c, kind.elementType) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else None
+
+    def element(self, e: Column, kind: T.DataType, spec: dict) -> Column:
+        """The projection of one object inside an array or record; the whole object if nothing is asked."""
+        spec = nest(spec)
+        plain = {k: x for k, x in spec.items() if not k.startswith("$") and x is not False}
+        if not isinstance(kind, T.StructType) or not plain and not spec.get("$all"):
+            return e
+        told = {n: True for n in kind.names if spec.get(n) is not False} if spec.get("$all") else {}
+        cols = []
+        for k, x in {**told, **plain}.items():
+            if isinstance(x, dict) and "$value" in x:
+                cols.append(literal(x["$value"]).alias(k))
+                continue
+            inner = {n: y for n, y in x.items() if not n.startswith("$") or n == "$all"} if isinstance(x, dict) else {}
+            names = x.get("$field", k) if isinstance(x, dict) else k
+            found = [w for n in (names if isinstance(names, list) else [names]) if (w := walk(e, kind, n.replace("[", ".[").split(".")))[0] is not None]
+            parts = [F.when(c.isNotNull(), self.element(c, t, inner)) if inner else inh.language_value(c, self.language, self.store.schema.languages) if self.language and isinstance(t, T.MapType) else c for c, t in found]
+            if isinstance(x, dict) and "$default" in x:
+                parts.append(literal(x["$default"]))
+            if parts:
+                cols.append((F.coalesce(*parts) if len(parts) > 1 else parts[0]).alias(k))
+        return F.struct(*cols) if cols else e
+
+    def chosen(self, items: Column, kind: T.StructType, find: dict, told: dict, limit: int) -> Column:
+        """The objects of an array that match, in order and cut: column expressions only, no row moves."""
+        if find.get("$filter"):
+            node = tree(find["$filter"], self.compat)
+            items = F.filter(items, lambda e: condition(node, Fields(lambda p: walk(e, kind, p.replace("[", ".[").split("."))[0], lambda p: None, None, self.language, self.now_ms)))
+        sort = told.get("$sort")
+        sort = sort[0] if isinstance(sort, list) else sort
+        if sort:
+            items = order.sort_items(items, lambda e: walk(e, kind, sort["$field"].split("."))[0], sort.get("$order", "asc"))
+            if self.compat:  # objects with equal sort values count as one
+                value = lambda e: walk(e, kind, sort["$field"].split("."))[0]
+                every = items
+                items = F.filter(items, lambda e, i: (i == 0) | ~value(e).eqNullSafe(value(F.get(every, i - 1))))
+        offset = max(told.get("$offset", 0), 0)
+        if offset or limit >= 0:
+            items = F.slice(items, offset + 1, limit) if limit >= 0 else F.slice(items, F.lit(offset + 1), F.greatest(F.size(items) - offset, F.lit(0)))
+        return items
+
     def listed(self, rows: DataFrame, key: str, v: dict, types: set[str] | None, single: bool = False) -> tuple[DataFrame, Column]:
         told = v["$list"] if isinstance(v["$list"], dict) else {}
         sort = told.get("$sort")
@@ -350,16 +516,32 @@ class Compiler:
         if limit == 0 and "$find" not in told:
             limit = -1
         find = told.get("$find") or {"$traverse": v.get("$field", key)}
-        start = rows.select(F.col("nid").alias("start_id"), F.col("nid").alias("id")).distinct()
-        items, item_types = self.found(start, types, find, paths=sort is None)
-        if sort and sort["$field"] not in items.columns:
-            items = items.withColumn(sort["$field"], F.lit(None).cast("string"))
-        keys = order.sort_keys(items, sort["$field"], sort.get("$order", "asc"), self.language) if sort else order.walk_keys(items)
+        inner = {k: x for k, x in v.items() if not k.startswith("$") or k in ("$all", "$fieldsByType")}
+        if "$inherit" not in told and (found := self.objects(rows, find.get("$traverse", "descendants"))) is not None:
+            items = F.transform(self.chosen(found[0], found[1], find, told, limit), lambda e: self.element(e, found[1], inner))
+            return rows, F.get(items, 0) if single else F.coalesce(items, F.array().cast(rows.select(items.alias("x")).schema[0].dataType))
+        if "$inherit" in told:
+            rows, ids = self.inherited(rows, key, {"$inherit": told["$inherit"], "$field": v.get("$field", key)}, types)
+            if ids is None:
+                raise QueryError(f"{key} has no references to inherit")
+            one = not isinstance(rows.select(ids.alias("x")).schema[0].dataType, T.ArrayType)
+            near = rows.select(F.col("nid").alias("start_id"), F.posexplode(F.array(ids) if one else ids).alias("depth", "id")).dropDuplicates(["start_id", "id"])
+            items, item_types = near.join(self.store.node_rows(), "id"), None
+        else:
+            start = rows.select(F.col("nid").alias("start_id"), F.col("nid").alias("id")).distinct()
+            items, item_types = self.found(start, types, find, paths=sort is None, head=offset < 0)
         if sort:
+            by = sort["$field"]
+            if isinstance(v.get(by), dict) and "$inherit" in v[by]:  # by the value that each item inherits
+                items, c = self.inherited(items.withColumn("nid", F.col("id")), by, v[by], item_types)
+                items = items.drop("nid").withColumn("_sort", F.lit(None).cast("string") if c is None else c)
+            else:
+                c = self.path(items, by)
+                items = items.withColumn("_sort", F.lit(None).cast("string") if c is None else c)
             items = items.dropDuplicates(["start_id", "id"])
-        items = order.take_each(items, ["start_id"], keys, limit, offset).withColumn("nid", F.col("id"))
-        inner = {k: x for k, x in v.items() if not k.startswith("$") or k in ("$all", "$fieldsByType")} or {"id": True}
-        items, cols = self.project(items, inner, item_types)
+        keys = order.sort_keys(items, "_sort", sort.get("$order", "asc"), self.language) if sort else order.walk_keys(items)
+        items = order.take_each(items, ["start_id"], keys, limit, offset).withColumn("nid", F.col("id")).drop("_sort")
+        items, cols = self.project(items, inner or {"id": True}, item_types)
         n = self.name()
         one = F.struct(*(c.alias(k) for k, c in cols.items()))
         grouped = items.groupBy("start_id").agg(F.sort_array(F.collect_list(F.struct("pos", one.alias("item")))).alias(n)) if _orderable(items, one) else items.groupBy("start_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("item"))), lambda a, b: a["pos"] - b["pos"]).alias(n))
@@ -368,6 +550,7 @@ class Compiler:
         return rows, F.get(n, 0) if single else F.coalesce(F.col(n), F.array().cast(grouped.schema[n].dataType))
 
     def aggregated(self, rows: DataFrame, told: Any, types: set[str] | None) -> tuple[DataFrame, Column]:
+        told = told if isinstance(told, dict) else {"$function": told}
         function = told["$function"]
         name, args = (function, []) if isinstance(function, str) else (function["$name"], function.get("$args", []))
         args = [args] if isinstance(args, str) else list(args)
@@ -379,12 +562,18 @@ class Compiler:
         find = told.get("$find") or {k: told[k] for k in ("$traverse", "$filter", "$recursive") if k in told}
         if told.get("$find") and told.get("$filter"):
             find = {**told["$find"], "$filter": told["$filter"]}
+        if (found := self.objects(rows, find.get("$traverse", "descendants"))) is not None:
+            items = self.chosen(F.coalesce(found[0], F.array().cast(T.ArrayType(found[1]))), found[1], find, told, limit)
+            return rows, agg.items_column(items, name, lambda e: [walk(e, found[1], a.split(".")) for a in args], self.compat)
         cut = limit >= 0 or offset > 0
         start = rows.select(F.col("nid").alias("start_id"), F.col("nid").alias("id")).distinct()
-        needed = {a.split(".")[0] for a in args} | ({sort["$field"]} if sort else set())
-        items, _ = self.found(start, types, find, needed, paths=cut and sort is None)
+        needed = {a.split(".")[0] for a in args} | ({sort["$field"].split(".")[0]} if sort else set())
+        items, _ = self.found(start, types, find, needed, paths=cut and sort is None, head=offset < 0)
         if cut:
-            keys = order.sort_keys(items, sort["$field"], sort.get("$order", "asc"), self.language) if sort else order.walk_keys(items)
+            if sort:
+                c = self.path(items, sort["$field"])
+                items = items.withColumn("_sort", F.lit(None).cast("string") if c is None else c)
+            keys = order.sort_keys(items, "_sort", sort.get("$order", "asc"), self.language) if sort else order.walk_keys(items)
             items = order.take_each(items, ["start_id"], keys, limit, offset)
         n = self.name()
         out = items.groupBy(F.col("start_id").alias("nid")).agg(agg.aggregate_column(items, name, args, self.compat).alias(n))
@@ -400,6 +589,10 @@ class Compiler:
         names = names if isinstance(names, list) else [names]
         plain = [k for k in v if not k.startswith("$")]
         n = self.name()
+        for name in names:
+            kinds = {f["type"] for t in sorted(accept or ()) if t in self.store.schema.types and (f := self.store.schema.lookup(t, name))}
+            if len(kinds) > 1:
+                raise QueryError(f"{name} has different kinds in {sorted(accept)}: {sorted(kinds)}")
         if "$item" in told:
             item = told["$item"]
             fields = [f for f in plain if any(f.split(".")[0] in df.columns for df in self.store.nodes.values())]
@@ -427,13 +620,29 @@ class Compiler:
             elif name in RELATIONS:
                 rows, c = self.field(rows, name, types)
                 cols.append(c)
+            elif "." in name and any(name.split(".")[0] in df.columns for df in self.store.nodes.values()):
+                m = self.name()
+                inside = {t: df.withColumn(m, c) if (c := self.path(df, name)) is not None else df for t, df in self.store.nodes.items()}
+                out = inh.inherit_fields(self.store.with_(nodes=inside), start, [m], accept, types)
+                rows = rows.join(out.select(F.col("start_id").alias("nid"), F.col(m).alias(f"{m}i")), "nid", "left")
+                cols.append(F.col(f"{m}i"))
             elif self.store.schema.relation_kind(name):
                 m = self.name()
-                line = tr.ancestors(self.store, start, types, None, include_head=True, paths=True)
+                line = tr.ancestors(self.store, start, types, accept, include_head=True, paths=True)
                 ids = self.store.edge_rows(name).groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias(m))
                 best = line.join(ids, "id").groupBy(F.col("start_id").alias("nid")).agg(F.min_by(m, F.struct("depth", "path")).alias(m))
                 rows = rows.join(best, "nid", "left")
-                cols.append(F.get(m, 0) if self.store.schema.relation_kind(name) == "reference" else F.col(m))
+                if plain:  # the fields of the node that the inherited reference leads to
+                    target = rows.where(F.col(m).isNotNull()).select(F.col("nid").alias("start_id"), F.explode(m).alias("id")).join(self.store.node_rows(), "id").withColumn("nid", F.col("id"))
+                    target, got = self.project(target, {k: x for k, x in v.items() if not k.startswith("$")}, None)
+                    i = self.name()
+                    one = F.struct(*(c.alias(k) for k, c in got.items()))
+                    told_kind = self.store.schema.relation_kind(name)
+                    each = target.groupBy("start_id").agg((F.min_by(one, "nid") if told_kind == "reference" else F.array_sort(F.collect_list(F.struct(F.col("nid").alias("_id"), one.alias("_item"))), lambda a, b: F.when(a["_id"] < b["_id"], -1).when(a["_id"] > b["_id"], 1).otherwise(0))).alias(i))
+                    rows = rows.join(each.select(F.col("start_id").alias("nid"), F.col(i) if told_kind == "reference" else F.col(f"{i}._item").alias(i)), "nid", "left")
+                    cols.append(F.col(i))
+                else:
+                    cols.append(F.get(m, 0) if self.store.schema.relation_kind(name) == "reference" else F.col(m))
         return rows, F.coalesce(*cols) if cols else None
 
 

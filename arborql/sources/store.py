@@ -34,7 +34,7 @@ class GraphStore:
     #: By type: nodes of some ids, read with a filter on the source's own key.
     finders: dict[str, Callable[[list[str]], DataFrame]] = field(default_factory=dict)
 
-    # ------------------------------------------------------------ views
+    # views
 
     def with_(self, **changes) -> GraphStore:
         if "nodes" in changes and "finders" not in changes:  # a finder reads the source: only for types that are as they were
@@ -90,7 +90,7 @@ class GraphStore:
         """Nodes without a parent."""
         return self.node_rows(needed=set()).join(self.hierarchy().select(F.col("child").alias("id")), "id", "left_anti")
 
-    # ------------------------------------------------------------ building
+    # building
 
     @classmethod
     def of(cls, spark: SparkSession, schema: GraphSchema, payloads: list[dict]) -> GraphStore:
@@ -106,7 +106,7 @@ class GraphStore:
         nodes["root"] = nodes["root"].unionByName(root, allowMissingColumns=True)
         return cls(spark, schema, nodes)
 
-    # ------------------------------------------------------------ sources and sinks
+    # sources and sinks
 
     def save(self, path: str) -> None:
         """Writes the snapshot as parquet tables below path: a new version folder, then the index that names it.

@@ -10,11 +10,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.filters import Fork, Leaf, condition, leaves, tree
-from ..functions.filters import _NOW as NOW
-from ..functions.filters import UNITS, Fields
+from ..functions.filters import Fields, condition, refresh_at, tree
 from ..operators.mutate import CHANGES
 
+__all__ = ["Observable", "Triggers", "apply_diff", "change_matches", "diff", "event_kinds", "fires", "latest", "read_changes", "refresh_at", "run_query", "version"]
+
 
 def subscription_id(query: dict) -> str:
     return hashlib.sha256(json.dumps(query, sort_keys=True).encode()).hexdigest()
@@ -32,18 +32,51 @@ def diff(old: Any, new: Any, path: str = "") -> list[tuple[str, Any]]:
     return [] if old == new else [(path, new)]
 
 
+def apply_diff(value: Any, patch: list[tuple[str, Any]]) -> Any:
+    """The new result, from the old one and what diff gave."""
+    for path, new in patch:
+        if not path:
+            value = new
+            continue
+        value = dict(value)
+        at, keys = value, path.split(".")
+        for k in keys[:-1]:
+            at[k] = dict(at.get(k) or {})
+            at = at[k]
+        if new is None:
+            at.pop(keys[-1], None)
+        else:
+            at[keys[-1]] = new
+    return value
+
+
+def summary(changes: list[tuple] | DataFrame | None) -> set[tuple[str, str | None]] | None:
+    """(op, changed path) pairs: as many as there are paths, however many nodes changed. None: anything may have changed."""
+    if changes is None:
+        return None
+    if isinstance(changes, DataFrame):
+        return {(r.op, r.path) for r in changes.select("op", F.explode_outer("changed").alias("path")).distinct().collect()}
+    return {(c[1], p) for c in changes for p in (c[4] or [None])}
+
+
 class Observable:
-    """A standing query: subscribers get the first result and each changed version."""
+    """A standing query: subscribers get the first result and each changed version, or what changed from version to version."""
 
     def __init__(self, client, query: dict):
         self.client, self.query, self.id = client, query, subscription_id(query)
         self.listeners: list[Callable] = []
+        self.diff_listeners: list[Callable] = []
         self.value: Any = None
         self.version: str | None = None
         self.watch = watched_fields(query)
+        #: When a filter that moves with now changes the result next.
+        self.refresh_at: int | None = None
 
-    def subscribe(self, on_next: Callable[[Any], None], on_error: Callable[[Exception], None] | None = None):
+    def subscribe(self, on_next: Callable[[Any], None], on_error: Callable[[Exception], None] | None = None, on_diff: Callable[[list, str | None, str], None] | None = None):
+        """on_diff(patch, from version, to version) hears of every change after the first result."""
         self.listeners.append(on_next)
+        if on_diff is not None:
+            self.diff_listeners.append(on_diff)
         if self.version is None:
             try:
                 self._run()
@@ -53,26 +86,39 @@ class Observable:
                 on_error(e)
         else:
             on_next(self.value)
-        return lambda: self.unsubscribe(on_next)
+        return lambda: self.unsubscribe(on_next, on_diff)
 
-    def unsubscribe(self, on_next: Callable) -> None:
+    def unsubscribe(self, on_next: Callable, on_diff: Callable | None = None) -> None:
         self.listeners.remove(on_next)
+        if on_diff is not None:
+            self.diff_listeners.remove(on_diff)
         if not self.listeners and self in self.client.observers:
             self.client.observers.remove(self)
 
     def _run(self) -> None:
         value = self.client.get(self.query)
+        self.refresh_at = self.client.next_refresh(self.query)
         v = version(value)
         if v != self.version:
+            old, was = self.value, self.version
             self.value, self.version = value, v
             for f in list(self.listeners):
                 f(value)
+            if was is not None:
+                patch = diff(old, value)
+                for f in list(self.diff_listeners):
+                    f(patch, was, v)
 
-    def refresh(self, changes: list[tuple] | None) -> None:
+    def refresh(self, changes: set[tuple[str, str | None]] | None) -> None:
         """Evaluates again if a change can matter: anything but an update of fields that aren't watched."""
         if not self.listeners:
             return
-        if changes is None or any(c[1] != "updated" or self.watch is None or touches(c[4], self.watch) for c in changes):
+        if changes is None or any(op != "updated" or self.watch is None or touches([path] if path else [], self.watch) for op, path in changes):
+            self._run()
+
+    def due(self, now_ms: int) -> None:
+        """Evaluates again if the time for it has come."""
+        if self.listeners and self.refresh_at is not None and self.refresh_at <= now_ms:
             self._run()
 
 
@@ -118,41 +164,23 @@ class Triggers:
     def clear(self) -> None:
         self.all.clear()
 
-    def fire(self, client, db: str, changes: list[tuple]) -> None:
-        for _, op, node_id, kind, _, _, after in changes:
-            for event, query, on in self.all:
-                if op != event:
-                    continue
-                node = {"id": node_id, "type": kind, **(json.loads(after) if after else {})}
-                # A deleted node has no fields left to filter by.
-                if op != "deleted" and not matches(tree(query.get("$filter", [])) if query.get("$filter") else None, node):
-                    continue
-                asked = {k: v for k, v in query.items() if k != "$filter"}
-                on({"$isNull": True, "id": node_id} if op == "deleted" else client.get({"$id": node_id, "$db": db, **asked}))
-
-
-def matches(node, row: dict) -> bool:
-    """A filter on one node in plain values."""
-    if node is None:
-        return True
-    if isinstance(node, Fork):
-        return (any if node.any else all)(matches(p, row) for p in node.parts) if node.parts else True
-    v = row
-    for p in node.field.split("."):
-        v = v.get(p) if isinstance(v, dict) else None
-    want = node.value if isinstance(node.value, list) else [node.value]
-    op = node.operator
-    if op in ("exists", "notExists"):
-        return (v is not None) == (op == "exists")
-    if op in ("=", "!="):
-        hit = v is not None and any(v == w or isinstance(v, dict) and w in v.values() for w in want)
-        return hit == (op == "=")
-    if v is None:
-        return False
-    return {">": lambda: v > want[0], "<": lambda: v < want[0], "..": lambda: want[0] <= v <= want[1], "has": lambda: any(w in v for w in want), "includes": lambda: want[0] in v}[op]()
-
-
-# ---------------------------------------------------------------- over a change log
+    def fire(self, client, db: str, changes: list[tuple] | DataFrame) -> None:
+        """For each trigger one plan over all changes of its event: a join with the nodes, the filter, the projection."""
+        listed = not isinstance(changes, DataFrame)
+        for event, query, on in self.all:
+            if listed and not any(c[1] == event for c in changes):
+                continue
+            log = (client.spark.createDataFrame([c for c in changes if c[1] == event], CHANGES) if listed else changes.where(F.col("op") == event)).groupBy("id", "type").agg(F.min("seq").alias("_cseq"))
+            if event == "deleted":  # no fields are left to filter by
+                for r in log.orderBy("_cseq").toLocalIterator():
+                    on({"$isNull": True, "id": r.id})
+                continue
+            types = {c[3] for c in changes if c[1] == event} if listed else {r.type for r in log.select("type").distinct().collect()}
+            for r in client.compiler(db).each(log.select("id", "_cseq"), types, query).toLocalIterator():
+                on(client.plain(r))
+
+
+# over a change log
 
 
 def fires(before: Column, after: Column, changed: Column) -> Column:
@@ -188,40 +216,41 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(CHANGES).parquet(path)
 
 
-def run_query(stream: DataFrame, evaluate: Callable[[DataFrame], Any], publish: Callable[[int, Any], None], checkpoint: str, name: str = "live"):
-    """Evaluates again in each micro-batch that has matching changes, and publishes results whose version is new."""
-    last: dict[str, str] = {}
+def event_kinds(changed: Column) -> Column:
+    """The kinds of change that a list of changed paths stands for: hierarchy, alias, field."""
+    return F.array_distinct(F.transform(changed, lambda c: F.when(c.isin("parents", "children"), "hierarchy").when(c == "aliases", "alias").otherwise("field")))
+
+
+def run_query(stream: DataFrame, evaluate: Callable[[DataFrame], Any], publish: Callable[..., None], checkpoint: str, name: str = "live", every: str | None = None, diffs: bool = False):
+    """Evaluates again in each micro-batch that has matching changes, and publishes results whose version is new.
+
+    The last published result stands beside the checkpoint, so a restart publishes nothing
+    twice. every is a processing time between batches; without it what is there is worked
+    off and the query ends. With diffs, publish also gets the patch from the last result.
+    """
+    spark, place = stream.sparkSession, f"{checkpoint}/published"
+    said = json.JSONEncoder(sort_keys=True, default=str).encode
+
+    def last() -> tuple[str | None, Any]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            return None, None
+        rows = spark.read.text(place).collect()  # one line
+        told = json.loads(rows[0][0]) if rows else {}
+        return told.get("version"), told.get("value")
 
     def step(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             value = evaluate(batch)
-            v = version(value)
-            if last.get("v") != v:
-                last["v"] = v
-                publish(number, value)
+            v, (was, old) = version(value), last()
+            if was != v:
+                publish(number, value, *([diff(old, json.loads(said(value)))] if diffs else []))
+                spark.createDataFrame([(said({"version": v, "value": value}),)], "value string").coalesce(1).write.mode("overwrite").text(place)
 
-    return stream.writeStream.queryName(name).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    pace = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.queryName(name).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**pace).start()
 
 
 def latest(log: DataFrame) -> DataFrame:
     """The last change of each node: state rebuilt from a change log."""
     return log.groupBy("id").agg(F.max_by(F.struct("op", "type", "after", "seq"), "seq").alias("m")).select("id", "m.*")
-
-
-def refresh_at(rows: DataFrame, filter_: Any, now_ms: int, fields: Fields | None = None) -> DataFrame:
-    """refresh_at: the next time at which a row crosses a bound that moves with now; null if none will.
-
-    Rows must match the other parts of the filter, as only these can enter or leave the result.
-    """
-    node = tree(filter_)
-    moving = [x for x in leaves(node) if isinstance(x.value, str) and NOW.match(x.value)]
-    still = [p for p in node.parts if not (isinstance(p, Leaf) and p in moving)]
-    f = fields or Fields(lambda p: F.col(p) if p in rows.columns else None, lambda p: None, None, None, now_ms)
-    rows = rows.where(condition(Fork(False, still), f))
-    cross = []
-    for x in moving:
-        m = NOW.match(x.value)
-        shift = int(m[2] or 0) * UNITS[m[3] or ""] * (-1 if m[1] == "-" else 1)
-        at = F.col(x.field) - shift
-        cross.append(F.min(F.when(at > now_ms, at)))
-    return rows.agg((F.least(*cross) if len(cross) > 1 else cross[0]).alias("refresh_at"))

@@ -188,7 +188,7 @@ def test_save_load_and_json(spark, client, tmp_path):
     assert again.nodes["match"].count() == 6 and again.edge_rows("home").count() == 4
 
 
-# ---------------------------------------------------------------- live queries
+# live queries
 
 
 def test_subscriptions_and_triggers(spark):
