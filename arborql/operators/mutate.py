@@ -525,7 +525,7 @@ def update_where(store: GraphStore, type_name: str, where: Column | DataFrame, v
         rows = rows.join(hit, "id", "left").select(*columns, F.coalesce("_hit", F.lit(False)).alias("_hit"))
     else:
         rows = rows.withColumn("_hit", F.coalesce(where, F.lit(False)))
-    new = {k: column_of(fields[k], F.col(k), v, k).cast(rows.schema[k].dataType) for k, v in values.items()}
+    new = {k: column_of(fields[k], F.col(k), v, k).cast(rows.schema[k].dataType.simpleString()) for k, v in values.items()}
     plain = lambda c, kind: F.to_json(c) if "map<" in kind.simpleString() else c  # noqa: E731  # maps can't be compared
     differs = {k: F.col("_hit") & ~plain(F.col(k), rows.schema[k].dataType).eqNullSafe(plain(c, rows.schema[k].dataType)) for k, c in new.items()}
     touched = rows.withColumn("_changed", F.array_compact(F.array(*(F.when(d, k) for k, d in differs.items()))))

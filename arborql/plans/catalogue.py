@@ -13,8 +13,11 @@ from ..operators import aggregate as agg
 from ..operators import inherit as inh
 from ..operators import mutate, order
 from ..operators import traverse as tr
+from ..operators.tables import new_path
+from ..schema import GraphSchema
 from ..sources.star import star_graph, with_line_arrays
 from ..sources.store import GraphStore
+from ..streaming import live
 from ..streaming.live import fires, refresh_at
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +54,45 @@ def _below(g: GraphStore, ids: DataFrame, source: str, target: str, needed: set[
     return found.join(g.nodes[target].select("id", *needed), "id")
 
 
+def _items(df: DataFrame, name: str) -> DataFrame:
+    """The items of a list in a result, as rows."""
+    return df.select(F.explode(name).alias("x")).select("x.*")
+
+
+def _shown(g: GraphStore, rows: DataFrame, spec: dict, types: set[str]) -> DataFrame:
+    """A projection of many nodes at once."""
+    from .compile import Compiler
+
+    rows, out = Compiler(g).project(rows.withColumn("nid", F.col("id")), spec, types)
+    return rows.select(*(c.alias(k) for k, c in out.items()))
+
+
+def _get(g: GraphStore, query: dict) -> DataFrame:
+    from .compile import Compiler
+
+    return Compiler(g, now_ms=NOW).get(query)
+
+
+def _client(spark: SparkSession, g: GraphStore):
+    from ..client import GraphClient
+
+    return GraphClient(spark, g.schema, g, clock=lambda: NOW)
+
+
+def _find(find: dict, **more) -> dict:
+    return {"id": True, **more, "$list": {"$find": find}}
+
+
+def _typed(t: str, *filters: dict) -> list[dict]:
+    return [_f("type", "=", t), *filters]
+
+
 def _all(g: GraphStore, t: str) -> DataFrame:
     return g.nodes[t].select(F.col("id").alias("start_id"), "id")
 
 
 _LI = "concat('li', l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppkey, '_', CAST(epoch(l_shipdate) AS BIGINT), '_', CAST(round(l_extendedprice * 100) AS BIGINT))"
+_LINKS = f"SELECT 'root' AS p, concat('re', r_regionkey) AS c FROM region UNION ALL SELECT concat('re', n_regionkey), concat('na', n_nationkey) FROM nation UNION ALL SELECT concat('na', c_nationkey), concat('cu', c_custkey) FROM customer UNION ALL SELECT concat('na', s_nationkey), concat('su', s_suppkey) FROM supplier UNION ALL SELECT concat('cu', o_custkey), concat('or', o_orderkey) FROM orders UNION ALL SELECT concat('or', l_orderkey), {_LI} FROM lineitem UNION ALL SELECT concat('su', l_suppkey), {_LI} FROM lineitem"
 _MS = "epoch_ms({}::TIMESTAMP)"
 
 
@@ -64,26 +101,73 @@ _MS = "epoch_ms({}::TIMESTAMP)"
 
 @registered("SELECT concat('na', n_nationkey) AS id, n_name AS nationname FROM nation WHERE n_nationkey = 3")
 def s_lookup_id(spark, d):
-    return star_graph(spark, d).nodes["nation"].where(F.col("id") == "na3").select("id", "nationname")
+    return _get(star_graph(spark, d), {"$id": "na3", "id": True, "nationname": True})
 
 
 @registered("SELECT concat('na', n_nationkey) AS id FROM nation WHERE n_nationkey = 7")
 def s_lookup_first_of(spark, d):
-    g = star_graph(spark, d)
-    listed = spark.createDataFrame([("na999", 0), ("na7", 1), ("na3", 2)], "id string, pos int")
-    return g.nodes["nation"].join(F.broadcast(listed), "id").agg(F.min_by("id", "pos").alias("id"))
+    return _get(star_graph(spark, d), {"$id": ["na999", "na7", "na3"], "id": True})
+
 
+@registered("SELECT 'x' AS id WHERE false")
+def s_not_found(spark, d):
+    return _get(star_graph(spark, d), {"$id": "na999", "id": True})
 
-@registered("SELECT r_name AS alias, concat('re', r_regionkey) AS id FROM region WHERE r_name IN ('ASIA', 'EUROPE')")
+
+@registered("SELECT concat('re', r_regionkey) AS id, r_name AS regionname FROM region WHERE r_name = 'ASIA'")
 def q_alias_lookup(spark, d):
-    g = star_graph(spark, d)
-    return g.alias_rows().where(F.col("alias").isin("ASIA", "EUROPE")).join(g.nodes["region"], F.col("node_id") == F.col("id")).select("alias", "id")
+    return _get(star_graph(spark, d), {"$alias": ["nobody", "ASIA", "EUROPE"], "id": True, "regionname": True})
 
 
 @registered("SELECT concat('pa', p_partkey) AS id, p_size::BIGINT AS size FROM part WHERE p_partkey IN (1, 5, 9)")
 def s_id_list(spark, d):
+    return _items(_get(star_graph(spark, d), {"found": _find({"$traverse": ["pa1", "pa5", "pa9", "panone"]}, size=True)}), "found")
+
+
+@registered("SELECT concat('na', n_nationkey) AS start_id, concat('cu', c_custkey) AS id FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey IN (3, 5)")
+def s_multi_start(spark, d):
+    g = star_graph(spark, d)
+    return tr.one_hop(tr.starts(g, ["na3", "na5", "na999"]), tr.child_hops(g), {"customer"}, {"nation"}).select("start_id", "id")
+
+
+@registered("SELECT * FROM (VALUES ('customer', 'cu'), ('document', 'do'), ('event', 'ev'), ('lineitem', 'li'), ('nation', 'na'), ('orders', 'or'), ('part', 'pa'), ('region', 're'), ('root', 'ro'), ('supplier', 'su')) AS t(type, prefix)")
+def s_registry(spark, d):
+    return star_graph(spark, d).registry().select("type", "prefix")
+
+
+@registered("SELECT concat('ev', event_id) AS id, epoch_us(ts::TIMESTAMP) // 1000 AS raw, props FROM events")
+def s_raw_field(spark, d):
+    g = star_graph(spark, d)
+    return _shown(g, g.nodes["event"], {"id": True, "raw": {"$raw": "ts"}, "props": {"$raw": True}}, {"event"})
+
+
+@registered("SELECT 'part' AS type, count(*) AS n FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'links', count(*) FROM customer UNION ALL SELECT 'edges', count(*) FROM orders")
+def s_save_load(spark, d):
+    """A snapshot of the tables written and read back."""
+    g = star_graph(spark, d)
+    some = g.with_(nodes={t: g.nodes[t] for t in ("root", "part", "supplier", "customer")}, links={k: g.links[k] for k in [("nation", "customer")]}, edges={k: g.edges[k] for k in [("customer", "orders", "orders")]})
+    path = new_path(spark, "snapshot")
+    some.save(path)
+    back = GraphStore.load(spark, path)
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("type"), "n")
+    return count(back.nodes["part"], "part").unionByName(count(back.nodes["supplier"], "supplier")).unionByName(count(back.nodes["customer"], "customer")).unionByName(count(back.hierarchy(), "links")).unionByName(count(back.edge_rows("orders"), "edges"))
+
+
+@registered("SELECT 'value' AS field, count(*) AS n, sum(value) AS total FROM events")
+def s_timeseries(spark, d):
     g = star_graph(spark, d)
-    return g.nodes["part"].join(F.broadcast(spark.createDataFrame([("pa1",), ("pa5",), ("pa9",), ("panone",)], "id string")), "id").select("id", "size")
+    path = new_path(spark, "series")
+    g.append_timeseries(g.nodes["event"].select(F.concat(F.lit("us"), F.col("user").cast("string")).alias("node_id"), F.lit("value").alias("field"), "ts", "value"), path)
+    return spark.read.parquet(path).groupBy("field").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@registered(f"SELECT 'props' AS path, 'string' AS type, length(props)::BIGINT AS len FROM events WHERE event_id = 5 UNION ALL SELECT 'value', 'double', 1 FROM events WHERE event_id = 5")
+def s_object_commands(spark, d):
+    from ..functions import objects
+
+    g = star_graph(spark, d)
+    parts = [objects.read(g, "type", "ev5", p).select(F.lit(p).alias("path"), F.col("value").alias("type")).join(objects.read(g, "len", "ev5", p).select(F.col("value").alias("len"))) for p in ("props", "value")]
+    return parts[0].unionByName(parts[1])
 
 
 @registered("SELECT 'root' AS id")
@@ -104,7 +188,9 @@ def s_edge_metadata(spark, d):
 
 @registered("SELECT c_mktsegment AS segment, count(*) AS n, sum(CASE WHEN c_acctbal IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS present FROM customer GROUP BY 1")
 def s_field_read(spark, d):
-    return star_graph(spark, d).nodes["customer"].groupBy("segment").agg(F.count("*").alias("n"), F.count("acctbal").alias("present"))
+    g = star_graph(spark, d)
+    rows = _shown(g, g.nodes["customer"], {"segment": True, "balance": {"$field": ["nope", "acctbal"]}}, {"customer"})
+    return rows.groupBy("segment").agg(F.count("*").alias("n"), F.count("balance").alias("present"))
 
 
 # traversals
@@ -149,16 +235,58 @@ def q_descendants_all(spark, d):
     return tr.descendants(g, _root(g), {"root"}).agg(F.count("*").alias("n"))
 
 
-@registered("""
-WITH RECURSIVE e AS (
-  SELECT 'root' AS p, concat('re', r_regionkey) AS c FROM region UNION ALL SELECT concat('re', n_regionkey), concat('na', n_nationkey) FROM nation
-  UNION ALL SELECT concat('na', c_nationkey), concat('cu', c_custkey) FROM customer UNION ALL SELECT concat('na', s_nationkey), concat('su', s_suppkey) FROM supplier
-), r AS (SELECT c AS id FROM e WHERE p = 're1' UNION SELECT e.c FROM r JOIN e ON e.p = r.id) SELECT id FROM r
-""")
+@registered("WITH RECURSIVE e AS (" + _LINKS + ") , r AS (SELECT c AS id FROM e WHERE p = 're1' UNION SELECT e.c FROM r JOIN e ON e.p = r.id) SELECT id FROM r")
 def q_descendants_loop(spark, d):
+    """By the loop that graphs with cycles take: one level after the other over all links."""
+    g = star_graph(spark, d)
+    return tr.bfs(g, tr.starts(g, ["re1"]), tr.child_hops(g), None).select("id")
+
+
+@registered("SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM part) + (SELECT count(*) FROM events) + (SELECT count(*) FROM documents) + 1 AS n")
+def q_every_node(spark, d):
+    return tr.every_node(star_graph(spark, d)).agg(F.count("*").alias("n"))
+
+
+@registered("SELECT id, row_number() OVER (ORDER BY path)::INTEGER AS nth FROM (SELECT concat('re', r_regionkey) AS id, concat('re', r_regionkey) AS path FROM region UNION ALL SELECT concat('na', n_nationkey), concat('re', n_regionkey, chr(1), 'na', n_nationkey) FROM nation)")
+def q_depth_first(spark, d):
+    from pyspark.sql import Window
+
+    g = star_graph(spark, d)
+    rows = tr.descendants(g, _root(g), {"root"}, {"region", "nation"}, paths=True)
+    return tr.depth_first(rows).select("id", F.row_number().over(Window.orderBy("order_key")).alias("nth"))
+
+
+@registered("SELECT concat('re', n_regionkey) AS start_id, concat('na', n_nationkey) AS id FROM nation")
+def q_set_of_ids(spark, d):
+    """Along ids kept as data in a set field; an id of no node is skipped."""
+    g = star_graph(spark, d)
+    members = g.links["region", "nation"].groupBy("parent").agg(F.sort_array(F.collect_set("child")).alias("members"))
+    region = g.nodes["region"].join(members, F.col("id") == F.col("parent")).select("id", "type", F.concat("members", F.array(F.lit("nanone"))).alias("members"))
+    g = g.with_(nodes={**g.nodes, "region": region})
+    return tr.one_hop(_all(g, "region"), tr.field_hops(g, "members"), sources={"region"}).select("start_id", "id")
+
+
+@registered("SELECT concat('or', o_orderkey) AS id, o_totalprice AS totalprice FROM orders WHERE o_custkey = 4")
+def q_traverse_listed_ids(spark, d):
+    """The ids that a field of a node of another database lists."""
     g = star_graph(spark, d)
-    few = [h for h in tr.child_hops(g) if h.target in ("region", "nation", "customer", "supplier")]
-    return tr.bfs(g, tr.starts(g, ["re1"]), few, None).select("id")
+    from .compile import Compiler
+
+    c = Compiler(g, others={"other": star_graph(spark, d)})
+    return _items(c.get({"found": _find({"$traverse": {"$db": "other", "$id": "cu4", "$field": "orders"}}, totalprice=True)}), "found")
+
+
+@registered("SELECT concat('na', n_nationkey) AS id, r_name AS far FROM nation, region WHERE r_regionkey = 2 AND n_nationkey = 6")
+def q_databases(spark, d):
+    from .compile import Compiler
+
+    c = Compiler(star_graph(spark, d), others={"other": star_graph(spark, d)})
+    return c.get({"$id": "na6", "id": True, "there": {"$db": "other", "$id": "re2", "regionname": True}}).select("id", F.col("there.regionname").alias("far"))
+
+
+@registered("SELECT concat('na', n_nationkey) AS id FROM nation WHERE n_nationkey = 3")
+def q_node_only(spark, d):
+    return _items(_get(star_graph(spark, d), {"$id": "na3", "found": _find({"$traverse": "node"})}), "found")
 
 
 @registered("SELECT concat('or', o_orderkey) AS start_id, concat('cu', o_custkey) AS id FROM orders")
@@ -218,14 +346,41 @@ def q_nested_find(spark, d):
 
 @registered("SELECT concat('or', l_orderkey) AS id, l_linenumber::BIGINT AS linenumber, l_quantity AS quantity FROM lineitem WHERE l_quantity >= 48")
 def q_array_traverse(spark, d):
-    return tr.array_items(with_line_arrays(spark, d), "items").where("quantity >= 48").select("id", "linenumber", "quantity")
+    g, rows = _with_items(spark, d)
+    rows = _shown(g, rows, {"id": True, "items": {"linenumber": True, "quantity": True, "$list": {"$find": {"$traverse": "items", "$filter": _f("quantity", ">", 47.5)}}}}, {"orders"})
+    return rows.select("id", F.explode("items").alias("x")).select("id", "x.*")
+
 
+@registered("SELECT id, pos, n, q FROM (SELECT concat('or', l_orderkey) AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_extendedprice, l_returnflag)::INTEGER - 1 AS pos, l_linenumber::BIGINT AS n, l_quantity AS q FROM lineitem WHERE l_returnflag <> 'A') WHERE pos BETWEEN 1 AND 2")
+def q_array_sort_limit(spark, d):
+    g, rows = _with_items(spark, d)
+    told = {"n": {"$field": "linenumber"}, "q": {"$field": "quantity"}, "$list": {"$sort": {"$field": "quantity", "$order": "desc"}, "$offset": 1, "$limit": 2, "$find": {"$traverse": "items", "$filter": _f("returnflag", "!=", "A")}}}
+    rows = _shown(g, rows, {"id": True, "items": told}, {"orders"})
+    return rows.select("id", F.posexplode("items").alias("pos", "x")).select("id", (F.col("pos") + 1).alias("pos"), "x.*")
 
-@registered("SELECT concat('or', l_orderkey) AS id, count(*) AS n, sum(l_quantity) AS total, max(l_extendedprice) AS top FROM lineitem GROUP BY l_orderkey")
+
+@registered("SELECT concat('or', l_orderkey) AS id, count(*) AS n, sum(l_quantity) AS total, max(l_extendedprice) AS top, avg(l_quantity) AS mean, count(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey")
 def q_array_aggregate(spark, d):
-    a = with_line_arrays(spark, d)
-    n, total, top = (agg.aggregate_items(a, "items", f, x, name) for f, x, name in (("count", "price", "n"), ("sum", "quantity", "total"), ("max", "price", "top")))
-    return n.join(total, "id").join(top, "id")
+    g, rows = _with_items(spark, d)
+    told = lambda f, *a: {"$aggregate": {"$function": {"$name": f, "$args": list(a)}, "$traverse": "items"}}
+    return _shown(g, rows, {"id": True, "n": told("count"), "total": told("sum", "quantity"), "top": told("max", "price"), "mean": told("avg", "nope", "quantity"), "flags": told("countUnique", "returnflag")}, {"orders"})
+
+
+@registered("SELECT concat('do', doc_id) AS id, lang, source, n_chars AS n FROM documents WHERE lang IS NOT NULL")
+def q_record_wildcard(spark, d):
+    """All keys of a record, with some fields of each value."""
+    g = star_graph(spark, d)
+    rows = g.nodes["document"].where("lang is not null").select("id", "type", F.create_map("lang", F.struct("source", F.col("n_chars").alias("n"), F.lit("x").alias("more"))).alias("rec"))
+    one = _shown(g, rows, {"id": True, "rec": {"*": {"source": True, "n": True}}}, {"document"})
+    return one.select("id", F.explode("rec").alias("lang", "x")).select("id", "lang", "x.*")
+
+
+@registered("SELECT concat('do', doc_id) AS id, lang, n_chars AS n FROM documents WHERE lang IS NOT NULL")
+def q_record_wildcard_path(spark, d):
+    g = star_graph(spark, d)
+    rows = g.nodes["document"].where("lang is not null").select("id", "type", F.create_map("lang", F.struct("source", F.col("n_chars").alias("n"))).alias("rec"))
+    one = _shown(g, rows, {"id": True, "rec.*.n": True, "all": {"$field": "rec.*.n"}}, {"document"})
+    return one.select("id", F.explode("rec").alias("lang", "x"), "all").where(F.col("all")[F.col("lang")] == F.col("x.n")).select("id", "lang", "x.n")
 
 
 @registered("SELECT concat('or', l_orderkey) AS id, arg_max(l_linenumber, (l_linenumber, l_quantity))::BIGINT AS last FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey")
@@ -236,6 +391,13 @@ def q_record_key_leq(spark, d):
     return record.where(F.size(keys) > 0).select("id", F.get(keys, 0).cast("long").alias("last"))
 
 
+def _with_items(spark, d) -> tuple[GraphStore, DataFrame]:
+    """The graph whose orders have their line items as an array of objects, and these orders."""
+    g = star_graph(spark, d)
+    rows = with_line_arrays(spark, d).withColumn("type", F.lit("orders"))
+    return g.with_(nodes={**g.nodes, "orders": rows}), rows
+
+
 # filters
 
 
@@ -326,6 +488,41 @@ def q_rpn_jump(spark, d):
     return star_graph(spark, d).nodes["orders"].select("id", grade.alias("grade"))
 
 
+@registered("SELECT concat('do', doc_id) AS id, 'do' AS prefix, lang = 'de' AS german, doc_id = 7 AS seven, true AS is_document, quality IS NOT NULL AS judged, source IS NOT NULL AS known FROM documents LEFT JOIN labels USING (doc_id)")
+def q_rpn_strings(spark, d):
+    node = rpn.Node(column=lambda p: F.col(p), id=F.col("id"))
+    b = lambda text: rpn.rpn_bool(text, [None], node)
+    rows = star_graph(spark, d).nodes["document"]
+    return rows.select("id", rpn.rpn_string("$0 b", [None], node).alias("prefix"), b('"de" "lang" f c').alias("german"), b('"do7" $0 d').alias("seven"), b('"do" e').alias("is_document"), b('"quality" h').alias("judged"), b('"source" h').alias("known"))
+
+
+@registered("SELECT concat('pa', p_partkey) AS id, NOT (p_size > 10 AND p_retailprice > 1000) AS a, (p_size > 10) <> (p_retailprice > 1000) AS b, p_size > 10 OR p_retailprice > 1000 AS c, (p_size > 10 AND p_size < 40) AS d, CASE WHEN p_size > 45 THEN p_size ELSE p_retailprice END::DOUBLE AS e, p_retailprice / p_size AS f FROM part")
+def q_rpn_logic(spark, d):
+    node = rpn.Node(column=lambda p: F.col(p), id=F.col("id"))
+    big, dear = '#10 "size" g I', '#1000 "retailprice" g I'
+    b = lambda text: rpn.rpn_bool(text, [None], node)
+    rows = star_graph(spark, d).nodes["part"]
+    either = rpn.rpn_double('#45 "size" g I "size" g D Q U "retailprice" g', [None], node)
+    return rows.select("id", b(f"{big} {dear} M L").alias("a"), b(f"{big} {dear} O").alias("b"), b(f"{big} Q U {dear}").alias("c"), b(f'{big} P U #40 "size" g H').alias("d"), either.alias("e"), rpn.rpn_double('"size" g "retailprice" g C', [None], node).alias("f"))
+
+
+@registered("SELECT concat('do', doc_id) AS id, CASE WHEN quality IS NOT NULL THEN 'quality' ELSE 'source' END AS first, CASE WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 'quality,toxic' ELSE '' END AS every, n_chars BETWEEN 100 AND 900 AS middle FROM documents LEFT JOIN labels USING (doc_id)")
+def q_rpn_fields(spark, d):
+    node = rpn.Node(column=lambda p: F.col(p), id=F.col("id"))
+    some = lambda text, *names: F.array_join(rpn.rpn_set(text, [None, list(names)], node), ",")
+    rows = star_graph(spark, d).nodes["document"]
+    return rows.select("id", some("&1 j", "quality", "source").alias("first"), some("&1 k", "quality", "toxic").alias("every"), rpn.rpn_bool('#900 "n_chars" g #100 i', [None], node).alias("middle"))
+
+
+@registered("SELECT concat('li', l_linenumber) AS id, count(*) AS n, sum(3 * (l_quantity - l_linenumber))::DOUBLE AS total FROM lineitem GROUP BY l_linenumber")
+def q_rpn_stack(spark, d):
+    """Copies, swaps and turns of the stack, and the clock, which is newer than any shipping."""
+    node = rpn.Node(column=lambda p: F.col(p), id=F.col("id"), now=F.lit(4_000_000_000_000))
+    rows = star_graph(spark, d).nodes["lineitem"].where(rpn.rpn_bool('"shipdate" g n I', [None], node))
+    value = rpn.rpn_double('#3 "quantity" g "linenumber" g S B X V U D', [None], node)
+    return rows.groupBy(F.concat(F.lit("li"), F.col("linenumber").cast("string")).alias("id")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
 # set operations
 
 
@@ -357,8 +554,8 @@ def q_set_has(spark, d):
 
 @registered("SELECT concat('cu', c_custkey) AS id FROM customer WHERE c_acctbal > 9500 UNION ALL SELECT concat('su', s_suppkey) FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT concat('cu', c_custkey) FROM customer WHERE c_acctbal > 9900")
 def q_concat(spark, d):
-    g = star_graph(spark, d)
-    return g.nodes["customer"].where("acctbal > 9500").select("id").unionByName(g.nodes["supplier"].where("acctbal > 5000").select("id")).unionByName(g.nodes["customer"].where("acctbal > 9900").select("id"))
+    found = lambda t, low: _find({"$traverse": "descendants", "$filter": _typed(t, _f("acctbal", ">", low))})
+    return _items(_get(star_graph(spark, d), {"found": [found("customer", 9500), found("supplier", 5000), found("customer", 9900)]}), "found")
 
 
 # projection
@@ -366,7 +563,32 @@ def q_concat(spark, d):
 
 @registered("SELECT concat('do', doc_id) AS id, coalesce(quality, -1)::BIGINT AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def q_default(spark, d):
-    return star_graph(spark, d).nodes["document"].select("id", F.coalesce("quality", F.lit(-1)).cast("long").alias("quality"))
+    g = star_graph(spark, d)
+    rows = _shown(g, g.nodes["document"], {"id": True, "quality": {"$default": -1}}, {"document"})
+    return rows.select("id", F.col("quality").cast("long").alias("quality"))
+
+
+@registered("SELECT concat('pa', p_partkey) AS id, p_name AS name, p_brand AS brand, 7 AS seven, 'b' AS letter, p_size::BIGINT AS size FROM part")
+def q_nested_object(spark, d):
+    """Made-up objects, dotted keys and constant objects and lists."""
+    g = star_graph(spark, d)
+    rows = _shown(g, g.nodes["part"], {"id": True, "box": {"name": True, "inner": {"brand": True}}, "c": {"$value": {"a": 7, "l": ["a", "b"]}}, "k.size": {"$field": "size"}}, {"part"})
+    return rows.select("id", F.col("box.name").alias("name"), F.col("box.inner.brand").alias("brand"), F.col("c.a").alias("seven"), F.col("c.l")[1].alias("letter"), F.col("k.size").alias("size"))
+
+
+@registered("SELECT concat('na', n_nationkey) AS id, r_name AS far, concat('re', n_regionkey) AS up FROM nation, region WHERE r_regionkey = 1")
+def q_sub_query(spark, d):
+    """A query by id inside another one, and a relation as a list of ids."""
+    g = star_graph(spark, d)
+    rows = _shown(g, g.nodes["nation"], {"id": True, "there": {"$id": "re1", "regionname": True}, "parents": True}, {"nation"})
+    return rows.select("id", F.col("there.regionname").alias("far"), F.col("parents")[0].alias("up"))
+
+
+@registered("SELECT concat('cu', c_custkey) AS id, coalesce(array_to_string(list_sort(list(concat('or', o_orderkey)) FILTER (o_orderkey IS NOT NULL)), ','), '') AS children FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def q_relation_as_value(spark, d):
+    g = star_graph(spark, d)
+    rows = _shown(g, g.nodes["customer"], {"id": True, "children": True}, {"customer"})
+    return rows.select("id", F.array_join("children", ",").alias("children"))
 
 
 @registered("SELECT concat('do', doc_id) AS id, coalesce(quality, n_chars)::BIGINT AS score FROM documents LEFT JOIN labels USING (doc_id)")
@@ -415,7 +637,8 @@ def q_language_fallback(spark, d):
 
 @registered("SELECT concat('ev', event_id) AS id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def q_json_field(spark, d):
-    return star_graph(spark, d).nodes["event"].select("id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    g = star_graph(spark, d)
+    return _shown(g, g.nodes["event"], {"id": True, "k": {"$field": "props.k"}}, {"event"}).select("id", F.col("k").cast("long").alias("k"))
 
 
 # lists, sorting, paging
@@ -449,8 +672,22 @@ def q_walk_limit(spark, d):
 
 @registered("SELECT concat('or', l_orderkey) AS id, list(l_quantity ORDER BY l_quantity DESC, l_linenumber)[1] AS top FROM lineitem GROUP BY l_orderkey")
 def q_sort_items(spark, d):
-    a = with_line_arrays(spark, d)
-    return a.select("id", order.sort_items(F.col("items"), "quantity", "desc")[0]["quantity"].alias("top"))
+    g, rows = _with_items(spark, d)
+    rows = _shown(g, rows, {"id": True, "items": {"quantity": True, "$list": {"$sort": {"$field": "quantity", "$order": "desc"}, "$limit": 1}}}, {"orders"})
+    return rows.select("id", F.col("items")[0]["quantity"].alias("top"))
+
+
+@registered("SELECT 're1' AS start_id, -1 AS pos, 're1' AS id UNION ALL SELECT 're1', row_number() OVER (ORDER BY concat('na', n_nationkey))::INTEGER - 1, concat('na', n_nationkey) FROM nation WHERE n_regionkey = 1")
+def q_list_with_head(spark, d):
+    """An offset of -1 puts the start before what it leads to."""
+    rows = _get(star_graph(spark, d), {"$id": "re1", "id": True, "found": {"id": True, "$list": {"$offset": -1, "$find": {"$traverse": "children"}}}})
+    return rows.select(F.col("id").alias("start_id"), F.posexplode("found").alias("pos", "x")).select("start_id", (F.col("pos") - 1).alias("pos"), "x.id")
+
+
+@registered("SELECT id, pos FROM (SELECT concat('cu', c_custkey) AS id, row_number() OVER (ORDER BY n_name DESC, concat('cu', c_custkey) DESC)::INTEGER - 1 AS pos FROM customer JOIN nation ON n_nationkey = c_nationkey) WHERE pos < 50")
+def q_sort_by_inherited(spark, d):
+    told = {"id": True, "nationname": {"$inherit": {"$type": "nation"}}, "$list": {"$sort": {"$field": "nationname", "$order": "desc"}, "$limit": 50, "$find": {"$traverse": "descendants", "$filter": _typed("customer")}}}
+    return _get(star_graph(spark, d), {"found": told}).select(F.posexplode("found").alias("pos", "x")).select("x.id", "pos")
 
 
 # aggregates
@@ -495,11 +732,26 @@ def q_sum_first_of(spark, d):
     return agg.aggregate(rows, "sum", ["quality", "n_chars"], name="total")
 
 
-@registered("SELECT concat('cu', o_custkey) AS start_id, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1")
+@registered("SELECT concat('cu', c_custkey) AS id, coalesce(sum(o_totalprice), 0.0) AS total, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def q_agg_references(spark, d):
     g = star_graph(spark, d)
-    rows = tr.one_hop(_all(g, "customer"), tr.edge_hops(g, "orders"), sources={"customer"}).join(g.nodes["orders"].select("id", "totalprice"), "id")
-    return rows.groupBy("start_id").agg(agg.aggregate_column(rows, "sum", ["totalprice"]).alias("total"), F.count("*").alias("n"))
+    told = lambda f: {"$aggregate": {"$function": f, "$traverse": "orders"}}
+    return _shown(g, g.nodes["customer"].select("id", "type"), {"id": True, "total": told({"$name": "sum", "$args": ["totalprice"]}), "n": told("count")}, {"customer"})
+
+
+@registered("SELECT concat('na', n_nationkey) AS id, (SELECT sum(b) FROM (SELECT c_acctbal AS b FROM customer WHERE c_nationkey = n_nationkey ORDER BY concat('cu', c_custkey) LIMIT 3)) AS total FROM nation")
+def q_agg_limit(spark, d):
+    """A limit without a sort takes the first nodes of the walk."""
+    g = star_graph(spark, d)
+    told = {"$aggregate": {"$function": {"$name": "sum", "$args": "acctbal"}, "$traverse": "children", "$filter": _f("type", "=", "customer"), "$limit": 3}}
+    return _shown(g, g.nodes["nation"], {"id": True, "total": told}, {"nation"})
+
+
+@registered("SELECT concat('re', r_regionkey) AS id, (SELECT count(*) FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey AND s_acctbal > 0) AS n FROM region")
+def q_agg_nested_find(spark, d):
+    g = star_graph(spark, d)
+    told = {"$aggregate": {"$function": "count", "$find": {"$traverse": "children", "$find": {"$traverse": "children", "$filter": _typed("supplier", _f("acctbal", ">", 0))}}}}
+    return _shown(g, g.nodes["region"], {"id": True, "n": told}, {"region"})
 
 
 @registered("SELECT concat('su', l_suppkey) AS start_id, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
@@ -541,7 +793,7 @@ def _themed(g: GraphStore) -> GraphStore:
     nodes["region"] = nodes["region"].select("id", "type", theme(F.col("regionname"), F.col("regionname")).alias("theme"), F.create_map(F.lit("r"), F.col("regionname"), F.lit("x"), F.lit("region")).alias("rec"))
     nodes["nation"] = nodes["nation"].select("id", "type", theme(F.when(n("nationname") > 6, F.col("nationname")), F.lit(None).cast("string")).alias("theme"), F.create_map(F.lit("n"), F.col("nationname"), F.lit("x"), F.lit("nation")).alias("rec"))
     nodes["customer"] = nodes["customer"].select("id", "type", theme(F.lit(None).cast("string"), F.when(F.col("segment") == "BUILDING", F.col("segment"))).alias("theme"), F.create_map(F.lit("s"), F.col("segment")).alias("rec"))
-    return g.with_(nodes={t: nodes[t] for t in ("root", "region", "nation", "customer")}, links={k: v for k, v in g.links.items() if k[1] in ("region", "nation", "customer")})
+    return g.with_(nodes=nodes)
 
 
 @registered("SELECT concat('cu', c_custkey) AS start_id, c_mktsegment AS s, n_name AS n, r_name AS r, 'nation' AS x FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
@@ -558,14 +810,111 @@ def q_inherit_deep_merge(spark, d):
     return out.select("start_id", F.col("theme.a").alias("a"), F.col("theme.in.b").alias("b"))
 
 
+@registered("SELECT concat('cu', c_custkey) AS start_id, n_name AS n, 'nation' AS x FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def q_inherit_named_merge(spark, d):
+    """Only the listed keys of a record are merged."""
+    g = _themed(star_graph(spark, d))
+    out = inh.merge_maps(g, _all(g, "customer"), "rec", ["n", "x"], None, {"customer"})
+    return out.select("start_id", F.col("rec")["n"].alias("n"), F.col("rec")["x"].alias("x"))
+
+
+@registered("SELECT concat('or', o_orderkey) AS id, n_name AS place, c_name AS whose, c_mktsegment AS segment FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
+def q_inherit_query(spark, d):
+    """Inheritance in a projection: the first of several fields that anybody above has, and an item's fields."""
+    g = star_graph(spark, d)
+    rows = _shown(g, g.nodes["orders"].select("id", "type"), {"id": True, "place": {"$field": ["nobody", "nationname", "regionname"], "$inherit": True}, "item": {"name": True, "segment": True, "$inherit": {"$item": "customer"}}}, {"orders"})
+    return rows.select("id", "place", F.col("item.name").alias("whose"), F.col("item.segment").alias("segment"))
+
+
+@registered(f"SELECT {_LI} AS id, concat('cu', o_custkey) AS customer, c_name AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
+def q_inherit_reference(spark, d):
+    """The reference that the order above a line item has, and the node that it leads to."""
+    g = star_graph(spark, d)
+    rows = _shown(g, g.nodes["lineitem"].select("id", "type"), {"id": True, "customer": {"$inherit": True}, "who": {"name": True, "$field": "customer", "$inherit": {"$type": "orders"}}}, {"lineitem"})
+    return rows.select("id", "customer", F.col("who.name").alias("name"))
+
+
+@registered("SELECT concat('or', o.o_orderkey) AS id, count(*) AS n, max(m.o_totalprice) AS top FROM orders o JOIN orders m ON m.o_custkey = o.o_custkey GROUP BY 1")
+def q_inherit_list(spark, d):
+    """A list of the references that an order inherits from its customer."""
+    g = star_graph(spark, d)
+    told = {"totalprice": True, "$field": "orders", "$list": {"$inherit": {"$type": "customer"}, "$sort": {"$field": "totalprice", "$order": "desc"}}}
+    rows = _shown(g, g.nodes["orders"].select("id", "type"), {"id": True, "mates": told}, {"orders"})
+    return rows.select("id", F.size("mates").cast("long").alias("n"), F.col("mates")[0]["totalprice"].alias("top"))
+
+
 # mutations
 
 
 @registered("SELECT concat('pa', p_partkey) AS id, p_retailprice + CASE WHEN p_size > 40 THEN 5 ELSE 0 END AS retailprice FROM part")
 def q_update_increment(spark, d):
+    c = _client(spark, star_graph(spark, d))
+    c.update({"type": "part", "retailprice": {"$increment": 5}}, {"$filter": _f("size", ">", 40)})
+    return c.store().nodes["part"].select("id", "retailprice")
+
+
+@registered("SELECT concat('or', o_orderkey) AS id, CASE WHEN c_nationkey = 3 AND o_totalprice > 100000 THEN 'X' ELSE o_orderpriority END AS priority, CASE WHEN c_nationkey = 3 AND o_totalprice > 100000 THEN NULL ELSE o_orderstatus END AS status FROM orders JOIN customer ON c_custkey = o_custkey")
+def q_update_find(spark, d):
+    """Fields of what a pipeline of finds reaches from one node; all other orders stay."""
+    c = _client(spark, star_graph(spark, d))
+    find = {"$traverse": "children", "$filter": _f("type", "=", "customer"), "$find": {"$traverse": "children", "$filter": _f("totalprice", ">", 100000)}}
+    c.update({"type": "orders", "priority": "X", "status": {"$delete": True}}, {"$id": "na3", "$find": find})
+    return c.store().nodes["orders"].select("id", "priority", "status")
+
+
+@registered("SELECT concat('pa', p_partkey) AS id, 'updated' AS op, 'size' AS changed, p_size::BIGINT AS before, 7 AS after FROM part WHERE contains(p_type, 'STEEL') AND p_size <> 7")
+def q_update_log(spark, d):
+    """The change log of an update: only where a value differs."""
+    g = star_graph(spark, d)
+    _, log = mutate.update_where(g, "part", F.col("kind").contains("STEEL"), {"size": 7}, NOW)
+    size = lambda c: F.get_json_object(c, "$.size").cast("long")
+    return log.select("id", "op", F.array_join("changed", ",").alias("changed"), size("before").alias("before"), size("after").cast("int").alias("after"))
+
+
+@registered("SELECT concat('cu', c_custkey) AS id, CASE c_custkey WHEN 1 THEN 'one' WHEN 2 THEN c_name WHEN 3 THEN NULL WHEN 4 THEN 'four' ELSE c_name END AS name, CASE c_custkey WHEN 1 THEN c_acctbal + 10 WHEN 4 THEN NULL ELSE c_acctbal END AS acctbal, CASE c_custkey WHEN 4 THEN NULL ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT 'cunew', 'fresh', 5.0, NULL")
+def q_set_operations(spark, d):
+    """Values, increments, defaults, deletions, a replacement and a new node, set one after another."""
+    c = _client(spark, star_graph(spark, d))
+    c.set([{"$id": "cu1", "name": "one", "acctbal": {"$increment": 10}}, {"$id": "cu2", "name": {"$default": "late"}}, {"$id": "cu3", "name": {"$delete": True}}, {"$id": "cu4", "$merge": False, "name": "four"}, {"$id": "cunew", "name": {"$default": "fresh"}, "acctbal": {"$increment": 1, "$default": 5}}, {"$id": "cu5", "$operation": "insert", "name": "no"}, {"$id": "cunone", "$operation": "update", "name": "no"}])
+    return c.store().nodes["customer"].select("id", "name", "acctbal", "segment")
+
+
+@registered("SELECT concat('or', o_orderkey) AS src, CASE o_orderkey WHEN 1 THEN 'cu2' WHEN 2 THEN 'cufresh' ELSE concat('cu', o_custkey) END AS dst FROM orders WHERE o_orderkey <> 3")
+def q_set_references(spark, d):
+    """A single reference is replaced, a missing target comes into being, a deletion drops the edge."""
+    c = _client(spark, star_graph(spark, d))
+    c.set([{"$id": "or1", "customer": "cu2"}, {"$id": "or2", "customer": "cufresh"}, {"$id": "or3", "customer": {"$delete": True}}])
+    store = c.store()
+    fresh = store.nodes["customer"].where("id = 'cufresh'").select(F.col("id").alias("dst"))
+    edges = store.edge_rows("customer").select("src", "dst")
+    return edges.where("dst <> 'cufresh'").unionByName(edges.join(fresh, "dst", "left_semi").select("src", "dst"))
+
+
+@registered("SELECT concat('re', n_regionkey) AS parent, concat('na', n_nationkey) AS child FROM nation WHERE n_nationkey NOT IN (0, 1) UNION ALL SELECT 're4', 'na0' UNION ALL SELECT concat('re', n_regionkey), 'na1' FROM nation WHERE n_nationkey = 1 AND n_regionkey <> 3 UNION ALL SELECT 're3', 'na1'")
+def q_set_parents(spark, d):
+    """A plain value replaces the parents, $add adds one."""
+    c = _client(spark, star_graph(spark, d))
+    c.set([{"$id": "na0", "parents": ["re4"]}, {"$id": "na1", "parents": {"$add": "re3"}}])
+    return c.store().links["region", "nation"].select("parent", "child")
+
+
+@registered("SELECT r_name AS alias, concat('re', r_regionkey) AS node_id FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT 'ASIA', 're0' UNION ALL SELECT 'home', 're0'")
+def q_set_aliases(spark, d):
+    """An alias leads to one node: setting it elsewhere moves it."""
+    c = _client(spark, star_graph(spark, d))
+    c.set({"$id": "re0", "aliases": ["ASIA", "home"]})
+    return c.store().alias_rows()
+
+
+@registered(f"SELECT {_LI} AS src, CASE WHEN l_orderkey = 1 THEN 'high' END AS mark, l_quantity + CASE WHEN l_orderkey = 1 THEN 1 ELSE 0 END AS quantity, CASE WHEN l_orderkey <> 1 THEN l_discount END AS discount FROM lineitem")
+def q_edge_metadata_operations(spark, d):
+    """The metadata of the part edges of one order's items: a default, an increment, a deletion."""
     g = star_graph(spark, d)
-    g = mutate.update_where(g, "part", F.col("size") > 40, {"retailprice": mutate.increment("retailprice", 5)})
-    return g.nodes["part"].select("id", "retailprice")
+    c = _client(spark, g)
+    some = [(r.src, r.dst) for r in g.edge_rows("part").join(g.links["orders", "lineitem"].where("parent = 'or1'"), F.col("src") == F.col("child")).select("src", "dst").collect()]  # the items of one order
+    c.set([{"$id": src, "part": {"$value": dst, "$edgeMeta": {"mark": {"$default": "high"}, "quantity": {"$increment": 1}, "discount": {"$delete": True}}}} for src, dst in some])
+    meta = F.col("meta")
+    return c.store().edge_rows("part").select("src", meta["mark"].alias("mark"), meta["quantity"].cast("double").alias("quantity"), meta["discount"].cast("double").alias("discount"))
 
 
 @registered("SELECT id, balance, op FROM (SELECT concat('cu', c_custkey) AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS balance, CASE WHEN c_mktsegment = 'BUILDING' THEN 'updated' ELSE 'kept' END AS op FROM customer UNION ALL SELECT concat('cu9', lpad(s_suppkey::VARCHAR, 9, '0')), s_acctbal, 'created' FROM supplier)")
@@ -588,23 +937,47 @@ WITH gone AS (SELECT concat('na', n_nationkey) AS id FROM nation WHERE n_nationk
   UNION ALL SELECT concat('su', s_suppkey) FROM supplier WHERE s_nationkey = 4) SELECT id FROM gone
 """)
 def q_delete_cascade(spark, d):
-    """Nation 4 goes with its suppliers, and with the customers that no order refers to."""
+    """Nation 4 goes with its suppliers, whose items orders still hold, and with the customers that no order refers to."""
     g = star_graph(spark, d)
-    g = g.with_(links={k: v for k, v in g.links.items() if k in (("region", "nation"), ("nation", "customer"), ("nation", "supplier"))})
     return mutate.deletion(g, spark.createDataFrame([("na4",)], "id string"))
 
 
+@registered("""
+SELECT 'cu1' AS id UNION ALL SELECT concat('or', o_orderkey) FROM orders WHERE o_custkey = 1 UNION ALL SELECT """ + _LI + """ FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 1
+""")
+def q_delete_recursive(spark, d):
+    """With all that is below, whatever else holds it; the log tells which nodes were there."""
+    return mutate.delete_nodes(star_graph(spark, d), ["cu1", "cunone"], True)[1].where("op = 'deleted'").select("id")
+
+
 @registered("SELECT id, array_to_string(list_sort(list_filter(list_distinct(list_append(flags, 'Z')), lambda x: x <> 'A')), ',') AS tags FROM (" + _TAGS + ")")
 def q_set_add_delete(spark, d):
-    rows = _tags(spark, d)
-    return rows.select("id", F.array_join(F.sort_array(F.array_except(F.array_union("flags", F.array(F.lit("Z"))), F.array(F.lit("A")))), ",").alias("tags"))
+    g = _store_of(spark, "tagged", {"flags": {"type": "set", "items": {"type": "string"}}}, _tags(spark, d).select("id", "flags"))
+    g, _ = mutate.update_where(g, "tagged", F.lit(True), {"flags": {"$add": "Z", "$delete": ["A"]}})
+    return g.nodes["tagged"].select("id", F.array_join("flags", ",").alias("tags"))
 
 
-@registered("SELECT concat('or', l_orderkey) AS id, count(*) + 1 AS n FROM lineitem GROUP BY l_orderkey")
+@registered("SELECT concat('or', l_orderkey) AS id, count(*) + 1 AS n, 99 AS last, min((l_linenumber, l_quantity))[1]::BIGINT AS first FROM lineitem GROUP BY l_orderkey")
 def q_array_push(spark, d):
-    a = with_line_arrays(spark, d)
-    new = F.struct(F.lit(99).cast("long").alias("linenumber"), F.lit(1.0).alias("quantity"), F.lit(1.0).alias("price"), F.lit("N").alias("returnflag"))
-    return a.select("id", F.size(F.concat("items", F.array(new))).cast("long").alias("n"))
+    item = {"type": "object", "properties": {"linenumber": {"type": "int"}, "quantity": {"type": "number"}, "price": {"type": "number"}, "returnflag": {"type": "string"}}}
+    g = _store_of(spark, "tagged", {"items": {"type": "array", "items": item}}, with_line_arrays(spark, d))
+    g, _ = mutate.update_where(g, "tagged", F.lit(True), {"items": {"$push": [{"linenumber": 99, "quantity": 1, "price": 1, "returnflag": "N"}]}})
+    return g.nodes["tagged"].select("id", F.size("items").cast("long").alias("n"), F.element_at("items", -1)["linenumber"].cast("int").alias("last"), F.col("items")[0]["linenumber"].alias("first"))
+
+
+@registered("SELECT id, array_to_string(list_prepend('new', flags)[1:2], ',') AS a, array_to_string(list_concat(flags[1:1], ['in'], flags[2:]), ',') AS b, array_to_string(flags[2:], ',') AS c, array_to_string(list_prepend('first', flags[2:]), ',') AS e FROM (" + _TAGS + ")")
+def q_array_operations(spark, d):
+    """Elements put before, between, in place of others, and taken out."""
+    kind = {"type": "array", "items": {"type": "string"}}
+    rows = _tags(spark, d).select("id", *(F.col("flags").alias(c) for c in "abce"))
+    g = _store_of(spark, "tagged", dict.fromkeys("abce", kind), rows)
+    g, _ = mutate.update_where(g, "tagged", F.lit(True), {"a": {"$unshift": {"$value": "new", "$maxLen": 2}}, "b": {"$insert": {"$idx": 1, "$value": "in"}}, "c": {"$remove": {"$idx": 0}}, "e": {"$assign": {"$idx": 0, "$value": "first"}}})
+    return g.nodes["tagged"].select("id", *(F.array_join(c, ",").alias(c) for c in "abce"))
+
+
+def _store_of(spark: SparkSession, t: str, fields: dict, rows: DataFrame) -> GraphStore:
+    """A store of one type."""
+    return GraphStore(spark, GraphSchema.of({"types": {t: {"prefix": "or", "fields": fields}}}), {t: rows.withColumn("type", F.lit(t))})
 
 
 # live queries
@@ -619,12 +992,39 @@ def _log(spark, d) -> DataFrame:
     return e.select(F.concat(F.lit("us"), F.col("user").cast("string")).alias("id"), "ts", F.col("id").alias("event"), "eventtype", "value", F.lag("value").over(w).alias("was"), F.row_number().over(w).alias("nth"))
 
 
+def _changes(spark, d) -> DataFrame:
+    """The same as rows of a change log."""
+    state = lambda v: F.to_json(F.struct(v.alias("value")))
+    log = _log(spark, d)
+    return log.select(F.col("nth").cast("long").alias("seq"), F.when(F.col("nth") == 1, "created").otherwise("updated").alias("op"), "id", F.lit("event").alias("type"), F.when(F.col("nth") == 1, F.array(F.lit("value"))).when(F.col("nth") % 2 == 0, F.array(F.lit("list[3].value"))).otherwise(F.array(F.lit("other"))).alias("changed"), F.when(F.col("nth") > 1, state(F.col("was"))).alias("before"), state(F.col("value")).alias("after"), "event")
+
+
 _LOG = f"SELECT concat('us', user_id) AS id, concat('ev', event_id) AS event, value, lag(value) OVER w AS was, row_number() OVER w AS nth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY {_MS.format('ts')}, concat('ev', event_id))"
 
 
 @registered(f"SELECT id, event FROM ({_LOG}) WHERE nth = 1 AND value > 50")
 def q_trigger_created(spark, d):
-    return _log(spark, d).where((F.col("nth") == 1) & (F.col("value") > 50)).select("id", "event")
+    """What a trigger on creations calls with: one plan over the log, the nodes and the filter."""
+    from .compile import Compiler
+
+    first = _log(spark, d).where("nth = 1").select("id", F.lit("event").alias("type"), "event", "value")
+    g = star_graph(spark, d)
+    g = g.with_(nodes={**g.nodes, "event": first})
+    created = _changes(spark, d).where("op = 'created'").select("id", F.col("seq").alias("_cseq"))
+    return Compiler(g).each(created, {"event"}, {"id": True, "event": True, "$filter": _f("value", ">", 50)})
+
+
+@registered(f"SELECT event FROM ({_LOG}) WHERE coalesce(was > 50, false) <> (value > 50) OR coalesce(was > 50, false) AND value > 50 AND nth % 2 = 0")
+def q_change_fields(spark, d):
+    """A subscription on a field of array elements hears of changes at any index, and of nodes that begin or cease to match."""
+    return live.change_matches(_changes(spark, d), _f("value", ">", 50), ["list[n].value"], "value double").select("event")
+
+
+@registered(f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'hierarchy' WHEN user_id % 3 = 1 THEN 'alias' ELSE 'field' END AS kind FROM events) GROUP BY 1")
+def q_event_kinds(spark, d):
+    user = F.col("user") % 3
+    rows = star_graph(spark, d).nodes["event"].select(F.when(user == 0, F.array(F.lit("parents"), F.lit("children"))).when(user == 1, F.array(F.lit("aliases"))).otherwise(F.array(F.lit("value"), F.lit("ts"))).alias("changed"))
+    return rows.select(F.explode(live.event_kinds(F.col("changed"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @registered(f"SELECT event, coalesce(was > 50, false) AS before, value > 50 AS after FROM ({_LOG}) WHERE (coalesce(was > 50, false) AND value > 50 AND was <> value) OR coalesce(was > 50, false) <> (value > 50)")
@@ -636,13 +1036,19 @@ def q_change_match(spark, d):
 
 @registered(f"SELECT id, arg_max(value, nth) AS value, max(nth)::BIGINT AS versions FROM ({_LOG}) GROUP BY id")
 def q_sub_latest(spark, d):
-    return _log(spark, d).groupBy("id").agg(F.max_by("value", "nth").alias("value"), F.max("nth").cast("long").alias("versions"))
+    last = live.latest(_changes(spark, d))
+    return last.select("id", F.get_json_object("after", "$.value").cast("double").alias("value"), F.col("seq").alias("versions"))
 
 
-@registered("SELECT event_type AS kind, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
+@registered("SELECT count(*) AS n, sum(value) + 5 - max(CASE WHEN event_id = 1 THEN value END) AS total FROM events")
 def q_sub_aggregate(spark, d):
-    e = star_graph(spark, d).nodes["event"]
-    return e.groupBy(F.col("eventtype").alias("kind")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """A standing aggregate hears of a change of one of its nodes."""
+    c = _client(spark, star_graph(spark, d))
+    told = lambda f: {"$aggregate": {"$function": f, "$traverse": "descendants", "$filter": _f("type", "=", "event")}}
+    seen: list[dict] = []
+    c.observe({"$id": "root", "n": told("count"), "total": told({"$name": "sum", "$args": ["value"]})}).subscribe(seen.append)
+    c.update({"type": "event", "value": 5.0}, {"$id": "ev1"})
+    return spark.createDataFrame([(x["n"], x["total"]) for x in seen[1:]], "n long, total double")
 
 
 @registered(f"SELECT min(CASE WHEN t > {NOW} THEN t END) AS refresh_at FROM (SELECT {_MS.format('o_orderdate')} + {30 * DAY} AS t FROM orders WHERE o_orderstatus = 'O')")
@@ -651,6 +1057,14 @@ def q_now_refresh(spark, d):
     return refresh_at(rows, [_f("status", "=", "O"), _f("orderdate", ">", "now-30d")], NOW)
 
 
+@registered(f"SELECT min(CASE WHEN t > {NOW} THEN t END) AS refresh_at FROM (SELECT {_MS.format('o_orderdate')} AS t FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 5000)")
+def q_now_refresh_query(spark, d):
+    """When a standing query with a moving filter in a pipeline of finds is due again."""
+    c = _client(spark, star_graph(spark, d))
+    find = {"$traverse": "descendants", "$filter": _typed("customer", _f("acctbal", ">", 5000)), "$find": {"$traverse": "children", "$filter": _f("orderdate", ">", "now")}}
+    return spark.createDataFrame([(c.next_refresh({"$id": "root", "coming": _find(find)}),)], "refresh_at long")
+
+
 # extras
 
 
@@ -661,11 +1075,12 @@ def q_geo_distance(spark, d):
     return rows.where(condition(tree(_f("place", "distance", {"$lon": 20.0, "$lat": 10.0, "$radius": 2000000})), Fields(F.col, lambda p: None))).select("id")
 
 
-@registered(r"SELECT token, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(translate(lower(text), 'äöüÄÖÜáàâéèêëíìîóòôúùûñç', 'aouaouaaaeeeeiiiooouuunc'), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS token FROM documents WHERE lang = 'de') GROUP BY 1 HAVING count(*) >= 10")
+@registered(r"SELECT lang, token, count(*) AS n FROM (SELECT DISTINCT doc_id, lang, unnest(list_filter(string_split_regex(translate(lower(text), 'äöüÄÖÜáàâéèêëíìîóòôúùûñç', 'aouaouaaaeeeeiiiooouuunc'), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS token FROM documents) GROUP BY 1, 2")
 def q_text_index(spark, d):
-    rows = star_graph(spark, d).nodes["document"].where("lang = 'de'")
-    each = rows.select("id", F.explode(F.array_distinct(tokens(F.col("body")["de"]))).alias("token"))
-    return each.groupBy("token").agg(F.count("*").alias("n")).where("n >= 10")
+    """The text index: in how many documents each token of each language is."""
+    rows = star_graph(spark, d).nodes["document"].select("id", F.explode("body").alias("lang", "text"))
+    each = rows.select("lang", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    return each.groupBy("lang", "token").agg(F.count("*").alias("n"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

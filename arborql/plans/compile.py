@@ -110,15 +110,7 @@ def walk(c: Column, kind: T.DataType, parts: list[str]) -> tuple[Column | None,
         elif isinstance(kind, T.StructType) and p in kind.names:
             c, kind = c[p], kind[p].dataType
         elif isinstance(kind, T.MapType) and p == "*":
-            inner: list = []
-
-            def below(_, v, at=kind.valueType, rest=parts[n + 1 :], inner=inner):
-                x, k = walk(v, at, rest)
-                inner.append(k)
-                return F.lit(None).cast("string") if x is None else x
-
-            out = F.transform_values(c, below)
-            return out, T.MapType(T.StringType(), inner[0] or T.StringType())
+            return _each_key(c, kind.valueType, parts[n + 1 :])
         elif isinstance(kind, T.MapType):
             c, kind = c[p], kind.valueType
         else:
@@ -126,6 +118,19 @@ def walk(c: Column, kind: T.DataType, parts: list[str]) -> tuple[Column | None,
     return c, kind
 
 
+def _each_key(c: Column, kind: T.DataType, rest: list[str]) -> tuple[Column, T.DataType]:
+    """The record with the rest of the path taken in each of its values."""
+    found: list[T.DataType | None] = []
+
+    def below(_: Column, v: Column) -> Column:
+        x, k = walk(v, kind, rest)
+        found.append(k)
+        return F.lit(None).cast("string") if x is None else x
+
+    out = F.transform_values(c, below)
+    return out, T.MapType(T.StringType(), found[0] or T.StringType())
+
+
 class Compiler:
     def __init__(self, store: GraphStore, language: str | None = None, now_ms: int | None = None, compat: bool = False, others: dict[str, GraphStore] | None = None):
         self.store, self.language, self.now_ms, self.compat, self.others = store, language, now_ms, compat, others or {}
@@ -183,6 +188,8 @@ class Compiler:
         head, *rest = path.replace("[", ".[").split(".")
         if head not in rows.columns:
             return None
+        if rest and self.kind(head) == "json":
+            return F.get_json_object(head, "$." + ".".join(rest).replace(".[", "["))
         return walk(F.col(head), rows.schema[head].dataType, rest)[0]
 
     # finding
@@ -201,6 +208,8 @@ class Compiler:
             ids = self.listed_ids(via)
             near = starts.select("start_id").crossJoin(F.broadcast(ids)).join(s.node_rows(targets, set()).select("id"), "id", "left_semi")
             return self.pathed(near.select("start_id", "id", "depth"), paths)
+        if via == "node":
+            return self.pathed(starts.select("start_id", "id", F.lit(0).alias("depth")), paths)
         if isinstance(via, str) and via in ("descendants", "ancestors"):
             return (tr.descendants if via == "descendants" else tr.ancestors)(s, starts, types, targets, paths=paths)
         if isinstance(via, list):

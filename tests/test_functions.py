@@ -92,8 +92,8 @@ def test_compat_reduction():
         ("#1 R A", [], 2),
         ("@2 #1 A @2 #2 A @1 T", [0, 3], 4),
         ("@2 #1 A @2 #2 A @1 T", [1, 3], 5),
-        ("@1 R #5 S I >2 #0 D .2:X", [3], 0),
-        ("@1 R #5 S I >2 #0 D .2:X", [6], 6),
+        ("#7 @1 I >4 @1 #0 D Z .4: @1 #2 D", [3], 0),
+        ("#7 @1 I >4 @1 #0 D Z .4: @1 #2 D", [9], 18),
         ("#2 #3 V A D", [], 10),
         ("@3 @2 @1 W B D", [10, 4, 5], 20),
         ("#4 #-9 E", [], -1),
