@@ -15,6 +15,8 @@ from ..operators.tables import discard, materialize, new_path, shared_dir
 __all__ = ["discard", "map_arrow", "materialize", "new_path", "shared_dir", "ship", "small", "table"]
 #: A table is broadcast up to so many rows and bytes of strings; beyond, the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+#: Rows of an Arrow batch, where the session has Spark's default of ten thousand: with texts that would be tens of megabytes, twice in each process.
+ARROW_ROWS = "1000"
 _SHIPPED: dict[str, str] = {}
 
 
@@ -37,8 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """df.mapInArrow, with this package on the executors."""
-    ship(df.sparkSession)
+    """df.mapInArrow, with this package on the executors and batches of a bounded size."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(function, schema)
 
 
