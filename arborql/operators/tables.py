@@ -5,11 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Seconds from one trim to the next, and when the next one is due.
+TRIM_S = 2.0
+_DUE = {"at": 0.0}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +35,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/arborql/{name}-{uuid.uuid4().hex}"
 
 
+def trim(spark: SparkSession) -> None:
+    """Hands the free native memory of the driver's JVM back to the system, every TRIM_S seconds at most.
+
+    Each new plan is compiled; malloc keeps what the JVM's compilers free, by hundreds of
+    megabytes over many plans, outside the heap and its limit. This is what jcmd's
+    System.trim_native_heap does; a JVM without that command is left as it is.
+    """
+    now = time.monotonic()
+    if now < _DUE["at"]:
+        return
+    _DUE["at"] = now + TRIM_S
+    jvm, objects = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        args = objects(jvm.java.lang.Object, 4)  # the last two: no parameters, no signature
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # By the interface's method: the server's own class isn't accessible.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(server, args)
+    except Py4JError:
+        _DUE["at"] = float("inf")
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df once to a new table in the shared folder and reads it back.
 
@@ -38,6 +66,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    trim(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._arborql_path = path
     return out

@@ -121,3 +121,22 @@ def test_op3_decontamination_equals_its_sql_by_columns_and_rows(spark, tmp_path)
     same = db.execute(ORACLE_SQL["op3_decontamination"])
     assert found.columns == [c[0] for c in same.description]
     assert sorted(map(tuple, found.collect())) == sorted(same.fetchall())
+
+
+def test_materialize_hands_free_native_memory_back(spark, monkeypatch):
+    """What the JVM's malloc holds though it is free: many deflaters, of which only the last one lives on."""
+    from arborql.operators import tables
+
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: sum(int(x.split()[1]) for x in open(f"/proc/{pid}/smaps_rollup") if x.startswith("Pss_Anon:")) / 1024
+    monkeypatch.setattr(tables, "_DUE", {"at": float("inf")}, raising=False)
+    deflaters = [jvm.java.util.zip.Deflater() for _ in range(1500)]
+    for d in deflaters[:-1]:
+        d.end()
+    tables.materialize(spark.range(10))  # no trim is due
+    kept = held()
+    monkeypatch.setattr(tables, "_DUE", {"at": 0.0}, raising=False)
+    assert tables.materialize(spark.range(10)).count() == 10
+    assert kept - held() > 40
+    deflaters[-1].end()
