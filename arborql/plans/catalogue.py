@@ -830,7 +830,7 @@ def q_inherit_query(spark, d):
 def q_inherit_reference(spark, d):
     """The reference that the order above a line item has, and the node that it leads to."""
     g = star_graph(spark, d)
-    rows = _shown(g, g.nodes["lineitem"].select("id", "type"), {"id": True, "customer": {"$inherit": True}, "who": {"name": True, "$field": "customer", "$inherit": {"$type": "orders"}}}, {"lineitem"})
+    rows = _shown(g, g.with_parents("lineitem", "id", "type"), {"id": True, "customer": {"$inherit": True}, "who": {"name": True, "$field": "customer", "$inherit": {"$type": "orders"}}}, {"lineitem"})
     return rows.select("id", "customer", F.col("who.name").alias("name"))
 
 

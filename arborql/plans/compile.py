@@ -345,7 +345,7 @@ class Compiler:
             rows, out["rawAncestors"] = self.field(rows, "ancestors", types)
         if spec.get("$all"):
             for c in rows.columns:
-                if c not in ("nid", "createdAt", "updatedAt", "aliases", "start_id", "depth", "path", "pos") and not c.startswith("_c") and c not in RELATIONS and spec.get(c) is not False:
+                if c not in ("nid", "createdAt", "updatedAt", "aliases", "start_id", "depth", "path", "pos") and not c.startswith(("_c", "^", "@")) and c not in RELATIONS and spec.get(c) is not False:
                     out[c] = self.shown(rows, c)
         for k, v in spec.items():
             if k.startswith("$") and k != "$fieldsByType" or v is False:
@@ -636,24 +636,82 @@ class Compiler:
                 rows = rows.join(out.select(F.col("start_id").alias("nid"), F.col(m).alias(f"{m}i")), "nid", "left")
                 cols.append(F.col(f"{m}i"))
             elif self.store.schema.relation_kind(name):
-                m = self.name()
-                line = tr.ancestors(self.store, start, types, accept, include_head=True, paths=True)
-                ids = self.store.edge_rows(name).groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias(m))
-                best = line.join(ids, "id").groupBy(F.col("start_id").alias("nid")).agg(F.min_by(m, F.struct("depth", "path")).alias(m))
-                rows = rows.join(best, "nid", "left")
-                if plain:  # the fields of the node that the inherited reference leads to
-                    target = rows.where(F.col(m).isNotNull()).select(F.col("nid").alias("start_id"), F.explode(m).alias("id")).join(self.store.node_rows(), "id").withColumn("nid", F.col("id"))
-                    target, got = self.project(target, {k: x for k, x in v.items() if not k.startswith("$")}, None)
-                    i = self.name()
-                    one = F.struct(*(c.alias(k) for k, c in got.items()))
-                    told_kind = self.store.schema.relation_kind(name)
-                    each = target.groupBy("start_id").agg((F.min_by(one, "nid") if told_kind == "reference" else F.array_sort(F.collect_list(F.struct(F.col("nid").alias("_id"), one.alias("_item"))), lambda a, b: F.when(a["_id"] < b["_id"], -1).when(a["_id"] > b["_id"], 1).otherwise(0))).alias(i))
-                    rows = rows.join(each.select(F.col("start_id").alias("nid"), F.col(i) if told_kind == "reference" else F.col(f"{i}._item").alias(i)), "nid", "left")
-                    cols.append(F.col(i))
-                else:
-                    cols.append(F.get(m, 0) if self.store.schema.relation_kind(name) == "reference" else F.col(m))
+                rows, c = self.inherited_relation(rows, start, name, {k: x for k, x in v.items() if not k.startswith("$")}, accept, types)
+                cols.append(c)
         return rows, F.coalesce(*cols) if cols else None
 
+    def inherited_relation(self, rows: DataFrame, start: DataFrame, name: str, inner: dict, accept: set[str] | None, types: set[str] | None) -> tuple[DataFrame, Column]:
+        """The reference (or references) of the nearest node at or above that has some; with inner, the fields of the nodes that they lead to.
+
+        A reference comes down with the fields of its target, which is so read once for
+        each holder; of references only the holder's id comes down, and their list is joined to it.
+        """
+        s, m, one_ref = self.store, self.name(), self.store.schema.relation_kind(name) == "reference"
+        holders = {a for (a, f, _) in s.edges if f == name}
+        if not holders:
+            if not inner:
+                return rows, F.lit(None).cast("string" if one_ref else "array<string>")
+            kind = self.leading(s.edge_rows(name), None, inner, m, one_ref).schema[m].dataType
+            return rows, F.lit(None).cast(kind)
+        if not one_ref:
+            rows, holder = self.holder(rows, start, name, accept, types)
+            edges, targets = s.edge_rows(name), {b for (_, f, b) in s.edges if f == name}
+            lists = self.leading(edges, targets, inner, m, False) if inner else edges.groupBy(F.col("src").alias("start_id")).agg(F.sort_array(F.collect_set("dst")).alias(m))
+            return rows.join(lists.withColumnRenamed("start_id", f"{m}s"), F.col(holder) == F.col(f"{m}s"), "left").drop(f"{m}s"), F.col(m)
+        targets = {b for (_, f, b) in s.edges if f == name}
+        nodes, wide = dict(s.nodes), dict(s.wide)
+        for a in holders & set(nodes):
+            if a in wide and f"@{name}" in wide[a].columns:
+                held = wide[a].withColumn(f"{m}d", F.col(f"@{name}"))
+                if inner:
+                    to, got = self.project(s.node_rows(targets).withColumn("nid", F.col("id")), inner, targets)
+                    to = to.select(F.col("nid").alias(f"{m}s"), F.struct(*(c.alias(k) for k, c in got.items())).alias(f"{m}i"))
+                    held = held.join(to, F.col(f"{m}d") == F.col(f"{m}s"), "left")
+            else:
+                edges = s.edge_rows(name, {a})
+                held = (wide[a] if a in wide else nodes[a]).join(edges.groupBy(F.col("src").alias(f"{m}s")).agg(F.min("dst").alias(f"{m}d")), F.col("id") == F.col(f"{m}s"), "left").drop(f"{m}s")
+                if inner:
+                    to = self.leading(edges, targets, inner, f"{m}i", True).withColumnRenamed("start_id", f"{m}s")
+                    held = held.join(to, F.col("id") == F.col(f"{m}s"), "left")
+            value = F.struct(F.col(f"{m}d").alias("id"), *([F.col(f"{m}i").alias("one")] if inner else []))
+            held = held.withColumn(m, F.when(F.col(f"{m}d").isNotNull(), value)).drop(f"{m}d", f"{m}s", f"{m}i")
+            nodes[a] = held
+            if a in wide:
+                wide[a] = held
+        rows = self.come_down(s.with_(nodes=nodes, wide=wide), rows, start, m, accept, types)
+        return rows, F.col(m)["one" if inner else "id"]
+
+    def leading(self, edges: DataFrame, targets: set[str] | None, inner: dict, name: str, one_ref: bool) -> DataFrame:
+        """start_id, and as name the fields of the nodes that its edges lead to: of the first one, or of all by id."""
+        pairs = edges.select(F.col("src").alias("start_id"), F.col("dst").alias("id")).distinct()
+        items, got = self.project(pairs.join(self.store.node_rows(targets), "id").withColumn("nid", F.col("id")), inner, targets)
+        one = F.struct(*(c.alias(k) for k, c in got.items()))
+        if one_ref:
+            return items.groupBy("start_id").agg(F.min_by(one, "nid").alias(name))
+        by_id = lambda a, b: F.when(a["_id"] < b["_id"], -1).when(a["_id"] > b["_id"], 1).otherwise(0)
+        every = items.groupBy("start_id").agg(F.array_sort(F.collect_list(F.struct(F.col("nid").alias("_id"), one.alias("_item"))), by_id).alias(name))
+        return every.select("start_id", F.col(f"{name}._item").alias(name))
+
+    def holder(self, rows: DataFrame, start: DataFrame, name: str, accept: set[str] | None, types: set[str] | None) -> tuple[DataFrame, str]:
+        """rows with the id of the nearest node at or above that has an edge of the field, and that column's name."""
+        s, m = self.store, self.name()
+        nodes, wide = dict(s.nodes), dict(s.wide)
+        for a in {a for (a, f, _) in s.edges if f == name} & set(nodes):
+            has = s.edge_rows(name, {a}).select(F.col("src").alias(f"{m}s")).distinct()
+            held = (wide[a] if a in wide else nodes[a]).join(has, F.col("id") == F.col(f"{m}s"), "left").withColumnRenamed(f"{m}s", m)
+            nodes[a] = held
+            if a in wide:
+                wide[a] = held
+        return self.come_down(s.with_(nodes=nodes, wide=wide), rows, start, m, accept, types), m
+
+    @staticmethod
+    def come_down(store: GraphStore, rows: DataFrame, start: DataFrame, m: str, accept: set[str] | None, types: set[str] | None) -> DataFrame:
+        """rows with the nearest value of field m."""
+        if types and len(types) == 1 and (found := inh.attach(store, rows, next(iter(types)), [m], accept)) is not None:
+            return found
+        out = inh.inherit_fields(store, start, [m], accept, types)
+        return rows.join(out.withColumnRenamed("start_id", f"{m}n"), F.col("nid") == F.col(f"{m}n"), "left").drop(f"{m}n")
+
 
 def _orderable(items: DataFrame, one: Column) -> bool:
     """Whether the item can stand in sort_array (maps can't); the position alone decides the order."""

@@ -54,24 +54,28 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
     region, nation, customer, supplier, orders, item, part, event, document = (read(t) for t in ("region", "nation", "customer", "supplier", "orders", "lineitem", "part", "events", "documents"))
     labels = read("labels")
     judged = document.join(labels, "doc_id", "left")
-    made = {}
+    made, wide = {}, {}
 
-    def node(t, df, key, prefix, **f):
-        """The typed frame, and how to read some of its ids by the integer key."""
+    def node(t, df, key, prefix, up, **f):
+        """The typed frame, with its parents and references, and how to read some of its ids by the integer key."""
+        wide[t] = typed(df, t, _id(prefix, key), **f, **up)
         made[t] = lambda ids: typed(df.where(c(key).isin([int(i[2:]) for i in ids if i[2:].isascii() and i[2:].isdigit() and str(int(i[2:])) == i[2:]])), t, _id(prefix, key), **f)
         return typed(df, t, _id(prefix, key), **f)
 
+    top = {"^root": F.lit(ROOT)}
+    line = {"linenumber": c("l_linenumber").cast("long"), "quantity": c("l_quantity"), "price": c("l_extendedprice"), "discount": c("l_discount"), "returnflag": c("l_returnflag"), "linestatus": c("l_linestatus"), "shipdate": ms("l_shipdate")}
+    wide["lineitem"] = typed(item, "lineitem", lineitem_id(), **line, **{"^orders": _id("or", "l_orderkey"), "^supplier": _id("su", "l_suppkey"), "@part": _id("pa", "l_partkey")})
     nodes = {
         "root": spark.range(1).select(F.lit(ROOT).alias("id"), F.lit(ROOT).alias("type")),
-        "region": node("region", region, "r_regionkey", "re", regionname=c("r_name")),
-        "nation": node("nation", nation, "n_nationkey", "na", nationname=c("n_name")),
-        "customer": node("customer", customer, "c_custkey", "cu", name=c("c_name"), acctbal=c("c_acctbal"), segment=c("c_mktsegment")),
-        "supplier": node("supplier", supplier, "s_suppkey", "su", name=c("s_name"), acctbal=c("s_acctbal")),
-        "orders": node("orders", orders, "o_orderkey", "or", status=c("o_orderstatus"), totalprice=c("o_totalprice"), orderdate=ms("o_orderdate"), priority=c("o_orderpriority")),
-        "lineitem": typed(item, "lineitem", lineitem_id(), linenumber=c("l_linenumber").cast("long"), quantity=c("l_quantity"), price=c("l_extendedprice"), discount=c("l_discount"), returnflag=c("l_returnflag"), linestatus=c("l_linestatus"), shipdate=ms("l_shipdate")),
-        "part": node("part", part, "p_partkey", "pa", name=c("p_name"), brand=c("p_brand"), kind=c("p_type"), size=c("p_size").cast("long"), retailprice=c("p_retailprice")),
-        "event": node("event", event, "event_id", "ev", ts=ms("ts"), user=c("user_id"), eventtype=c("event_type"), value=c("value"), props=c("props")),
-        "document": node("document", judged, "doc_id", "do", body=F.create_map("lang", "text"), lang=c("lang"), source=c("source"), n_chars=c("n_chars"), quality=c("quality").cast("long"), toxic=c("toxic").cast("long")),
+        "region": node("region", region, "r_regionkey", "re", top, regionname=c("r_name")),
+        "nation": node("nation", nation, "n_nationkey", "na", {"^region": _id("re", "n_regionkey")}, nationname=c("n_name")),
+        "customer": node("customer", customer, "c_custkey", "cu", {"^nation": _id("na", "c_nationkey")}, name=c("c_name"), acctbal=c("c_acctbal"), segment=c("c_mktsegment")),
+        "supplier": node("supplier", supplier, "s_suppkey", "su", {"^nation": _id("na", "s_nationkey")}, name=c("s_name"), acctbal=c("s_acctbal")),
+        "orders": node("orders", orders, "o_orderkey", "or", {"^customer": _id("cu", "o_custkey"), "@customer": _id("cu", "o_custkey")}, status=c("o_orderstatus"), totalprice=c("o_totalprice"), orderdate=ms("o_orderdate"), priority=c("o_orderpriority")),
+        "lineitem": typed(item, "lineitem", lineitem_id(), **line),
+        "part": node("part", part, "p_partkey", "pa", top, name=c("p_name"), brand=c("p_brand"), kind=c("p_type"), size=c("p_size").cast("long"), retailprice=c("p_retailprice")),
+        "event": node("event", event, "event_id", "ev", top, ts=ms("ts"), user=c("user_id"), eventtype=c("event_type"), value=c("value"), props=c("props")),
+        "document": node("document", judged, "doc_id", "do", top, body=F.create_map("lang", "text"), lang=c("lang"), source=c("source"), n_chars=c("n_chars"), quality=c("quality").cast("long"), toxic=c("toxic").cast("long")),
     }
     link = lambda df, a, b: df.select(a.alias("parent"), b.alias("child"))
     root = F.lit(ROOT)
@@ -96,7 +100,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
         ("orders", "customer", "customer"): edge(orders, _id("or", "o_orderkey"), "customer", _id("cu", "o_custkey")),
     }
     aliases = region.select(F.col("r_name").alias("alias"), _id("re", "r_regionkey").alias("node_id"))
-    return GraphStore(spark, GraphSchema.of(SCHEMA), nodes, links, edges, aliases, frozenset(links), made)
+    return GraphStore(spark, GraphSchema.of(SCHEMA), nodes, links, edges, aliases, frozenset(links), made, wide)
 
 
 def with_line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

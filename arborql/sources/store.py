@@ -33,10 +33,17 @@ class GraphStore:
     single_parent: frozenset = frozenset()
     #: By type: nodes of some ids, read with a filter on the source's own key.
     finders: dict[str, Callable[[list[str]], DataFrame]] = field(default_factory=dict)
+    #: By type: the nodes with the id of their one parent of each type a (^a) and of their one reference in a field f (@f), where the source keeps them in the nodes' own rows. All links to the type are among them.
+    wide: dict[str, DataFrame] = field(default_factory=dict)
 
     # views
 
     def with_(self, **changes) -> GraphStore:
+        if "wide" not in changes and {"nodes", "links", "edges"} & set(changes):  # only for types whose nodes, parents and edges are as they were
+            new = replace(self, **changes)
+            links = lambda g, t: {k: id(x) for k, x in g.links.items() if k[1] == t}
+            edges = lambda g, t: {k: id(x) for k, x in g.edges.items() if k[0] == t}
+            changes["wide"] = {t: x for t, x in self.wide.items() if new.nodes.get(t) is self.nodes.get(t) and links(new, t) == links(self, t) and edges(new, t) == edges(self, t)}
         if "nodes" in changes and "finders" not in changes:  # a finder reads the source: only for types that are as they were
             changes["finders"] = {t: f for t, f in self.finders.items() if changes["nodes"].get(t) is self.nodes.get(t)}
         return replace(self, **changes)
@@ -86,6 +93,12 @@ class GraphStore:
                 parts.append(df.select(*((F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items())))
         return _union(parts, self.spark, T.StructType([T.StructField(c, k) for c, k in (kinds or {"id": T.StringType(), "type": T.StringType()}).items()]))
 
+    def with_parents(self, t: str, *columns: str) -> DataFrame:
+        """The nodes of a type with some columns, and with what wide adds to them."""
+        if t not in self.wide:
+            return self.nodes[t].select(*columns)
+        return self.wide[t].select(*columns, *(c for c in self.wide[t].columns if c[0] in "^@"))
+
     def heads(self) -> DataFrame:
         """Nodes without a parent."""
         return self.node_rows(needed=set()).join(self.hierarchy().select(F.col("child").alias("id")), "id", "left_anti")
