@@ -211,7 +211,7 @@ class Compiler:
         if via == "node":
             return self.pathed(starts.select("start_id", "id", F.lit(0).alias("depth")), paths)
         if isinstance(via, str) and via in ("descendants", "ancestors"):
-            return (tr.descendants if via == "descendants" else tr.ancestors)(s, starts, types, targets, paths=paths)
+            return tr.descendants(s, starts, types, targets, each_once=True, paths=paths) if via == "descendants" else tr.ancestors(s, starts, types, targets, paths=paths)
         if isinstance(via, list):
             known = [v for v in via if s.schema.type_of(v) and not any(v == f for _, f, _ in s.edges) and v not in RELATIONS]
             if len(known) == len(via):  # an explicit list of ids

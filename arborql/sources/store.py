@@ -99,9 +99,20 @@ class GraphStore:
             return self.nodes[t].select(*columns)
         return self.wide[t].select(*columns, *(c for c in self.wide[t].columns if c[0] in "^@"))
 
+    def heads_of(self, t: str) -> DataFrame:
+        """id, type: the nodes of a type without a parent."""
+        links = [x.select(F.col("child").alias("id")) for (_, b), x in self.links.items() if b == t]
+        if t not in self.wide or not links:
+            rows = self.nodes[t].select("id", "type")
+            return rows.join(_union(links, self.spark, "id string"), "id", "left_anti") if links else rows
+        rows = self.wide[t]
+        for a, b in self.links:
+            rows = rows.where(F.col(f"^{a}").isNull()) if b == t else rows
+        return rows.select("id", "type")
+
     def heads(self) -> DataFrame:
         """Nodes without a parent."""
-        return self.node_rows(needed=set()).join(self.hierarchy().select(F.col("child").alias("id")), "id", "left_anti")
+        return _union([self.heads_of(t) for t in self.types], self.spark, "id string, type string")
 
     # building
 

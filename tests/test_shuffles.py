@@ -1,8 +1,12 @@
 """How often the plans of the star schema's queries read the largest table: each more read is a shuffle of it."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from arborql.operators import traverse as tr
 from arborql.plans import catalogue
+from arborql.schema import GraphSchema
+from arborql.sources.store import GraphStore
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,3 +22,33 @@ def reads(text: str, column: str) -> int:
 @pytest.mark.parametrize("name", ["q_inherit_reference"])
 def test_inherited_values_join_no_line_item_by_its_own_id(spark, name):
     assert reads(plan(spark, name), "l_orderkey") == 1
+
+
+def test_every_node_reads_line_items_once(spark):
+    assert reads(plan(spark, "q_every_node"), "l_orderkey") == 1
+
+
+def below_leagues(spark) -> GraphStore:
+    """Leagues above matches and teams, matches above teams; some without a parent, some with a parent that is no node."""
+    types = {"league": {"prefix": "le", "fields": {}}, "match": {"prefix": "ma", "fields": {}}, "team": {"prefix": "te", "fields": {}}}
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    match = frame([(f"ma{i}", f"le{i % 4}" if i % 5 else None) for i in range(20)], "id string, `^league` string")
+    team = frame([(f"te{i}", f"le{i % 3}" if i % 4 else None, f"ma{i % 23}" if i % 3 else None) for i in range(60)], "id string, `^league` string, `^match` string")
+    typed = lambda df, t: df.withColumn("type", F.lit(t))
+    wide = {"match": typed(match, "match"), "team": typed(team, "team")}
+    nodes = {"league": typed(frame([(f"le{i}",) for i in range(3)], "id string"), "league"), **{t: x.select("id", "type") for t, x in wide.items()}}
+    links = {(a, t): wide[t].where(F.col(f"^{a}").isNotNull()).select(F.col(f"^{a}").alias("parent"), F.col("id").alias("child")) for a, t in (("league", "match"), ("league", "team"), ("match", "team"))}
+    return GraphStore(spark, GraphSchema.of({"types": types}), nodes, links, single_parent=frozenset(links), wide=wide)
+
+
+def test_chains_as_columns_equal_chains_as_rows(spark):
+    store = below_leagues(spark)
+    rows = lambda df: sorted(tuple(r) for r in df.select("start_id", "id", "depth").collect())
+    for t in ("league", "match"):
+        start = store.nodes[t].select(F.col("id").alias("start_id"), "id")
+        assert rows(tr.descendants(store, start, {t}, each_once=True)) == rows(tr.descendants(store, start, {t}))
+    without = store.with_(links=dict(store.links), wide={})
+    assert rows(tr.every_node(store)) == rows(tr.every_node(without))
+    assert rows(tr.every_node(store, {"team"})) == rows(tr.every_node(without, {"team"}))
+    assert sorted(r.id for r in store.heads().collect()) == sorted(r.id for r in without.heads().collect())
+    assert store.with_(links={**store.links, ("league", "match"): store.links["league", "match"].limit(3)}).wide.keys() == {"team"}
