@@ -50,8 +50,7 @@ def _where(g: GraphStore, rows: DataFrame, told, **options) -> DataFrame:
 
 def _below(g: GraphStore, ids: DataFrame, source: str, target: str, needed: set[str]) -> DataFrame:
     """Descendants of one type with the columns needed: start_id, id, ... ."""
-    found = tr.descendants(g, ids, {source}, {target}).select("start_id", "id")
-    return found.join(g.nodes[target].select("id", *needed), "id")
+    return tr.descendants(g, ids, {source}, {target}, each_once=True, columns=tuple(sorted(needed)))
 
 
 def _items(df: DataFrame, name: str) -> DataFrame:
@@ -224,15 +223,14 @@ SELECT DISTINCT concat('na', k) AS start_id, concat('or', l_orderkey) AS order_i
 """)
 def q_descendants_filter(spark, d):
     g = star_graph(spark, d)
-    items = _where(g, _below(g, _all(g, "nation"), "nation", "lineitem", {"quantity"}), {"$field": "quantity", "$operator": ">", "$value": 49})
-    parents = g.links["orders", "lineitem"]
-    return items.join(parents, items.id == parents.child).select("start_id", F.col("parent").alias("order_id")).distinct()
+    items = _where(g, _below(g, _all(g, "nation"), "nation", "lineitem", {"quantity", "^orders"}), {"$field": "quantity", "$operator": ">", "$value": 49})
+    return items.select("start_id", F.col("^orders").alias("order_id")).distinct()
 
 
 @registered("SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM part) + (SELECT count(*) FROM events) + (SELECT count(*) FROM documents) AS n")
 def q_descendants_all(spark, d):
     g = star_graph(spark, d)
-    return tr.descendants(g, _root(g), {"root"}).agg(F.count("*").alias("n"))
+    return tr.descendants(g, _root(g), {"root"}, each_once=True).agg(F.count("*").alias("n"))
 
 
 @registered("WITH RECURSIVE e AS (" + _LINKS + ") , r AS (SELECT c AS id FROM e WHERE p = 're1' UNION SELECT e.c FROM r JOIN e ON e.p = r.id) SELECT id FROM r")

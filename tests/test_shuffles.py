@@ -28,6 +28,13 @@ def test_every_node_reads_line_items_once(spark):
     assert reads(plan(spark, "q_every_node"), "l_orderkey") == 1
 
 
+def test_filtered_descendants_are_cut_before_the_shuffle(spark):
+    text = plan(spark, "q_descendants_filter")
+    assert reads(text, "l_orderkey") == 1
+    at = next(i for i, line in enumerate(text.splitlines()) if "Relation [" in line and "l_orderkey" in line)
+    assert "l_quantity" in text.splitlines()[at - 1] and "Filter" in text.splitlines()[at - 1]  # the filter is right above the scan
+
+
 def below_leagues(spark) -> GraphStore:
     """Leagues above matches and teams, matches above teams; some without a parent, some with a parent that is no node."""
     types = {"league": {"prefix": "le", "fields": {}}, "match": {"prefix": "ma", "fields": {}}, "team": {"prefix": "te", "fields": {}}}
