@@ -205,9 +205,7 @@ class Compiler:
         s, via = self.store, find.get("$traverse", "descendants")
         recursive = find.get("$recursive", False)
         if isinstance(via, dict) and "$db" in via:
-            ids = self.listed_ids(via)
-            near = starts.select("start_id").crossJoin(F.broadcast(ids)).join(s.node_rows(targets, set()).select("id"), "id", "left_semi")
-            return self.pathed(near.select("start_id", "id", "depth"), paths)
+            return self.pathed(self.existing(starts, self.listed_ids(via), targets), paths)
         if via == "node":
             return self.pathed(starts.select("start_id", "id", F.lit(0).alias("depth")), paths)
         if isinstance(via, str) and via in ("descendants", "ancestors"):
@@ -216,7 +214,7 @@ class Compiler:
             known = [v for v in via if s.schema.type_of(v) and not any(v == f for _, f, _ in s.edges) and v not in RELATIONS]
             if len(known) == len(via):  # an explicit list of ids
                 ids = s.spark.createDataFrame([(i, p) for p, i in enumerate(via)], "id string, depth int")
-                return self.pathed(starts.select("start_id").crossJoin(F.broadcast(ids)).join(s.node_rows(targets, set()).select("id"), "id", "left_semi").select("start_id", "id", "depth"), paths)
+                return self.pathed(self.existing(starts, ids, targets), paths)
             via = {"$any": {"$first": via}}
         if isinstance(via, str):
             kind = "children" if via == "children" else "parents" if via == "parents" else None
@@ -230,6 +228,23 @@ class Compiler:
             return tr.bfs_expression(s, starts, via, types, targets, where, paths=paths)
         return self.pathed(tr.by_expression(s, starts, via, types, targets, where), paths)
 
+    def existing(self, starts: DataFrame, ids: DataFrame, targets: set[str] | None) -> DataFrame:
+        """start_id, id, depth: for each start the listed ids (id, depth) that are nodes. The list is broadcast, so that no node is shuffled."""
+        there = self.store.node_rows(targets, set()).select("id").join(F.broadcast(ids), "id")
+        return starts.select("start_id").crossJoin(F.broadcast(there)).select("start_id", "id", "depth")
+
+    def listed_types(self, via: Any) -> set[str] | None:
+        """The types that listed ids can have, told by the ids or by the edge field that lists them; None if unknown, or if via lists no ids."""
+        s = self.store
+        if isinstance(via, list) and via and all(s.schema.type_of(v) and v not in RELATIONS and not any(v == f for _, f, _ in s.edges) for v in via):
+            return {s.schema.type_of(v) for v in via} & set(s.types)
+        if isinstance(via, dict) and "$db" in via and isinstance(via.get("$field"), str):
+            other = self.others.get(via["$db"], s)
+            plain = any(via["$field"] in df.columns for df in other.nodes.values()) or via["$field"] in RELATIONS
+            led = {b for (_, f, b) in other.edges if f == via["$field"]}
+            return led & set(s.types) if led and not plain and other.schema.prefixes == s.schema.prefixes else None
+        return None
+
     def listed_ids(self, via: dict) -> DataFrame:
         """id, depth (place): the ids that a field of one node, maybe of another database, lists. One node's list: bounded."""
         if "$id" not in via or "$field" not in via:
@@ -250,8 +265,13 @@ class Compiler:
         limit = types_of(node, set(self.store.types)) if node is not None else None
         names = {self.paths_of(None, x.field) for x in leaves(node)} | {"type"}
         want = names if inner else None if needed is None else names | needed
+        via = find.get("$traverse", "descendants")
+        if (kinds := self.listed_types(via)) is not None:
+            limit = kinds if limit is None else limit & kinds
         rows = self.hop(starts, types, find, limit, paths, head and not inner)
         nodes = self.store.node_rows(limit, want)
+        if (kinds is not None or isinstance(via, dict) and "$db" in via) and tr.few(starts):
+            rows = F.broadcast(rows)  # one list of ids, for few starts
         rows = self.filtered(rows.join(nodes, "id"), told, limit)
         if inner:
             # The next step starts from what was found; each start of the whole pipeline keeps its results.
@@ -431,7 +451,10 @@ class Compiler:
                 rows, c, _ = self.nested(rows, head, {rest: True} if rest != "*" else {"$all": True}, types)
                 return rows, (c[rest] if kind == "reference" and rest != "*" else F.transform(c, lambda x: x[rest]) if rest != "*" else c) if c is not None else None
             n = self.name()
-            ids = s.edge_rows(head, types).groupBy(F.col("src").alias("nid")).agg(F.sort_array(F.collect_set("dst")).alias(n))
+            edges = s.edge_rows(head, types)
+            if tr.few(rows):  # only their edges are grouped
+                edges = edges.join(F.broadcast(rows.select(F.col("nid").alias("src")).distinct()), "src", "left_semi")
+            ids = edges.groupBy(F.col("src").alias("nid")).agg(F.sort_array(F.collect_set("dst")).alias(n))
             return rows.join(ids, "nid", "left"), F.get(n, 0) if kind == "reference" else F.col(n)
         return rows, self.shown(rows, path)
 

@@ -35,6 +35,13 @@ def test_filtered_descendants_are_cut_before_the_shuffle(spark):
     assert "l_quantity" in text.splitlines()[at - 1] and "Filter" in text.splitlines()[at - 1]  # the filter is right above the scan
 
 
+def test_listed_ids_shuffle_no_nodes(spark):
+    text = plan(spark, "q_traverse_listed_ids")
+    assert reads(text, "l_orderkey") == reads(text, "event_id") == reads(text, "p_partkey") == 0
+    physical = catalogue.QUERIES["q_traverse_listed_ids"](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in physical.splitlines() if "SortMergeJoin" in line and "[id#" in line]
+
+
 def below_leagues(spark) -> GraphStore:
     """Leagues above matches and teams, matches above teams; some without a parent, some with a parent that is no node."""
     types = {"league": {"prefix": "le", "fields": {}}, "match": {"prefix": "ma", "fields": {}}, "team": {"prefix": "te", "fields": {}}}
