@@ -837,7 +837,7 @@ def q_inherit_list(spark, d):
     """A list of the references that an order inherits from its customer."""
     g = star_graph(spark, d)
     told = {"totalprice": True, "$field": "orders", "$list": {"$inherit": {"$type": "customer"}, "$sort": {"$field": "totalprice", "$order": "desc"}}}
-    rows = _shown(g, g.nodes["orders"].select("id", "type"), {"id": True, "mates": told}, {"orders"})
+    rows = _shown(g, g.with_parents("orders", "id", "type"), {"id": True, "mates": told}, {"orders"})
     return rows.select("id", F.size("mates").cast("long").alias("n"), F.col("mates")[0]["totalprice"].alias("top"))
 
 

@@ -552,7 +552,16 @@ class Compiler:
         if "$inherit" not in told and (found := self.objects(rows, find.get("$traverse", "descendants"))) is not None:
             items = F.transform(self.chosen(found[0], found[1], find, told, limit), lambda e: self.element(e, found[1], inner))
             return rows, F.get(items, 0) if single else F.coalesce(items, F.array().cast(rows.select(items.alias("x")).schema[0].dataType))
-        if "$inherit" in told:
+        owner, name = "nid", v.get("$field", key)
+        if "$inherit" in told and isinstance(name, str) and self.only_edges(name):
+            # The list is made once for each holder, and joined to all that inherit from it.
+            accept = self.accepted(told["$inherit"], [name])
+            rows, owner = self.holder(rows, rows.select(F.col("nid").alias("start_id"), F.col("nid").alias("id")).distinct(), name, accept, types)
+            edges, item_types = self.store.edge_rows(name), {b for (_, f, b) in self.store.edges if f == name}
+            near = edges.join(rows.select(F.col(owner).alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("start_id"), F.col("dst").alias("id"))
+            near = near.groupBy("start_id").agg(F.min("id").alias("id")) if self.store.schema.relation_kind(name) == "reference" else near if sort else near.distinct()
+            items = near.withColumn("depth", F.lit(0)).join(self.store.node_rows(item_types), "id")
+        elif "$inherit" in told:
             rows, ids = self.inherited(rows, key, {"$inherit": told["$inherit"], "$field": v.get("$field", key)}, types)
             if ids is None:
                 raise QueryError(f"{key} has no references to inherit")
@@ -577,9 +586,11 @@ class Compiler:
         n = self.name()
         one = F.struct(*(c.alias(k) for k, c in cols.items()))
         grouped = items.groupBy("start_id").agg(F.sort_array(F.collect_list(F.struct("pos", one.alias("item")))).alias(n)) if _orderable(items, one) else items.groupBy("start_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("item"))), lambda a, b: a["pos"] - b["pos"]).alias(n))
-        grouped = grouped.select(F.col("start_id").alias("nid"), F.col(f"{n}.item").alias(n))
-        rows = rows.join(grouped, "nid", "left")
-        return rows, F.get(n, 0) if single else F.coalesce(F.col(n), F.array().cast(grouped.schema[n].dataType))
+        if owner == "nid":
+            rows = rows.join(grouped.select(F.col("start_id").alias("nid"), F.col(f"{n}.item").alias(n)), "nid", "left")
+        else:
+            rows = rows.join(grouped.select(F.col("start_id").alias(f"{n}s"), F.col(f"{n}.item").alias(n)), F.col(owner) == F.col(f"{n}s"), "left").drop(f"{n}s")
+        return rows, F.get(n, 0) if single else F.coalesce(F.col(n), F.array().cast(rows.schema[n].dataType))
 
     def aggregated(self, rows: DataFrame, told: Any, types: set[str] | None) -> tuple[DataFrame, Column]:
         told = told if isinstance(told, dict) else {"$function": told}
@@ -612,19 +623,29 @@ class Compiler:
         empty = {"count": F.lit(0), "countUnique": F.lit(0), "sum": F.lit(0.0)}.get(name)
         return rows.join(out, "nid", "left"), F.coalesce(F.col(n), empty) if empty is not None else F.col(n)
 
+    def accepted(self, told: Any, names: list[str]) -> set[str] | None:
+        """The types that values may be inherited from, None for all; the fields must be of one kind in them."""
+        accept = told.get("$type") if isinstance(told, dict) else None
+        accept = set([accept] if isinstance(accept, str) else accept) if accept else None
+        for name in names:
+            kinds = {f["type"] for t in sorted(accept or ()) if t in self.store.schema.types and (f := self.store.schema.lookup(t, name))}
+            if len(kinds) > 1:
+                raise QueryError(f"{name} has different kinds in {sorted(accept)}: {sorted(kinds)}")
+        return accept
+
+    def only_edges(self, name: str) -> bool:
+        """Whether a field is kept in edges, and in no node table."""
+        s = self.store
+        return bool(s.schema.relation_kind(name)) and name not in RELATIONS and any(f == name for _, f, _ in s.edges) and not any(name.split(".")[0] in df.columns for df in s.nodes.values())
+
     def inherited(self, rows: DataFrame, key: str, v: dict, types: set[str] | None) -> tuple[DataFrame, Column | None]:
         told = v["$inherit"] if isinstance(v["$inherit"], dict) else {}
-        accept = told.get("$type")
-        accept = set([accept] if isinstance(accept, str) else accept) if accept else None
         start = rows.select(F.col("nid").alias("start_id"), F.col("nid").alias("id")).distinct()
         names = v.get("$field", key)
         names = names if isinstance(names, list) else [names]
         plain = [k for k in v if not k.startswith("$")]
         n = self.name()
-        for name in names:
-            kinds = {f["type"] for t in sorted(accept or ()) if t in self.store.schema.types and (f := self.store.schema.lookup(t, name))}
-            if len(kinds) > 1:
-                raise QueryError(f"{name} has different kinds in {sorted(accept)}: {sorted(kinds)}")
+        accept = self.accepted(told, names)
         if "$item" in told:
             item = told["$item"]
             fields = [f for f in plain if any(f.split(".")[0] in df.columns for df in self.store.nodes.values())]

@@ -42,6 +42,12 @@ def test_listed_ids_shuffle_no_nodes(spark):
     assert not [line for line in physical.splitlines() if "SortMergeJoin" in line and "[id#" in line]
 
 
+def test_an_inherited_list_is_made_once_for_its_holder(spark):
+    text = plan(spark, "q_inherit_list")
+    assert reads(text, "l_orderkey") == reads(text, "event_id") == 0
+    assert "posexplode" not in text  # no row for each pair of an order and what it inherits
+
+
 def below_leagues(spark) -> GraphStore:
     """Leagues above matches and teams, matches above teams; some without a parent, some with a parent that is no node."""
     types = {"league": {"prefix": "le", "fields": {}}, "match": {"prefix": "ma", "fields": {}}, "team": {"prefix": "te", "fields": {}}}
