@@ -19,7 +19,7 @@ def reads(text: str, column: str) -> int:
     return sum("Relation [" in line and column in line for line in text.splitlines())
 
 
-@pytest.mark.parametrize("name", ["q_inherit_reference"])
+@pytest.mark.parametrize("name", ["q_inherit_reference", "q_inherit_field"])
 def test_inherited_values_join_no_line_item_by_its_own_id(spark, name):
     assert reads(plan(spark, name), "l_orderkey") == 1
 
